@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,14 @@ from folioscope import lexicon as lx
 WS = lx.SPACE_CLASS
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once per row.
+
+    Inside a lambda an outer expression would be evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(lx.SPACE_CHARS))
 

@@ -11,22 +11,37 @@ from pyspark.sql import types as T
 from folioscope.functions import text as tx
 
 
-def windows(text: Column, size: Column | int, overlap: Column | int) -> Column:
-    """Array of (start, end) offsets of overlapping windows, in closed form.
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """Array of (start, end, text) of overlapping windows, in closed form.
 
     A window starts every `size - overlap` characters; the last is the first one that
-    reaches the end.  No loop, so the rows come out of one `explode`.
+    reaches the end.  The text is cut into step-sized blocks once and a window is a run of
+    blocks, so the work is linear in the text however long it is.
     """
-    size = F.lit(size) if isinstance(size, int) else size
-    overlap = F.lit(overlap) if isinstance(overlap, int) else overlap
-    length = F.length(text)
-    step = F.greatest(F.lit(1), size - overlap)
-    last = F.greatest(F.ceil((length - size) / step), F.lit(0)).cast("int")
-    spans = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct((i * step).alias("start"), F.least(length, i * step + size).alias("end")),
+    step = max(1, size - overlap)
+    run = -(-size // step)
+
+    def cut(whole: Column) -> Column:
+        length = F.length(whole)
+        last = F.greatest(F.ceil((length - size) / step), F.lit(0)).cast("int")
+        return tx.bind(
+            F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)),
+            lambda blocks: F.transform(
+                F.sequence(F.lit(0), last),
+                lambda i: F.struct(
+                    (i * step).alias("start"),
+                    F.left(F.array_join(F.slice(blocks, i + 1, run), ""), F.lit(size)).alias("text"),
+                ),
+            ),
+        )
+
+    spans = tx.bind(text, lambda whole: F.when(F.length(whole) > 0, cut(whole)))
+    return F.transform(
+        spans,
+        lambda w: F.struct(
+            w["start"].alias("start"), (w["start"] + F.length(w["text"])).alias("end"), w["text"].alias("text")
+        ),
     )
-    return F.when(length > 0, spans)
 
 
 def _check(size: int, overlap: int) -> None:
@@ -41,14 +56,9 @@ def split_fixed(df: DataFrame, text: str, size: int = 700, overlap: int = 80) ->
     """
     _check(size, overlap)
     others = [c for c in df.columns if c != text]
-    whole = F.col("_whole")
-    pieces = F.transform(
-        windows(whole, size, overlap),
-        lambda w: tx.strip(F.substring(whole, w["start"] + 1, w["end"] - w["start"])),
-    )
+    pieces = F.transform(windows(tx.normalise(F.col(text)), size, overlap), lambda w: tx.strip(w["text"]))
     return (
-        df.select(*others, tx.normalise(F.col(text)).alias("_whole"))
-        .select(*others, F.posexplode(F.filter(pieces, lambda p: F.length(p) > 0)).alias("_n", text))
+        df.select(*others, F.posexplode(F.filter(pieces, lambda p: F.length(p) > 0)).alias("_n", text))
         .withColumn("chunk_no", F.col("_n") + 1)
         .drop("_n")
     )
@@ -178,26 +188,28 @@ def enrich_page_chunks(pages: DataFrame, size: int = 700, overlap: int = 80) ->
 def eval_chunks(docs: DataFrame, settings: Iterable[tuple[int, int]]) -> DataFrame:
     """Windows of every document at every (size, overlap) setting in one pass.
 
-    The few settings become an in-row array, so there is no cross join.  Text keeps its
+    The settings are unrolled into the row, so there is no cross join.  Text keeps its
     offsets and is not stripped; windows under ten visible characters are dropped.
     """
-    grid = F.array(
-        *[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in dict.fromkeys(settings)]
-    )
+    def grid(size: int, overlap: int) -> Column:
+        return F.transform(
+            windows(F.col("text"), size, overlap),
+            lambda w: F.struct(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), w.alias("w")),
+        )
+
+    grids = [grid(size, overlap) for size, overlap in dict.fromkeys(settings)]
     others = [c for c in docs.columns if c != "text"]
     cut = (
         docs.filter(F.length("text") > 0)
-        .select(*others, "text", F.explode(grid).alias("_g"))
+        .select(*others, F.explode(F.concat(*grids)).alias("_g"))
         .select(
             *others,
-            "text",
             F.col("_g.size").alias("size"),
             F.col("_g.overlap").alias("overlap"),
+            F.col("_g.w.start").alias("char_start"),
+            F.col("_g.w.end").alias("char_end"),
+            F.col("_g.w.text").alias("text"),
         )
-        .select("*", F.explode(windows(F.col("text"), F.col("size"), F.col("overlap"))).alias("_w"))
-        .withColumns({"char_start": F.col("_w.start"), "char_end": F.col("_w.end")})
-        .withColumn("text", F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
-        .drop("_w")
         .filter(F.length(tx.strip(F.col("text"))) >= 10)
     )
     return cut.withColumn(
