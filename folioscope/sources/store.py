@@ -132,9 +132,9 @@ def read_parsed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return documents, chapters, pages
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Question set, one JSON array per file."""
-    return spark.read.schema(QUESTION_SCHEMA).json(path, multiLine=True)
+def read_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Question set, one JSON array per file or one object per line."""
+    return spark.read.schema(QUESTION_SCHEMA).json(path, multiLine=not lines)
 
 
 def write_results(root: str, results: DataFrame, summary: DataFrame) -> None:
