@@ -11,39 +11,39 @@ from pyspark.sql import types as T
 from folioscope.functions import text as tx
 
 
-def windows(text: Column, size: int, overlap: int) -> Column:
-    """Array of (start, end, text) of overlapping windows, in closed form.
-
-    A window starts every `size - overlap` characters; the last is the first one that
-    reaches the end.  The text is cut into step-sized blocks once and a window is a run of
-    blocks, so the work is linear in the text however long it is.
-    """
+def _cut(whole: Column, size: int, overlap: int) -> Column:
+    """Windows of a text that is bound already; see `windows`."""
     step = max(1, size - overlap)
     run = -(-size // step)
-
-    def cut(whole: Column) -> Column:
-        length = F.length(whole)
-        last = F.greatest(F.ceil((length - size) / step), F.lit(0)).cast("int")
-        return tx.bind(
-            F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)),
-            lambda blocks: F.transform(
-                F.sequence(F.lit(0), last),
-                lambda i: F.struct(
-                    (i * step).alias("start"),
-                    F.left(F.array_join(F.slice(blocks, i + 1, run), ""), F.lit(size)).alias("text"),
-                ),
+    last = F.greatest(F.ceil((F.length(whole) - size) / step), F.lit(0)).cast("int")
+    spans = tx.bind(
+        F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)),
+        lambda blocks: F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(
+                (i * step).alias("start"),
+                F.left(F.array_join(F.slice(blocks, i + 1, run), ""), F.lit(size)).alias("text"),
             ),
-        )
-
-    spans = tx.bind(text, lambda whole: F.when(F.length(whole) > 0, cut(whole)))
+        ),
+    )
     return F.transform(
-        spans,
+        F.when(F.length(whole) > 0, spans),
         lambda w: F.struct(
             w["start"].alias("start"), (w["start"] + F.length(w["text"])).alias("end"), w["text"].alias("text")
         ),
     )
 
 
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """Array of (start, end, text) of overlapping windows, in closed form.
+
+    A window starts every `size - overlap` characters; the last is the first one that
+    reaches the end.  The text is cut into step-sized blocks once and a window is a run of
+    blocks, so the work is linear in the text however long it is.
+    """
+    return tx.bind(text, lambda whole: _cut(whole, size, overlap))
+
+
 def _check(size: int, overlap: int) -> None:
     if size <= overlap:
         raise ValueError("chunk_size must be greater than overlap")
@@ -191,17 +191,16 @@ def eval_chunks(docs: DataFrame, settings: Iterable[tuple[int, int]]) -> DataFra
     The settings are unrolled into the row, so there is no cross join.  Text keeps its
     offsets and is not stripped; windows under ten visible characters are dropped.
     """
-    def grid(size: int, overlap: int) -> Column:
+    def grid(whole: Column, size: int, overlap: int) -> Column:
         return F.transform(
-            windows(F.col("text"), size, overlap),
+            _cut(whole, size, overlap),
             lambda w: F.struct(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), w.alias("w")),
         )
 
-    grids = [grid(size, overlap) for size, overlap in dict.fromkeys(settings)]
+    grids = tx.bind(F.col("text"), lambda whole: F.concat(*[grid(whole, s, o) for s, o in dict.fromkeys(settings)]))
     others = [c for c in docs.columns if c != "text"]
     cut = (
-        docs.filter(F.length("text") > 0)
-        .select(*others, F.explode(F.concat(*grids)).alias("_g"))
+        docs.select(*others, F.explode(grids).alias("_g"))
         .select(
             *others,
             F.col("_g.size").alias("size"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -139,7 +140,7 @@ def evaluate(
             parents = stage(ck.eval_chunks(kept, [(parent_size, parent_overlap)]), "parents")
             rows = first_parents(map_to_parent(rows, parents))
         contexts.append(rows.select(F.lit(name).alias("strategy"), "query_id", "rank", "score", *CONTEXT))
-    return se._union(contexts)
+    return reduce(DataFrame.unionByName, contexts)
 
 
 def best_strategy(summary: DataFrame, order: Sequence[str] = tuple(s[0] for s in lx.STRATEGIES)) -> DataFrame:

@@ -67,7 +67,7 @@ def term_counts(chunks: DataFrame, text: str = "text", lower: bool = True) -> Da
         def flush() -> pa.RecordBatch:
             totals: Counter[str] = Counter()
             for word, n in words.items():
-                for gram in ngrams_of(word):
+                for gram in grams[word]:
                     totals[gram] += n
             terms = list(totals)
             columns = [pa.array(terms, pa.string())]
@@ -81,13 +81,10 @@ def term_counts(chunks: DataFrame, text: str = "text", lower: bool = True) -> Da
             for body in batch.column(0).to_pylist():
                 found = words_of(body, lower)
                 words.update(found)
-                seen: set[str] = set()
-                for word in found:
-                    known = grams.get(word)
-                    if known is None:
-                        known = grams[word] = ngrams_of(word)
-                    seen.update(known)
-                frequency.update(seen)
+                distinct = set(found)
+                for word in distinct.difference(grams):
+                    grams[word] = ngrams_of(word)
+                frequency.update(set().union(*map(grams.__getitem__, distinct)))
                 if len(frequency) > FLUSH_TERMS or len(words) > FLUSH_TERMS:
                     yield flush()
         yield flush()

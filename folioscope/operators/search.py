@@ -7,6 +7,7 @@ is k rows per query and batch, never (query, chunk) pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
 from folioscope.operators import index as ix
-from folioscope.session import MAX_BROADCAST_TERMS, broadcast_if_small, fits, stage
+from folioscope.session import MAX_BROADCAST_TERMS, broadcast_if_small, fits, stage, stage_all
 
 QUERY_BLOCK = 256
+MAX_CELLS = 1 << 25
 MAX_TOP_K = 50
 
 
@@ -51,28 +53,26 @@ def rank_hits(hits: DataFrame, k: int | None, key: str = "chunk_id") -> DataFram
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
-    """Blocks of at most QUERY_BLOCK queries, so that every broadcast is bounded.
+def _blocks(queries: DataFrame, width: str) -> Iterator[DataFrame]:
+    """Blocks of queries whose score table stays within MAX_CELLS.
 
-    The queries are staged first: a block must see the same rows on every read.
+    `width` is the array that spans the table's other side; a block of q queries with at
+    most w entries each has at most q * w rows and q columns.  The queries are staged first:
+    a block must see the same rows on every read.
     """
     queries = stage(queries, "queries")
-    total = queries.count()
-    if total <= QUERY_BLOCK:
+    total, widest = queries.agg(F.count("*"), F.max(F.size(width))).first()
+    if not total:
         yield queries
         return
-    parts = -(-total // QUERY_BLOCK)
-    numbered = queries.withColumn("_b", F.ntile(parts).over(W.orderBy("query_id")))
-    numbered = stage(numbered, "blocks")
-    for part in range(1, parts + 1):
-        yield numbered.filter(F.col("_b") == part).drop("_b")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    block = max(1, min(QUERY_BLOCK, math.isqrt(MAX_CELLS // max(1, widest))))
+    if total <= block:
+        yield queries
+        return
+    parts = -(-total // max(1, block * 3 // 4))
+    part_of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    for part in range(parts):
+        yield queries.filter(part_of == part)
 
 
 def _scores(rows: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ def sparse_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFr
     """
     kind = query_vectors.schema["query_id"].dataType.simpleString()
     parts = []
-    for block in _blocks(query_vectors):
+    for block in _blocks(query_vectors, "terms"):
         shared = vectors.sparkSession.sparkContext.broadcast(_query_table(block))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def sparse_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFr
                 score, f"query_id {kind}, chunk_id string, score double"
             )
         )
-    return rank_hits(_union(parts), k)
+    return rank_hits(stage_all(parts, "hits"), k)
 
 
 def text_top_k(chunks: DataFrame, vocab: DataFrame, query_vectors: DataFrame, k: int, lower: bool = True) -> DataFrame:
@@ -144,7 +144,7 @@ def text_top_k(chunks: DataFrame, vocab: DataFrame, query_vectors: DataFrame, k:
     kind = query_vectors.schema["query_id"].dataType.simpleString()
     words = ix.share_vocabulary(vocab)
     parts = []
-    for block in _blocks(query_vectors):
+    for block in _blocks(query_vectors, "terms"):
         shared = chunks.sparkSession.sparkContext.broadcast(_query_table(block))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def text_top_k(chunks: DataFrame, vocab: DataFrame, query_vectors: DataFrame, k:
         parts.append(
             chunks.select("chunk_id", "text").mapInArrow(score, f"query_id {kind}, chunk_id string, score double")
         )
-    return rank_hits(_union(parts), k)
+    return rank_hits(stage_all(parts, "hits"), k)
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -180,9 +180,10 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     context = vectors.sparkSession.sparkContext
     unit = vectors.select("chunk_id", ix.l2_normalise(F.col("embedding")).alias("embedding"))
     parts = []
-    for block in _blocks(queries.select("query_id", ix.l2_normalise(F.col("embedding")).alias("embedding"))):
+    asked = queries.select("query_id", ix.l2_normalise(F.col("embedding")).alias("embedding"))
+    for block in _blocks(asked, "embedding"):
         rows = block.toArrow()
-        matrix = np.array(rows.column("embedding").to_pylist(), dtype=np.float64)
+        matrix = np.array(rows.column("embedding").to_pylist(), dtype=np.float64).reshape(rows.num_rows, -1)
         shared = context.broadcast((rows.column("query_id").combine_chunks(), matrix.T))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 yield _best_rows(batch.column(0), scores, ids, k)
 
         parts.append(unit.mapInArrow(score, f"query_id {kind}, chunk_id string, score double"))
-    return rank_hits(_union(parts), k)
+    return rank_hits(stage_all(parts, "hits"), k)
 
 
 def query_vectors(queries: DataFrame, vocab: DataFrame, lower: bool = True) -> DataFrame:

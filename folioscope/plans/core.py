@@ -390,8 +390,8 @@ lists AS (
 
 
 def _doc_chunks(spark, sf):
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "text")
-    return stage(docs.repartition("chunk_id"), "docs")
+    docs = cp.documents(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "text")
+    return stage(docs, "docs")
 
 
 def _doc_vectors(spark, sf):

@@ -11,7 +11,7 @@ from folioscope.functions import text as tx
 from folioscope.operators import chunk as ck
 from folioscope.operators import search as se
 from folioscope.operators.segment import HeadingRule
-from folioscope.session import stage
+from folioscope.session import spread, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,9 +42,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def parsed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """documents and chapters: a source is a book, a test document one of its chapters."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     books = docs.select(F.col("source").alias("textbook_id")).distinct()
     books = books.withColumns(
         {"title": F.concat(F.lit("Book "), "textbook_id"), "filename": F.concat("textbook_id", F.lit(".txt"))}
@@ -62,7 +66,7 @@ def parsed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def eval_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    docs = documents(spark, sf).select(
         F.concat("source", F.lit(":d"), "doc_id").alias("source_id"),
         F.col("source").alias("textbook_id"),
         F.concat(F.lit("Book "), "source").alias("book"),
@@ -86,7 +90,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Page table: page number is the position of a document within its source."""
     from pyspark.sql import Window as W
 
-    docs = table(spark, sf, "documents").withColumnRenamed("source", "textbook_id")
+    docs = documents(spark, sf).withColumnRenamed("source", "textbook_id")
     order = W.partitionBy("textbook_id").orderBy("doc_id")
     return docs.select("textbook_id", "doc_id", F.row_number().over(order).alias("page"), "text")
 

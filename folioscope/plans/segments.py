@@ -64,7 +64,7 @@ def _section_columns(rows):
     f"""WITH {_SECTIONS} SELECT doc_id, printf('ch_%03d', n) AS chapter_id, title, md5(content) AS content, char_count FROM sections""",
 )
 def heading_sections(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = cp.documents(spark, sf).select("doc_id", "text")
     return _section_columns(sg.heading_sections(docs, "doc_id", cp.SHORT_LINE))
 
 
@@ -74,11 +74,11 @@ def heading_sections(spark, sf):
 )
 def markdown_sections(spark, sf):
     """The default heading rule; most test documents have no such heading."""
-    return _section_columns(sg.heading_sections(table(spark, sf, "documents").select("doc_id", "text")))
+    return _section_columns(sg.heading_sections(cp.documents(spark, sf).select("doc_id", "text")))
 
 
 def _paragraphs(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    docs = cp.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     line = tx.strip(F.col("text"))
     style = F.when((F.length(line) <= 40) & line.endswith("."), F.when(F.length(line) <= 15, "Heading 1").otherwise("标题 2"))
     return docs.withColumn("style", F.coalesce(style, F.lit("Normal")))

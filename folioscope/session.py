@@ -65,6 +65,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_all(parts: list[DataFrame], name: str) -> DataFrame:
+    """One table of many parts, run and written one after the other.
+
+    The parts are read back by a single scan, so the plan does not grow with their number.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    spark = parts[0].sparkSession
+    root = staging_root(spark)
+    if root is None:
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return whole.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{root}/staged/{name}-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle a scan only when it has fewer splits than the cores could work on.
+
+    A file of one row group is a single task however large; a scan of many files is left
+    as it is.
+    """
+    if df.rdd.getNumPartitions() >= 2 * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(*keys)
+
+
 def fits(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
     """True when `df` holds at most `rows` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
