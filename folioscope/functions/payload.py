@@ -9,8 +9,19 @@ from folioscope import lexicon as lx
 from folioscope.functions import text as tx
 
 
+def _parse(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else.
+
+    The parser stops after the first value; text that also parses inside brackets and
+    inside braces has nothing behind it.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(listed.isNotNull() & held.isNotNull(), F.try_parse_json(text))
+
+
 def _object(text: Column) -> Column:
-    value = F.try_parse_json(text)
+    value = _parse(text)
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
@@ -18,7 +29,7 @@ def extract_json(text: Column) -> Column:
     """VARIANT object: the whole string, else the outermost braces; objects only."""
     whole = tx.strip(text)
     inner = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(whole).isNotNull(), _object(whole)).otherwise(_object(inner))
+    return F.when(_parse(whole).isNotNull(), _object(whole)).otherwise(_object(inner))
 
 
 def extract_fenced_json(text: Column) -> Column:
