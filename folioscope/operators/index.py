@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
-from folioscope.session import MAX_BROADCAST_TERMS, fits
+from folioscope.session import MAX_BROADCAST_TERMS, fits, stage
 
 WORD_CACHE = 200_000
 FLUSH_TERMS = 500_000
@@ -100,10 +101,29 @@ def vocabulary(chunks: DataFrame, n_chunks: int, max_features: int | None = None
     """vocab(term, df, cf, idf); the cap keeps the highest corpus counts."""
     vocab = term_counts(chunks, lower=lower).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     if max_features is not None:
-        vocab = vocab.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+        vocab = top_terms(stage(vocab, "terms"), max_features)
     return vocab.withColumn("idf", idf(F.col("df"), n_chunks))
 
 
+def top_terms(vocab: DataFrame, limit: int) -> DataFrame:
+    """The `limit` terms of highest count, the smaller term on ties.
+
+    The count that cuts the list is found on the histogram of counts, so only the terms
+    that tie at the cut are sorted, not the vocabulary.
+    """
+    if fits(vocab, limit):
+        return vocab
+    sizes = vocab.groupBy("cf").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(W.orderBy(F.desc("cf")).rowsBetween(W.unboundedPreceding, -1))
+    cut = (
+        sizes.withColumn("above", F.coalesce(above, F.lit(0)))
+        .filter((F.col("above") < limit) & (F.col("above") + F.col("n") >= limit))
+        .first()
+    )
+    tied = vocab.filter(F.col("cf") == cut.cf).orderBy("term").limit(limit - cut.above)
+    return vocab.filter(F.col("cf") > cut.cf).unionByName(tied)
+
+
 class Weigher:
     """Turns texts into normalised sparse rows inside a task."""
 
@@ -247,12 +267,8 @@ def index_meta(
         raise ValueError(f"unknown backend: {backend}")
     none = chunks.sparkSession.createDataFrame([], "chunk_id string")
     gate = dense_gate(chunks, vectors if vectors is not None else none)
-    files = chunks.agg(
-        F.array_sort(F.collect_set(F.when(F.length("source_file") > 0, F.col("source_file")))).alias("files")
-    )
-    return gate.join(F.broadcast(files), F.lit(True)).select(
+    return gate.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"),
-        "files",
         "chunk_count",
         F.lit(size).alias("chunk_size"),
         F.lit(overlap).alias("overlap"),
@@ -264,6 +280,12 @@ def index_meta(
     )
 
 
+def index_files(chunks: DataFrame) -> DataFrame:
+    """Indexed files with their chunk counts (X6); a table, since it grows with the corpus."""
+    named = chunks.filter(F.length("source_file") > 0)
+    return named.groupBy("source_file").agg(F.count("*").alias("file_chunks"))
+
+
 def merge_chunks(existing: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:
     """Union by chunk_id; the old row wins unless `replace`."""
     if replace:

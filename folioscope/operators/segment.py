@@ -6,14 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
-from folioscope.operators.prefix import running_count
+from folioscope.operators.prefix import running_count, running_last
 
 PAGE_BUCKET = 32
+ENTRIES_PER_PAGE = 1 << 20
+TOC_BLOCK = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -109,26 +110,24 @@ def styled_sections(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.max(F.when(F.col("_head"), F.struct(F.substring("text", 1, 80).alias("title"), F.col("_level").alias("level")))).alias("_h"),
         F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("pos", "text")))).alias("_b"),
     )
-    whole = sections.filter(F.size("_b") > 0).withColumn(
-        "_n", F.row_number().over(W.partitionBy(key).orderBy("_section"))
-    )
+    whole = running_count(sections.filter(F.size("_b") > 0), [key], "_section", F.lit(True), "_n")
     title = tx.clean_title(F.coalesce(F.col("_h.title"), F.lit(lx.UNRECOGNISED_CHAPTER)))
     found = whole.select(
         key,
         F.format_string("ch_%03d", "_n").alias("chapter_id"),
         tx.or_default(title, lx.UNRECOGNISED_CHAPTER).alias("title"),
         F.coalesce(F.col("_h.level"), F.lit(1)).alias("level"),
-        F.col("_n").alias("page_start"),
-        F.col("_n").alias("page_end"),
+        F.col("_n").cast("int").alias("page_start"),
+        F.col("_n").cast("int").alias("page_end"),
         F.array_join("_b.text", "\n").alias("content"),
         F.aggregate("_b.text", F.lit(0), lambda acc, line: acc + F.length(line)).alias("char_count"),
     )
     # documents with headings only, or nothing at all, become one chapter of their text
     rest = paragraphs.select(key).distinct().join(found.select(key), key, "left_anti")
-    texts = body.groupBy(key).agg(
+    texts = body.join(rest, key, "left_semi").groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.length("text") > 0, F.struct("pos", "text")))).alias("_b")
     )
-    single = rest.join(texts, key).select(
+    single = texts.select(
         key,
         F.lit("ch_001").alias("chapter_id"),
         F.lit(lx.UNRECOGNISED_CHAPTER).alias("title"),
@@ -155,8 +154,10 @@ def toc_by_rules(
         .select("textbook_id", "page", "_pos", level.alias("level"), tx.clean_title(F.substring(line, 1, 80)).alias("title"))
         .filter(F.col("level").isNotNull() & tx.is_valid_title(F.col("title")))
     )
-    before = F.lag("title").over(W.partitionBy("textbook_id").orderBy("page", "_pos"))
-    return entries.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.col("title"))).select(
+    # the entry before may be many pages back: a blocked scan, so a long book is not one task
+    placed = entries.withColumn("_at", F.col("page").cast("long") * 10 + F.col("_pos"))
+    after = running_last(placed, ["textbook_id"], "_at", ["title"])
+    return after.filter(~F.col("title_before").eqNullSafe(F.col("title"))).select(
         "textbook_id", "level", "title", F.col("page").alias("page_start"), F.lit("rules").alias("origin"), F.col("_pos").alias("pos")
     )
 
@@ -211,9 +212,14 @@ def toc_select(documents: DataFrame, external: DataFrame, bookmarks: DataFrame,
 
 def toc_ranges(toc: DataFrame, totals: DataFrame) -> DataFrame:
     """Page ranges of TOC entries; the last one ends with the document."""
-    order = W.partitionBy("textbook_id").orderBy("page_start", "pos")
-    following = toc.withColumns({"_next": F.lead("page_start").over(order), "_n": F.row_number().over(order)})
-    end = F.coalesce(F.col("_next") - 1, F.col("total_pages"))
+    book = ["textbook_id"]
+    at = F.col("page_start").cast("long") * ENTRIES_PER_PAGE + F.col("pos")
+    placed = toc.withColumns({"_at": at, "_back": -at, "_next": F.col("page_start")})
+    block = ENTRIES_PER_PAGE * TOC_BLOCK
+    numbered = running_count(placed, book, "_at", F.lit(True), "_n", block=block)
+    # the last value before it in reverse order is the next entry's page
+    following = running_last(numbered, book, "_back", ["_next"], block=block)
+    end = F.coalesce(F.col("_next_before") - 1, F.col("total_pages"))
     return following.join(totals.select("textbook_id", "total_pages"), "textbook_id").select(
         "textbook_id",
         F.format_string("ch_%03d", "_n").alias("chapter_id"),

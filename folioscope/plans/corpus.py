@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as tx
 from folioscope.operators import chunk as ck
 from folioscope.operators import search as se
+from folioscope.operators.prefix import running_count
 from folioscope.operators.segment import HeadingRule
 from folioscope.session import spread, stage
 
@@ -88,11 +89,9 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Page table: page number is the position of a document within its source."""
-    from pyspark.sql import Window as W
-
     docs = documents(spark, sf).withColumnRenamed("source", "textbook_id")
-    order = W.partitionBy("textbook_id").orderBy("doc_id")
-    return docs.select("textbook_id", "doc_id", F.row_number().over(order).alias("page"), "text")
+    numbered = running_count(docs.select("textbook_id", "doc_id", "text"), ["textbook_id"], "doc_id", F.lit(True), "page")
+    return numbered.select("textbook_id", "doc_id", F.col("page").cast("int").alias("page"), "text")
 
 
 def long_words(text: Column) -> Column:

@@ -369,21 +369,24 @@ def catalog_priority(spark, sf):
 @query(
     "index_status",
     f"""WITH {sql.chapter_chunks()}, {sql.counts('chunks', 'chunk_id', 'text', 'tf')},
-    v AS (SELECT count(DISTINCT chunk_id) AS n FROM chunks JOIN embeddings ON 'd' || vec_id = chapter_id)
-    SELECT count(*) AS chunk_count, count(DISTINCT source_file) AS textbook_count,
-      (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT source_file AS s FROM chunks)) AS files,
-      (SELECT count(DISTINCT term) FROM tf) AS term_count, 'hybrid' AS retrieval_backend,
-      count(*) = (SELECT n FROM v) AS has_embedding, TRUE AS has_tfidf,
-      CASE WHEN count(*) = (SELECT n FROM v) THEN '' ELSE 'vectors incomplete, sparse index kept' END AS embedding_warning,
-      TRUE AS exists, CASE WHEN count(*) = (SELECT n FROM v) THEN '' ELSE 'tfidf' END AS fallback_backend
-    FROM chunks""",
+    v AS (SELECT count(DISTINCT chunk_id) AS n FROM chunks JOIN embeddings ON 'd' || vec_id = chapter_id),
+    status AS (
+      SELECT count(*) AS chunk_count, count(DISTINCT source_file) AS textbook_count,
+        (SELECT count(DISTINCT term) FROM tf) AS term_count, 'hybrid' AS retrieval_backend,
+        count(*) = (SELECT n FROM v) AS has_embedding, TRUE AS has_tfidf,
+        CASE WHEN count(*) = (SELECT n FROM v) THEN '' ELSE 'vectors incomplete, sparse index kept' END AS embedding_warning,
+        TRUE AS exists, CASE WHEN count(*) = (SELECT n FROM v) THEN '' ELSE 'tfidf' END AS fallback_backend
+      FROM chunks)
+    SELECT * FROM (SELECT source_file, count(*) AS file_chunks FROM chunks GROUP BY 1), status""",
 )
 def index_status(spark, sf):
+    """Every indexed file with the status of the index."""
     cut = cp.chunks(spark, sf)
     vocab = ix.vocabulary(cut, cut.count())
     ids = table(spark, sf, "embeddings").select(F.concat(F.lit("d"), "vec_id").alias("chapter_id"))
     vectors = cut.join(ids, "chapter_id", "left_semi")
-    return store.index_status(cut, vocab, ix.index_meta(cut, vectors, 700, 80))
+    status = store.index_status(cut, vocab, ix.index_meta(cut, vectors, 700, 80))
+    return ix.index_files(cut).join(F.broadcast(status), F.lit(True))
 
 
 # --- ingest stream ---------------------------------------------------------------

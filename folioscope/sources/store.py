@@ -72,11 +72,9 @@ def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def index_status(chunks: DataFrame, vocab: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row: counts, files, flags and the warning of the build."""
+    """One row: counts, flags and the warning of the build (S10); files are `index_files`."""
     counted = chunks.agg(
-        F.count("*").alias("chunk_count"),
-        F.count_distinct("source_file").alias("textbook_count"),
-        F.array_join(F.sort_array(F.collect_set("source_file")), ",").alias("files"),
+        F.count("*").alias("chunk_count"), F.count_distinct("source_file").alias("textbook_count")
     )
     terms = vocab.agg(F.count("*").alias("term_count"))
     flags = meta.select("retrieval_backend", "has_embedding", "has_tfidf", "embedding_warning")
