@@ -37,17 +37,28 @@ def local_session(cores: str = "8", app: str = "folioscope") -> SparkSession:
 
 
 def staging_root(spark: SparkSession) -> str | None:
-    """Shared folder named by the cluster; a private one only for local masters."""
+    """This application's folder in the shared one the cluster names.
+
+    Only a local master without such a setting gets a private folder.
+    """
     global _local_root
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="folioscope-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return _local_root
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            return None
+        if _local_root is None:
+            _local_root = tempfile.mkdtemp(prefix="folioscope-")
+            atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
+        shared = _local_root
+    return f"{shared.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application staged; results that still read it become invalid."""
+    root = staging_root(spark)
+    if root is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -58,7 +58,7 @@ def difference(spark_df, con, sql: str) -> str | None:
 
 def main() -> None:
     import __spark_entry__ as entry
-    from folioscope.session import local_session
+    from folioscope.session import drop_staged, local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.001"
     names = sys.argv[2:] or list(entry.queries())
@@ -77,6 +77,7 @@ def main() -> None:
             state = f"FAIL {type(error).__name__} {str(error)[:500]}"
             if len(sys.argv) > 2 and len(names) == 1:
                 traceback.print_exc()
+        drop_staged(spark)
         print(f"{name:24s} {time.time() - start:6.1f}s {state}", flush=True)
 
 
