@@ -7,8 +7,7 @@ partial counts of the vocabulary are.  `postings` gives the long form.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ from folioscope.session import MAX_BROADCAST_TERMS, fits, stage
 
 WORD_CACHE = 200_000
 FLUSH_TERMS = 500_000
+COUNT_ROWS = 2_000
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4, lower: bool = True) -> Column:
@@ -48,8 +48,33 @@ def ngrams_of(word: str, low: int = 2, high: int = 4) -> list[str]:
     return [wide[i : i + n] for n in range(low, high + 1) for i in range(len(wide) - n + 1)]
 
 
-def words_of(text: str | None, lower: bool) -> list[str]:
-    return ((text or "").lower() if lower else text or "").split()
+class Grams:
+    """Positions of the n-grams of texts, remembered per word."""
+
+    def __init__(self, position: Callable[[str], int | None], lower: bool):
+        self.position, self.lower = position, lower
+        self.words: dict[str, np.ndarray] = {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Sorted positions of all n-grams of a text, repeats included."""
+        parts = []
+        for word in ((text or "").lower() if self.lower else text or "").split():
+            at = self.words.get(word)
+            if at is None:
+                if len(self.words) >= WORD_CACHE:
+                    self.words.clear()
+                known = [i for i in map(self.position, ngrams_of(word)) if i is not None]
+                at = self.words[word] = np.array(known, dtype=np.int64)
+            parts.append(at)
+        return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each occurs."""
+    if not len(ids):
+        return ids, ids
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[starts], np.diff(starts, append=len(ids))
 
 
 def term_counts(chunks: DataFrame, text: str = "text", lower: bool = True) -> DataFrame:
@@ -61,33 +86,25 @@ def term_counts(chunks: DataFrame, text: str = "text", lower: bool = True) -> Da
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: dict[str, list[str]] = {}
-        frequency: Counter[str] = Counter()
-        words: Counter[str] = Counter()
+        seen: dict[str, int] = {}
+        grams = Grams(lambda gram: seen.setdefault(gram, len(seen)), lower)
+        totals = np.zeros((2, 0), np.int64)
 
         def flush() -> pa.RecordBatch:
-            totals: Counter[str] = Counter()
-            for word, n in words.items():
-                for gram in grams[word]:
-                    totals[gram] += n
-            terms = list(totals)
-            columns = [pa.array(terms, pa.string())]
-            columns += [pa.array([c[t] for t in terms], pa.int64()) for c in (frequency, totals)]
-            frequency.clear()
-            words.clear()
-            grams.clear()
+            columns = [pa.array(seen, pa.string()), pa.array(totals[0]), pa.array(totals[1])]
+            seen.clear()
+            grams.words.clear()
             return pa.RecordBatch.from_arrays(columns, ["term", "df", "cf"])
 
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                found = words_of(body, lower)
-                words.update(found)
-                distinct = set(found)
-                for word in distinct.difference(grams):
-                    grams[word] = ngrams_of(word)
-                frequency.update(set().union(*map(grams.__getitem__, distinct)))
-                if len(frequency) > FLUSH_TERMS or len(words) > FLUSH_TERMS:
+            for start in range(0, batch.num_rows, COUNT_ROWS):
+                rows = [grams.of(body) for body in batch.column(0).slice(start, COUNT_ROWS).to_pylist()]
+                once = np.concatenate([distinct(ids)[0] for ids in rows])
+                added = [np.bincount(ids, minlength=len(seen)) for ids in (once, np.concatenate(rows))]
+                totals = np.pad(totals, ((0, 0), (0, len(seen) - totals.shape[1]))) + added
+                if len(seen) > FLUSH_TERMS:
                     yield flush()
+                    totals = np.zeros((2, 0), np.int64)
         yield flush()
 
     return chunks.select(text).mapInArrow(count, "term string, df long, cf long")
@@ -128,25 +145,11 @@ class Weigher:
     """Turns texts into normalised sparse rows inside a task."""
 
     def __init__(self, positions: dict[str, int], idfs: np.ndarray, lower: bool):
-        self.positions, self.idfs, self.lower = positions, idfs, lower
-        self.words: dict[str, np.ndarray] = {}
-
-    def _ids(self, word: str) -> np.ndarray:
-        ids = self.words.get(word)
-        if ids is None:
-            at = (self.positions.get(gram) for gram in ngrams_of(word))
-            ids = np.array([i for i in at if i is not None], dtype=np.int64)
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        self.grams, self.idfs = Grams(positions.get, lower), idfs
 
     def row(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term positions and weights tf x idf / norm of one text."""
-        parts = [self._ids(word) for word in words_of(text, self.lower)]
-        if not parts:
-            return np.empty(0, np.int64), np.empty(0)
-        ids, tfs = np.unique(np.concatenate(parts), return_counts=True)
+        ids, tfs = distinct(self.grams.of(text))
         weights = tfs * self.idfs[ids]
         return ids, weights / (np.sqrt(weights @ weights) or 1.0)
 
