@@ -195,7 +195,9 @@ def _weigh_by_join(
     broadcast; the rest have no hot keys left and shuffle evenly.
     """
     hot = vocab.orderBy(F.desc("df"), F.asc("term")).limit(hot_terms).select("term", F.col("idf").alias("_hot"))
-    grams = texts.select(key, F.explode(char_ngrams(F.col(text), lower=lower)).alias("term"))
+    # a row's n-grams stay in its own partition, so counting them does not shuffle again
+    rows = texts.select(key, text).repartition(key)
+    grams = rows.select(key, F.explode(char_ngrams(F.col(text), lower=lower)).alias("term"))
     marked = grams.groupBy(key, "term").agg(F.count("*").alias("tf")).join(F.broadcast(hot), "term", "left")
     easy = marked.filter(F.col("_hot").isNotNull()).select(key, "term", (F.col("tf") * F.col("_hot")).alias("w"))
     rest = (

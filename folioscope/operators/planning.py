@@ -73,13 +73,14 @@ def plan_queries(
     symptom_words: Sequence[str] = tuple(lx.SYMPTOM_WORDS),
     dictionary: dict[str, list[str]] | None = None,
     tail: Sequence[str] = tuple(lx.EXPANSION_TAIL),
+    greetings: Sequence[str] = tuple(lx.PLAN_GREETINGS),
 ) -> DataFrame:
     """Class, search need, keywords and expanded query per question."""
     dictionary = lx.EXPANSIONS if dictionary is None else dictionary
     query = tx.strip(F.col("query"))
     is_symptom = tx.contains_any(query, symptom_words)
     is_domain = is_symptom | tx.contains_any(query, domain_words)
-    greets = is_greeting(query)
+    greets = is_greeting(query, greetings)
     rule = (
         F.when(is_symptom, "symptom_question").when(is_domain, "study_question").otherwise("non_medical_question")
     )

@@ -195,7 +195,9 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 scores = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) @ table
                 yield _best_rows(batch.column(0), scores, ids, k)
 
-        parts.append(unit.mapInArrow(score, f"query_id {kind}, chunk_id string, score double"))
+        # vectors of another length cannot be compared with these queries
+        fitting = unit.filter(F.size("embedding") == matrix.shape[1])
+        parts.append(fitting.mapInArrow(score, f"query_id {kind}, chunk_id string, score double"))
     return rank_hits(stage_all(parts, "hits"), k)
 
 

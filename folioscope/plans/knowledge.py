@@ -112,22 +112,7 @@ def _field_sql(position: int) -> str:
     FROM fields""",
 )
 def query_plan(spark, sf):
-    planned = pn.plan_queries(
-        _turns(spark, sf).withColumn("query", F.col("query")), DOMAIN, SYMPTOMS, DICTIONARY
-    )
-    # the registered greetings of this corpus replace the default list
-    greets = pn.is_greeting(F.col("query"), GREETINGS)
-    none = F.array().cast("array<string>")
-    planned = planned.withColumns(
-        {
-            "expanded_query": F.when(greets, F.col("query")).otherwise(F.col("expanded_query")),
-            "search_keywords": F.when(greets, none).otherwise(F.col("search_keywords")),
-            "need_search": F.col("need_search") & ~greets,
-            "opening": F.when(greets, "").otherwise(F.col("opening")),
-            "answer_focus": F.when(greets, "").otherwise(F.col("answer_focus")),
-            "intent": F.when(greets, "greeting").otherwise(F.col("intent")),
-        }
-    )
+    planned = pn.plan_queries(_turns(spark, sf), DOMAIN, SYMPTOMS, DICTIONARY, greetings=GREETINGS)
     return _joined(pn.gate(planned), "search_keywords", sep=" ").drop("query", "goal")
 
 
