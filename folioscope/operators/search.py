@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
 from folioscope.operators import index as ix
+from folioscope.operators.index import Weigher
 from folioscope.session import MAX_BROADCAST_TERMS, broadcast_if_small, fits, stage, stage_all
 
 QUERY_BLOCK = 256
@@ -152,7 +153,7 @@ def text_top_k(chunks: DataFrame, vocab: DataFrame, query_vectors: DataFrame, k:
             ids, known, table = shared.value
             asked = np.full(len(idfs), -1)
             asked[[positions[term] for term in known.to_pylist()]] = np.arange(len(known))
-            weigher = ix.Weigher(positions, idfs, lower)
+            weigher = Weigher(positions, idfs, lower)
             for batch in batches:
                 if not batch.num_rows or not len(known):
                     continue
