@@ -1,6 +1,6 @@
 """Imports every operator, which registers its query."""
 
-from folioscope.llm import bpe  # noqa: F401
+from folioscope.llm import bpe, exact, pii  # noqa: F401
 from folioscope.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
