@@ -13,69 +13,24 @@ others in their group.  Extra columns pass through whatever their names.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.bloom import Bloom, split
 from folioscope.llm.common import BLANKS, free_name, query, table
 from folioscope.session import stage
 
-HASHES = 3
-BITS_PER_ROW = 16
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of the filter: 128 kB to 32 MB
-
 
 def normal_digest(text: Column) -> Column:
     """SHA-256 in hex of the text with every run of ASCII blanks made one space."""
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "), 256)
 
 
-def _positions(digest: Column, bits: int) -> list[Column]:
-    """From 1 on, as the bitmap functions count."""
-    return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(bits)) + 1 for i in range(HASHES)]
-
-
-def repeated_filter(digests: DataFrame, column: str, rows: int) -> tuple[np.ndarray, int]:
-    """Bits whose positions were hit by two rows at least, and their number."""
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, rows * BITS_PER_ROW):
-        bits *= 2
-    hits = digests.select(F.explode(F.array(*_positions(F.col(column), bits))).alias("at"))
-    twice = hits.groupBy("at").count().filter("count > 1")
-    blocks = twice.groupBy(F.expr("bitmap_bucket_number(at)").alias("block")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bitmap")
-    )
-    filled = np.zeros(bits // 8, np.uint8)
-    for block, bitmap in blocks.toLocalIterator():  # at most MOST_BITS / 32768 rows of 4 kB
-        start = (block - 1) * 4096
-        filled[start : start + len(bitmap)] = np.frombuffer(bitmap, np.uint8)
-    return filled, bits
-
-
-def maybe_repeated(spark: SparkSession, digest: Column, filled: np.ndarray, bits: int) -> Column:
-    """True for every digest that occurs twice, and for few others."""
-    shared = spark.sparkContext.broadcast(filled)
-
-    @F.pandas_udf("boolean")
-    def test(positions: pd.DataFrame) -> pd.Series:
-        found = np.ones(len(positions), bool)
-        for name in positions.columns:
-            at = positions[name].to_numpy(np.int64) - 1
-            found &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(found)
-
-    return test(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(_positions(digest, bits))]))
-
-
 def split_rows(df: DataFrame, digest: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose digest is unique, rows whose digest may be repeated)."""
-    spark = df.sparkSession
     digests = stage(df.select(digest), "digests")
-    filled, bits = repeated_filter(digests, digest, digests.count())
-    mark = free_name(df, "maybe_repeated")
-    marked = df.withColumn(mark, maybe_repeated(spark, F.col(digest), filled, bits))
-    return marked.filter(~F.col(mark)).drop(mark), marked.filter(F.col(mark)).drop(mark)
+    bloom = Bloom(digests, digest, digests.count(), repeated=True)
+    return split(df, F.col(digest), bloom, free_name(df, "maybe_repeated"))
 
 
 def exact_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
