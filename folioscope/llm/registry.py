@@ -1,6 +1,6 @@
 """Imports every operator, which registers its query."""
 
-from folioscope.llm import bpe, chat, exact, near, pii, substring  # noqa: F401
+from folioscope.llm import bpe, chat, contamination, exact, near, pii, substring  # noqa: F401
 from folioscope.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
