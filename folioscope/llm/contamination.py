@@ -118,23 +118,36 @@ class Items:
         """
         pattern, edits = self.codes[item], int(self.edits[item])
         lows = lows - edits
-        band = 2 * self.width + 2 * edits
-        step = np.int64(1) << 32
-        diagonals = lows[:, None] + np.arange(band)
+        band, size = 2 * self.width + 2 * edits, len(pattern)
+        step, far = 1 << 32, 1 << 52
+        reach = lows[:, None] + np.arange(band + size)
+        inside = (reach >= 0) & (reach < len(codes))
+        seen = np.where(inside, codes[np.clip(reach, 0, len(codes) - 1)], np.uint32(0xFFFFFFFF))
+        # a verbatim place needs no alignment
+        same = (np.lib.stride_tricks.sliding_window_view(seen, size, axis=1)[:, :band] == pattern).all(axis=2)
+        plain = same.any(axis=1)
+        found = [(0, int(b), int(b) + size) for b in lows[plain] + same[plain].argmax(axis=1)]
+        if plain.all():
+            return found
+        lows, reach, seen = lows[~plain], reach[~plain], seen[~plain]
         slope = np.arange(band) * step
-        start = np.clip(diagonals, 0, len(codes))
-        cell = np.where(diagonals >= 0, start, step * (1 << 20))
-        wall = np.full((len(lows), 1), step * (1 << 20))
+        # one cell more at the right, which no alignment passes
+        cell = np.full((len(lows), band + 1), far, np.int64)
+        first = reach[:, :band]
+        cell[:, :band] = np.where(first >= 0, np.minimum(first, len(codes)), far)
+        work = np.empty((len(lows), band), np.int64)
         for i, code in enumerate(pattern):
-            at = diagonals + i
-            inside = (at >= 0) & (at < len(codes))
-            differs = (codes[np.clip(at, 0, len(codes) - 1)] != code) | ~inside
-            cell = np.minimum(cell + differs * step, np.concatenate((cell[:, 1:], wall), axis=1) + step)
-            cell = np.minimum.accumulate(cell - slope, axis=1) + slope
-        best = np.argmin(cell, axis=1)
-        value = cell[np.arange(len(lows)), best]
-        ends = np.minimum(lows + best + len(pattern), len(codes))
-        return [(int(v >> 32), int(v & 0xFFFFFFFF), int(e)) for v, e in zip(value, ends)]
+            np.multiply(seen[:, i : i + band] != code, step, out=work)
+            work += cell[:, :band]
+            np.minimum(work, cell[:, 1:] + step, out=work)
+            work -= slope
+            np.minimum.accumulate(work, axis=1, out=work)
+            work += slope
+            cell[:, :band] = work
+        best = np.argmin(work, axis=1)
+        value = work[np.arange(len(lows)), best]
+        ends = np.minimum(lows + best + size, len(codes))
+        return found + [(int(v >> 32), int(v & 0xFFFFFFFF), int(e)) for v, e in zip(value, ends)]
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(number of the text, key of the item, start, end, edits), one row per text and item."""
