@@ -178,22 +178,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class Vocabulary:
-    """Ranks and pattern as broadcast; a Python worker builds its codec once and keeps it over tasks."""
-
-    def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
-        self.codec: Codec | None = None
-
-    def __getstate__(self) -> dict:
-        return {"ranks": self.ranks, "pattern": self.pattern, "codec": None}
-
-    def get(self) -> Codec:
-        if self.codec is None:
-            self.codec = Codec(self.ranks, self.pattern)
-        return self.codec
-
-
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`df` with the array column `ids`: the token ids of every whole text (null text: no ids).
 
@@ -201,10 +185,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     size is that of the vocabulary, are broadcast.
     """
     spark = df.sparkSession
-    ranks = spark.sparkContext.broadcast(Vocabulary(read_ranks(path), pattern))
+    ranks = spark.sparkContext.broadcast({"ranks": read_ranks(path), "pattern": pattern})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ranks.value.get()
+        held = ranks.value  # a Python worker unpickles it once, so the codec and what it learns stay
+        codec = held.get("codec") or held.setdefault("codec", Codec(held["ranks"], held["pattern"]))
         for batch in batches:
             column = batch.column(text)
             offsets, flat = [0], []

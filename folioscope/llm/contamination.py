@@ -7,7 +7,7 @@ reach the bound are aligned within the band, and those of at most k edits are ma
 
 Texts are compared in lower case with runs of blanks as one space; offsets refer to the text as given,
 in code points.  The benchmark is the query set: it is taken in blocks of bounded size, one pass over
-the documents each, and only a block is ever broadcast.
+the documents each, and only the index of a block goes to the tasks.
 
 Null and empty texts match nothing, on either side; nor do items of fewer than `q` characters.  Of
 several places of an item in a document the one with the fewest edits counts, then the first.  Equal
@@ -216,19 +216,17 @@ def find_passages(
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item_id, item_text):
-        found = found.unionByName(docs.mapInArrow(_search(spark, block, q, percent), schema))
+        found = found.unionByName(docs.mapInArrow(_search(Items(block, q, percent)), schema))
     return found
 
 
-def _search(spark: SparkSession, block: list[tuple[int, str]], q: int, percent: int):
-    items = spark.sparkContext.broadcast(Items(block, q, percent))
-
+def _search(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (first + text, *match)
                 for first, texts in _parts(batch.column(1))
-                for text, *match in items.value.matches(texts)
+                for text, *match in items.matches(texts)
             ]
             columns = list(zip(*rows)) if rows else [()] * 5
             ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
@@ -251,13 +249,13 @@ def drop_contaminated(
     """`df` without the rows that hold a benchmark text; decided in the scan, without a shuffle."""
     at = df.columns.index(text)
     for block in _blocks(benchmark, item_id, item_text):
-        items = df.sparkSession.sparkContext.broadcast(Items(block, q, percent))
+        items = Items(block, q, percent)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 stay = np.ones(batch.num_rows, bool)
                 for first, texts in _parts(batch.column(at)):
-                    stay[[first + match[0] for match in items.value.matches(texts)]] = False
+                    stay[[first + match[0] for match in items.matches(texts)]] = False
                 yield batch.filter(pa.array(stay))
 
         df = df.mapInArrow(run, df.schema)

@@ -179,7 +179,7 @@ def find_licenses(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None
 ) -> DataFrame:
     """doc_id, license, first_word, end_word, containment of every notice found in a document."""
-    index = df.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    index = Index(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -189,7 +189,7 @@ def find_licenses(
                 texts.append(text)
                 size += len(text) // 6
                 if size >= CHUNK or row + 1 == batch.num_rows:
-                    rows += [(first + doc, *find) for doc, *find in index.value.finds(texts, hashes)]
+                    rows += [(first + doc, *find) for doc, *find in index.finds(texts, hashes)]
                     texts, first, size = [], row + 1, 0
             columns = list(zip(*rows)) if rows else [()] * 5
             ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
