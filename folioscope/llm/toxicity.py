@@ -40,6 +40,7 @@ BUCKETS = 1 << 16  # of the classifier's words and beginnings
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word that stand for its inflected forms
 THRESHOLD = 0.3
 PRIOR = 0.1
+UNSEEN = 2.0  # weight of a fixed insult that the rows don't have
 CLOSE = 0.05  # correlation from which two voters make a triple with the label
 DEPENDENT = 0.2  # correlation left over by the model from which two voters share a voice
 
@@ -207,7 +208,8 @@ class LabelModel:
         reach = link * spread  # covariance with the label over the label's own spread
         on = np.clip(rate + reach * np.sqrt((1 - prior) / prior), 1e-5, 1 - 1e-5)
         off = np.clip(rate - reach * np.sqrt(prior / (1 - prior)), 1e-5, 1 - 1e-5)
-        self.weight = np.where(used, voice * np.log(on / off), 0.0)
+        fixed = np.arange(size) < len(INSULTS)
+        self.weight = np.where(used, voice * np.log(on / off), np.where(fixed, UNSEEN, 0.0))
         self.bias = float(np.log(prior / (1 - prior)))
 
     def posterior(self, votes: list[list[int]]) -> np.ndarray:
@@ -222,14 +224,14 @@ def _features(text: bytes, voters: Voters, hashes: WordHash) -> tuple[np.ndarray
 
 
 class Linear:
-    """Logistic regression on rows of [words | votes], fitted to posterior labels."""
+    """Logistic regression on rows of [words | votes], fitted to posterior labels from the model's weights on."""
 
-    def __init__(self, rows: list[np.ndarray], votes: list[list[int]], target: np.ndarray, voters: int):
-        self.voters = voters
-        self.weight = np.zeros(BUCKETS + voters)
-        self.bias = float(np.log(target.mean() / (1 - target.mean()))) if len(target) else 0.0
+    def __init__(self, rows: list[np.ndarray], votes: list[list[int]], model: LabelModel):
+        self.weight = np.concatenate((np.zeros(BUCKETS), model.weight))
+        self.bias = model.bias + model.silent
         if not len(rows):
             return
+        target = model.posterior(votes)
         index = [np.concatenate((r, BUCKETS + np.array(v, np.int32))) for r, v in zip(rows, votes)]
         scale = np.concatenate([self._scale(len(r), len(v)) for r, v in zip(rows, votes)])
         flat = np.concatenate(index).astype(np.int64)
@@ -314,10 +316,7 @@ def fit(
     votes = [list(r.votes) for r in found]
     toxic = np.array([r.toxic for r in found], float)
     model = LabelModel(rows, together, prior, votes, toxic)
-    linear = Linear(words, votes, model.posterior(votes), voters.count)
-    if not found:
-        linear.bias = model.bias + model.silent
-        linear.weight[BUCKETS:] = model.weight
+    linear = Linear(words, votes, model)
     logits = np.array([linear.logit(w, v) for w, v in zip(words, votes)])
     slope, shift = _scale(logits, toxic)
     return Model(voters, linear, slope, shift)
