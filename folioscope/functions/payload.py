@@ -65,7 +65,23 @@ def number_field(payload: Column, name: str, default: float) -> Column:
 
 
 def flag_field(payload: Column, name: str) -> Column:
-    return F.try_variant_get(payload, f"$.{name}", "boolean")
+    """Truth of a field: text, lists and objects are true unless empty, numbers unless zero, null is false.
+
+    Null only when the field is absent.
+    """
+    path = f"$.{name}"
+    value = F.try_variant_get(payload, path, "variant")
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(payload, path, "string")
+    present = F.array_contains(F.map_keys(F.try_variant_get(payload, "$", "map<string,variant>")), name)
+    truth = (
+        F.when(F.coalesce(F.is_variant_null(value), F.lit(True)), F.lit(False))
+        .when(kind == "BOOLEAN", F.try_variant_get(payload, path, "boolean"))
+        .when(kind == "STRING", F.length(text) > 0)
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(value).isin("[]", "{}"))
+        .otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True)))
+    )
+    return F.when(present, truth)
 
 
 def aliased(value: Column, aliases: dict[str, str], allowed: list[str], default: Column | str) -> Column:

@@ -30,7 +30,7 @@ UNKNOWN_CHAPTER = "章节待识别"
 UNRECOGNISED_CHAPTER = "未识别章节"
 
 # --- fixed values: headings ------------------------------------------------------
-MARKDOWN_HEADING = r"^(#{1,4})[ \t\x0b\f\r]+(.+)"
+MARKDOWN_HEADING = r"(?U)^(#{1,4})[\s&&[^\n]]+([^\n]+)"
 TEXT_HEADINGS = [
     r"^第[一二三四五六七八九十百零\d]+章\s*",
     r"^第[一二三四五六七八九十百零\d]+节\s*",
@@ -73,6 +73,8 @@ INTENT_ALIASES = {
     "greeting": "greeting",
 }
 INTENTS = ["greeting", "ask", "graph_build", "graph_update", "report", "unknown"]
+# rule plans of these kinds are never replaced by a payload
+RULE_PLANS = ["greeting", "symptom_question", "non_medical_question"]
 PLAN_INTENTS = [
     "greeting",
     "medical_question",

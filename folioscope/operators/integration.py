@@ -61,22 +61,25 @@ def summarise(topics: DataFrame, evidence: DataFrame, nodes: DataFrame) -> DataF
     )
 
 
-def node_detail(nodes: DataFrame, evidence: DataFrame, searched: DataFrame) -> DataFrame:
+def node_detail(nodes: DataFrame, evidence: DataFrame, searched: DataFrame, fallback: int = 5) -> DataFrame:
     """Definition, detail and citations of each node.
 
-    Sources are the node's own evidence, else the first five of its search
-    searched(graph_id, node_id, rank, ...).
+    Sources are the node's own evidence, else the first `fallback` rows of its search
+    searched(graph_id, node_id, rank, ...).  Whether several books share the node is judged by its own
+    evidence alone.
     """
     keys = ["graph_id", "node_id"]
     columns = ["rank", "evidence_id", "book", "chapter", "page", "quote"]
     own = nodes.select(*keys, F.explode("evidence_ids").alias("evidence_id")).join(
         evidence.select("graph_id", *columns), ["graph_id", "evidence_id"]
     )
-    fallback = searched.filter(F.col("rank") <= 5).join(own.select(*keys).distinct(), keys, "left_anti")
-    sources = own.select(*keys, *columns).unionByName(fallback.select(*keys, *columns))
+    other = searched.filter(F.col("rank") <= fallback).join(own.select(*keys).distinct(), keys, "left_anti")
+    sources = own.select(*keys, *columns, F.col("book").alias("own_book")).unionByName(
+        other.select(*keys, *columns, F.lit("").alias("own_book"))
+    )
     items = sources.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", "evidence_id", "book", "chapter", "page", "quote"))).alias("items"),
-        F.count_distinct(F.when(F.length("book") > 0, F.col("book"))).alias("n_books"),
+        F.count_distinct(F.when(F.length("own_book") > 0, F.col("own_book"))).alias("n_books"),
     )
     rows = nodes.select(*keys, "name", "summary").join(items, keys, "left")
     first = F.coalesce(F.get("items", F.lit(0))["quote"], F.lit(""))

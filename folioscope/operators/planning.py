@@ -163,8 +163,12 @@ def normalise_route(payloads: DataFrame) -> DataFrame:
 
 
 def normalise_plan(payloads: DataFrame, plans: DataFrame) -> DataFrame:
-    """Externally produced plans over the rule plans as defaults (P5)."""
-    joined = plans.join(payloads.select("query_id", pl.extract_json(F.col("payload")).alias("_j")), "query_id", "left")
+    """Externally produced plans over the rule plans as defaults (P5).
+
+    Rule plans of the kinds in `lexicon.RULE_PLANS` stand whatever the payload says.
+    """
+    joined = plans.join(payloads.select("query_id", pl.extract_json(F.col("payload")).alias("_p")), "query_id", "left")
+    joined = joined.withColumn("_j", F.when(~F.col("intent").isin(lx.RULE_PLANS), F.col("_p")))
     j = F.col("_j")
     intent = F.coalesce(pl.string_field(j, "intent"), F.col("intent"))
     words = F.coalesce(pl.list_field(j, "search_keywords"), F.col("search_keywords"))

@@ -25,7 +25,8 @@ def running_count(
 ) -> DataFrame:
     """Number of flagged rows up to and including this one, per key."""
     cut = _blocked(df.withColumn("_flag", flag.cast("long")), order, block)
-    inner = W.partitionBy(*keys, "_block").orderBy(order)
+    # rows, not values: rows of equal order are counted one by one
+    inner = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = (
         cut.groupBy(*keys, "_block")

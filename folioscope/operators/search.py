@@ -25,15 +25,16 @@ from folioscope.session import MAX_BROADCAST_TERMS, broadcast_if_small, fits, st
 
 QUERY_BLOCK = 256
 MAX_CELLS = 1 << 25
-MAX_TOP_K = 50
+ROOM = 4  # rows that a task holds per query, as a multiple of k, before it cuts them to k
 
 
-def clamp(k: int, high: int | None = MAX_TOP_K) -> int:
-    return max(1, k if high is None else min(int(k), high))
+def clamp(k: int, high: int | None = None) -> int:
+    """At least one; at most `high` where the caller wants a limit."""
+    return max(1, int(k) if high is None else min(int(k), high))
 
 
-def _batch_best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best rounded scores above zero in each column.
+def _batch_best(scores: np.ndarray, k: int, positive: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best rounded scores in each column, only above zero if `positive`.
 
     Rows come in chunk_id order, so equal scores are cut exactly as the final ranking does.
     """
@@ -44,7 +45,41 @@ def _batch_best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     level = rounded == floor
     room = kept - above.sum(axis=0)
     chosen = above | (level & (np.cumsum(level, axis=0) <= room))
-    return np.nonzero(chosen & (scores > 0))
+    return np.nonzero(chosen & (scores > 0) if positive else chosen)
+
+
+class _Running:
+    """The k best rows per query that a task has seen so far, in the order of the final ranking."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.limit = k, ROOM * k * max(1, queries)
+        self.held: list[pa.Table] = []
+        self.rows = 0
+
+    def add(self, query: np.ndarray, chunk_ids: pa.Array, scores: np.ndarray) -> None:
+        columns = [pa.array(query), chunk_ids, pa.array(scores), pa.array(np.round(scores, 6))]
+        self.held.append(pa.table(columns, names=["query", "chunk_id", "score", "rounded"]))
+        self.rows += len(query)
+        if self.rows > self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        if not self.held:
+            return
+        whole = pa.concat_tables(self.held).sort_by(
+            [("query", "ascending"), ("rounded", "descending"), ("chunk_id", "ascending")]
+        )
+        query = whole.column("query").to_numpy()
+        first = np.searchsorted(query, query, side="left")
+        whole = whole.filter(pa.array(np.arange(len(query)) - first < self.k))
+        self.held, self.rows = [whole], whole.num_rows
+
+    def batches(self, query_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        for whole in self.held:
+            ids = query_ids.take(whole.column("query").combine_chunks())
+            table = pa.table([ids, whole.column("chunk_id"), whole.column("score")], names=["query_id", "chunk_id", "score"])
+            yield from table.combine_chunks().to_batches()
 
 
 def rank_hits(hits: DataFrame, k: int | None, key: str = "chunk_id") -> DataFrame:
@@ -54,26 +89,30 @@ def rank_hits(hits: DataFrame, k: int | None, key: str = "chunk_id") -> DataFram
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, width: str) -> Iterator[DataFrame]:
-    """Blocks of queries whose score table stays within MAX_CELLS.
+def _passes(queries: DataFrame, width: str) -> Iterator[list[DataFrame]]:
+    """Blocks of queries, in groups that share one pass over the corpus.
 
     `width` is the array that spans the table's other side; a block of q queries with at
-    most w entries each has at most q * w rows and q columns.  The queries are staged first:
-    a block must see the same rows on every read.
+    most w entries each has at most q * w rows and q columns.  The tables of a pass have at most
+    MAX_CELLS cells, so what is broadcast stays bounded.  The queries are staged first: a block must
+    see the same rows on every read.
     """
     queries = stage(queries, "queries")
     total, widest = queries.agg(F.count("*"), F.max(F.size(width))).first()
     if not total:
-        yield queries
+        yield [queries]
         return
-    block = max(1, min(QUERY_BLOCK, math.isqrt(MAX_CELLS // max(1, widest))))
+    widest = max(1, widest)
+    block = max(1, min(QUERY_BLOCK, math.isqrt(MAX_CELLS // widest)))
     if total <= block:
-        yield queries
+        yield [queries]
         return
     parts = -(-total // max(1, block * 3 // 4))
     part_of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    for part in range(parts):
-        yield queries.filter(part_of == part)
+    blocks = [queries.filter(part_of == part) for part in range(parts)]
+    together = max(1, MAX_CELLS // (block * block * widest))
+    for at in range(0, parts, together):
+        yield blocks[at : at + together]
 
 
 def _scores(rows: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.ndarray:
@@ -85,14 +124,6 @@ def _scores(rows: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.
     return scores
 
 
-def _best_rows(chunk_ids: pa.Array, scores: np.ndarray, query_ids: pa.Array, k: int) -> pa.RecordBatch:
-    row, column = _batch_best(scores, k)
-    return pa.RecordBatch.from_arrays(
-        [query_ids.take(pa.array(column)), chunk_ids.take(pa.array(row)), pa.array(scores[row, column])],
-        ["query_id", "chunk_id", "score"],
-    )
-
-
 def _query_table(block: DataFrame) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """(query ids, query terms, term x query weights) of one bounded block."""
     rows = block.select("query_id", "terms", "weights").toArrow()
@@ -104,35 +135,59 @@ def _query_table(block: DataFrame) -> tuple[pa.Array, pa.Array, np.ndarray]:
     return rows.column("query_id").combine_chunks(), terms, table
 
 
+def _one_pass(chunks: DataFrame, tables: list[tuple], score_batch, k: int, kind: str, positive: bool) -> DataFrame:
+    """Score every batch against all query tables; a task puts out k rows per query at its end.
+
+    `score_batch()` gives a function (batch, number of the table, table) -> score matrix, made once
+    per task.
+    """
+    shared = chunks.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [_Running(len(ids), k) for ids, *_ in shared.value]
+        scored = score_batch(shared.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            for (ids, *_), running, scores in zip(shared.value, best, scored(batch)):
+                if scores is not None and len(ids):
+                    row, column = _batch_best(scores, k, positive)
+                    running.add(column, batch.column(0).take(pa.array(row)), scores[row, column])
+        for (ids, *_), running in zip(shared.value, best):
+            yield from running.batches(ids)
+
+    return chunks.mapInArrow(run, f"query_id {kind}, chunk_id string, score double")
+
+
 def sparse_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine over stored vectors.
 
     Scores of zero are no hits.
     """
     kind = query_vectors.schema["query_id"].dataType.simpleString()
-    parts = []
-    for block in _blocks(query_vectors, "terms"):
-        shared = vectors.sparkSession.sparkContext.broadcast(_query_table(block))
 
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, known, table = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(known):
+    def score_batch(tables):
+        def scored(batch):
+            ends = batch.column(1).offsets.to_numpy()
+            terms, weights = batch.column(1).flatten(), batch.column(2).flatten().to_numpy()
+            for _, known, table in tables:
+                if not len(known):
+                    yield None
                     continue
-                batch = batch.take(pc.sort_indices(batch.column(0)))
-                at = pc.index_in(batch.column(1).flatten(), value_set=known)
+                at = pc.index_in(terms, value_set=known)
                 hit = at.is_valid().to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(hit)])[batch.column(1).offsets.to_numpy()]
-                at = at.drop_null().to_numpy()
-                weights = batch.column(2).flatten().to_numpy()[hit]
-                rows = [(at[low:high], weights[low:high]) for low, high in zip(ends[:-1], ends[1:])]
-                yield _best_rows(batch.column(0), _scores(rows, table), ids, k)
-
-        parts.append(
-            vectors.select("chunk_id", "terms", "weights").mapInArrow(
-                score, f"query_id {kind}, chunk_id string, score double"
-            )
-        )
+                cuts = np.concatenate([[0], np.cumsum(hit)])[ends]
+                places, own = at.drop_null().to_numpy(), weights[hit]
+                yield _scores([(places[low:high], own[low:high]) for low, high in zip(cuts[:-1], cuts[1:])], table)
+
+        return scored
+
+    stored = vectors.select("chunk_id", "terms", "weights")
+    parts = [
+        _one_pass(stored, [_query_table(block) for block in blocks], score_batch, k, kind, True)
+        for blocks in _passes(query_vectors, "terms")
+    ]
     return rank_hits(stage_all(parts, "hits"), k)
 
 
@@ -140,65 +195,77 @@ def text_top_k(chunks: DataFrame, vocab: DataFrame, query_vectors: DataFrame, k:
     """As `sparse_top_k`, weighing the chunk texts in the same pass.
 
     For one batch of queries this beats storing the vectors, which are an order of
-    magnitude larger than the text.  The vocabulary must be within the broadcast bound.
+    magnitude larger than the text.  A text is cut into terms once, however many blocks of queries
+    there are.  The vocabulary must be within the broadcast bound.
     """
     kind = query_vectors.schema["query_id"].dataType.simpleString()
     words = ix.share_vocabulary(vocab)
-    parts = []
-    for block in _blocks(query_vectors, "terms"):
-        shared = chunks.sparkSession.sparkContext.broadcast(_query_table(block))
 
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            positions, idfs, _ = words.value
-            ids, known, table = shared.value
+    def score_batch(tables):
+        positions, idfs, _ = words.value
+        weigher = Weigher(positions, idfs, lower)
+        places = []
+        for _, known, _ in tables:
             asked = np.full(len(idfs), -1)
             asked[[positions[term] for term in known.to_pylist()]] = np.arange(len(known))
-            weigher = Weigher(positions, idfs, lower)
-            for batch in batches:
-                if not batch.num_rows or not len(known):
-                    continue
-                batch = batch.take(pc.sort_indices(batch.column(0)))
-                rows = []
-                for body in batch.column(1).to_pylist():
-                    at, weights = weigher.row(body)
-                    at = asked[at]
-                    rows.append((at[at >= 0], weights[at >= 0]))
-                yield _best_rows(batch.column(0), _scores(rows, table), ids, k)
-
-        parts.append(
-            chunks.select("chunk_id", "text").mapInArrow(score, f"query_id {kind}, chunk_id string, score double")
-        )
+            places.append(asked)
+
+        def scored(batch):
+            weighed = [weigher.row(body) for body in batch.column(1).to_pylist()]
+            for (_, known, table), asked in zip(tables, places):
+                rows = [(at[at >= 0], weights[at >= 0]) for at, weights in ((asked[t], w) for t, w in weighed)]
+                yield _scores(rows, table) if len(known) else None
+
+        return scored
+
+    texts = chunks.select("chunk_id", "text")
+    parts = [
+        _one_pass(texts, [_query_table(block) for block in blocks], score_batch, k, kind, True)
+        for blocks in _passes(query_vectors, "terms")
+    ]
     return rank_hits(stage_all(parts, "hits"), k)
 
 
+def comparable(vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors of a length that some query has, the others): the second must not pass unseen."""
+    sizes = queries.select(F.size("embedding").alias("_size")).distinct()
+    sized = vectors.withColumn("_size", F.coalesce(F.size("embedding"), F.lit(-1)))
+    return sized.join(sizes, "_size", "left_semi").drop("_size"), sized.join(sizes, "_size", "left_anti").drop("_size")
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k of query vectors over chunk vectors.
 
     `vectors(chunk_id, embedding)` and `queries(query_id, embedding)`.  One matrix product
-    per Arrow batch; no cross join.
+    per Arrow batch and block; no cross join.  Scores of zero and below are hits like others.  Vectors
+    whose length no query has cannot be compared; `comparable` lists them.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
-    context = vectors.sparkSession.sparkContext
     unit = vectors.select("chunk_id", ix.l2_normalise(F.col("embedding")).alias("embedding"))
-    parts = []
     asked = queries.select("query_id", ix.l2_normalise(F.col("embedding")).alias("embedding"))
-    for block in _blocks(asked, "embedding"):
-        rows = block.toArrow()
-        matrix = np.array(rows.column("embedding").to_pylist(), dtype=np.float64).reshape(rows.num_rows, -1)
-        shared = context.broadcast((rows.column("query_id").combine_chunks(), matrix.T))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, table = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                batch = batch.take(pc.sort_indices(batch.column(0)))
-                scores = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) @ table
-                yield _best_rows(batch.column(0), scores, ids, k)
 
-        # vectors of another length cannot be compared with these queries
-        fitting = unit.filter(F.size("embedding") == matrix.shape[1])
-        parts.append(fitting.mapInArrow(score, f"query_id {kind}, chunk_id string, score double"))
+    def score_batch(tables):
+        def scored(batch):
+            values, offsets = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            matrix = values.reshape(batch.num_rows, -1) if offsets[-1] > offsets[0] else None
+            for _, table in tables:
+                yield matrix @ table if matrix is not None and matrix.shape[1] == len(table) else None
+
+        return scored
+
+    sizes = [r[0] for r in asked.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect()]
+    parts = []
+    for size in sizes:
+        fitting = unit.filter(F.size("embedding") == size)
+        for blocks in _passes(asked.filter(F.size("embedding") == size), "embedding"):
+            tables = []
+            for block in blocks:
+                rows = block.toArrow()
+                matrix = np.array(rows.column("embedding").to_pylist(), dtype=np.float64).reshape(rows.num_rows, -1)
+                tables.append((rows.column("query_id").combine_chunks(), matrix.T))
+            parts.append(_one_pass(fitting, tables, score_batch, k, kind, False))
+    if not parts:
+        parts = [unit.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id string, score double")]
     return rank_hits(stage_all(parts, "hits"), k)
 
 
@@ -216,8 +283,8 @@ class SparseIndex:
         self.n_chunks = chunks.count()
         self.vocab = stage(ix.vocabulary(chunks, self.n_chunks, max_features, lower), "vocab")
 
-    def search(self, queries: DataFrame, k: int, high: int | None = MAX_TOP_K) -> DataFrame:
-        """Top-k per row of queries(query_id, query)."""
+    def search(self, queries: DataFrame, k: int, high: int | None = None) -> DataFrame:
+        """Top-k per row of queries(query_id, query); `high` limits k where the caller asks for it."""
         asked = query_vectors(queries, self.vocab, self.lower)
         if fits(self.vocab, MAX_BROADCAST_TERMS):
             return text_top_k(self.chunks, self.vocab, asked, clamp(k, high), self.lower)
@@ -291,8 +358,12 @@ def hybrid_search(
 ) -> DataFrame:
     """Candidate lists of max(3k, 10) rows each, fused.
 
-    `dense` is (chunk vectors, query vectors keyed by query_id and match_type).
+    `dense` is (chunk vectors, query vectors keyed by query_id and match_type).  It is used only if
+    there is a vector for every chunk (X5); else the sparse lists stand alone, and
+    `index.dense_gate` has the warning.
     """
+    if dense is not None and not ix.dense_gate(sparse.chunks, dense[0]).first().has_embedding:
+        dense = None
     wanted = max(3 * k, 10)
     variants = query_variants(queries)
     texts = variants.filter(F.col("match_type").startswith("tfidf")).select(

@@ -50,28 +50,27 @@ def heading_sections(docs: DataFrame, key: str = "doc_id", rule: HeadingRule = M
     document costs time in its own lines only.  Sections without body emit nothing.
     """
 
-    def sections(lines: Column) -> Column:
-        heads = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: rule.is_heading(F.get(lines, i)))
-
-        def cut(starts: Column) -> Column:
-            every = F.transform(
-                starts,
-                lambda at, j: F.struct(
-                    F.when(at < 0, F.lit(rule.first_title)).otherwise(rule.title(F.get(lines, at))).alias("title"),
-                    F.filter(
-                        F.slice(lines, at + 2, F.coalesce(F.get(starts, j + 1), F.size(lines)) - at - 1),
-                        lambda line: line != "",
-                    ).alias("body"),
-                ),
-            )
-            return F.filter(every, lambda s: F.size(s["body"]) > 0)
-
-        return tx.bind(F.concat(F.array(F.lit(-1)), heads), cut)
+    # a line knows its number and whether it is a heading before any section is cut, so the cutting
+    # itself works on plain columns and evaluates no heading test inside nested functions
+    marked = F.transform(
+        F.col("_lines"), lambda line, i: F.struct(i.alias("at"), line.alias("line"), rule.is_heading(line).alias("head"))
+    )
+    heads = F.transform(F.filter(F.col("_marked"), lambda m: m["head"]), lambda m: m["at"])
+    starts, lines = F.col("_starts"), F.col("_lines")
+    sections = F.transform(
+        F.arrays_zip(starts.alias("at"), F.slice(F.concat(starts, F.array(F.size(lines))), F.lit(2), F.size(starts)).alias("end")),
+        lambda s: F.struct(
+            F.when(s["at"] < 0, F.lit(rule.first_title)).otherwise(rule.title(F.get(lines, s["at"]))).alias("title"),
+            F.filter(F.slice(lines, s["at"] + 2, s["end"] - s["at"] - 1), lambda line: line != "").alias("body"),
+        ),
+    )
+    sections = F.filter(sections, lambda s: F.size(s["body"]) > 0)
 
     cleaned = docs.select(key, tx.clean(F.coalesce("text", F.lit(""))).alias("text"))
-    lines = F.transform(F.split("text", "\n"), tx.strip)
+    cleaned = cleaned.withColumn("_lines", F.transform(F.split("text", "\n"), tx.strip)).withColumn("_marked", marked)
+    cleaned = cleaned.withColumn("_starts", F.concat(F.array(F.lit(-1)), heads))
     # a document without body keeps one empty section, which becomes the whole-text chapter
-    cut = cleaned.select(key, "text", tx.bind(lines, sections).alias("_s")).select(
+    cut = cleaned.select(key, "text", sections.alias("_s")).select(
         key,
         F.when(F.size("_s") == 0, F.col("text")).alias("_whole"),
         F.posexplode_outer("_s").alias("_n", "_s"),

@@ -353,20 +353,18 @@ def _label_centroids(spark, sf):
       list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]))
       / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) / sqrt(list_sum(list_transform(q, lambda x: x * x))) AS score
       FROM embeddings, dense_queries),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scored WHERE score > 0)
-    SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 50""",
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scored)
+    SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 60""",
 )
 def search_dense(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "embedding")
-    hits = se.dense_top_k(vectors, _label_centroids(spark, sf), 50)
+    hits = se.dense_top_k(vectors, _label_centroids(spark, sf), 60)
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 # hybrid: a chunk is a whole document, the vector of a document or question is the one
-# with the same number
-_DOC_INDEX = f"""chunks AS (SELECT 'd' || doc_id AS chunk_id, doc_id, text FROM documents),
-{sql.sparse_index(lower=True)},
-{sql.QUESTIONS},
+# with the same number, that of an expanded question the one after it
+_VARIANTS = f"""{sql.QUESTIONS},
 variants AS (
   SELECT query_id, 3 AS list_no, 'tfidf_original' AS match_type, 0.9 AS w, question AS query FROM questions
   UNION ALL SELECT query_id, 4, 'tfidf_expanded', 0.85, question || ' ' || expected_keywords[1] FROM questions WHERE len(expected_keywords) > 0
@@ -375,18 +373,13 @@ variants AS (
     || ' ' || array_to_string(expected_keywords, ' ') FROM questions WHERE len(expected_keywords) > 0),
 sparse_queries AS (SELECT query_id || ':' || list_no AS query_id, query FROM variants),
 {sql.search('sparse_queries', 30, 'found')},
-unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-normed AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM unit),
-dense_scores AS (
-  SELECT q.vec_id AS query_id, 'd' || d.vec_id AS chunk_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS score
-  FROM normed q JOIN questions ON query_id = q.vec_id, normed d JOIN documents ON doc_id = d.vec_id),
-dense_found AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank
-                 FROM dense_scores WHERE score > 0) WHERE rank <= 30),
-lists AS (
+sparse_lists AS (
   SELECT v.query_id, v.list_no, v.match_type, v.w, f.chunk_id, f.score
-  FROM found f JOIN variants v ON f.query_id = v.query_id || ':' || v.list_no
-  UNION ALL SELECT query_id, 1, 'embedding_original', 1.0, chunk_id, score FROM dense_found)"""
+  FROM found f JOIN variants v ON f.query_id = v.query_id || ':' || v.list_no)"""
+_FUSED = """fused AS (SELECT query_id, chunk_id, sum(w * score) AS score, string_agg(match_type, ', ' ORDER BY list_no) AS match_type
+              FROM lists GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM fused)
+    SELECT query_id, chunk_id, rank, match_type, round(score, 4) AS score FROM ranked WHERE rank <= 10"""
 
 
 def _doc_chunks(spark, sf):
@@ -411,27 +404,58 @@ def _variant_source(spark, sf):
 
 
 def _question_vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("query_id"), F.lit("embedding_original").alias("match_type"), "embedding"
+    vectors = table(spark, sf, "embeddings")
+    lists = [("embedding_original", 0), ("embedding_expanded", 1)]
+    rows = [vectors.select((F.col("vec_id") - ahead).alias("query_id"), F.lit(name).alias("match_type"), "embedding") for name, ahead in lists]
+    return rows[0].unionByName(rows[1])
+
+
+def _hybrid(spark, sf, chunks, vectors):
+    index = se.SparseIndex(chunks)
+    dense = (vectors, _question_vectors(spark, sf))
+    hits = se.hybrid_search(index, _variant_source(spark, sf), 10, dense, cap=10)
+    return hits.select(
+        "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "match_type", F.round("score", 4).alias("score")
     )
 
 
 @query(
     "search_hybrid",
-    f"""WITH {_DOC_INDEX},
-    fused AS (SELECT query_id, chunk_id, sum(w * score) AS score, string_agg(match_type, ', ' ORDER BY list_no) AS match_type
-              FROM lists GROUP BY ALL),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM fused)
-    SELECT query_id, chunk_id, rank, match_type, round(score, 4) AS score FROM ranked WHERE rank <= 10""",
+    f"""WITH chunks AS (SELECT 'd' || doc_id AS chunk_id, doc_id, text FROM documents),
+    {sql.sparse_index(lower=True)}, {_VARIANTS},
+    lists AS (SELECT * FROM sparse_lists),
+    {_FUSED}""",
 )
 def search_hybrid(spark, sf):
-    index = se.SparseIndex(_doc_chunks(spark, sf))
-    hits = se.hybrid_search(
-        index, _variant_source(spark, sf), 10, (_doc_vectors(spark, sf), _question_vectors(spark, sf)), cap=10
-    )
-    return hits.select(
-        "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "match_type", F.round("score", 4).alias("score")
-    )
+    """Only English documents have a vector, so the sparse lists stand alone."""
+    english = table(spark, sf, "documents").filter("lang = 'en'").select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"))
+    return _hybrid(spark, sf, _doc_chunks(spark, sf), _doc_vectors(spark, sf).join(english, "chunk_id", "left_semi"))
+
+
+@query(
+    "search_hybrid_full",
+    f"""WITH chunks AS (SELECT 'd' || doc_id AS chunk_id, doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+    {sql.sparse_index(lower=True)}, {_VARIANTS},
+    unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    normed AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM unit),
+    dense_queries AS (
+      SELECT query_id, 1 AS list_no, 'embedding_original' AS match_type, 1.0 AS w, v FROM questions JOIN normed ON vec_id = query_id
+      UNION ALL SELECT query_id, 2, 'embedding_expanded', 0.95, v FROM questions JOIN normed ON vec_id = query_id + 1
+      WHERE len(expected_keywords) > 0),
+    dense_lists AS (
+      SELECT query_id, list_no, match_type, w, chunk_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id, list_no ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM (
+          SELECT q.* EXCLUDE (v), 'd' || d.vec_id AS chunk_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS score
+          FROM dense_queries q, normed d WHERE d.vec_id IN (SELECT doc_id FROM documents)))
+      WHERE rank <= 30),
+    lists AS (SELECT * FROM sparse_lists UNION ALL SELECT * FROM dense_lists),
+    {_FUSED}""",
+)
+def search_hybrid_full(spark, sf):
+    """Documents with a vector: all five lists."""
+    vectors = _doc_vectors(spark, sf)
+    chunks = _doc_chunks(spark, sf).join(vectors.select("chunk_id"), "chunk_id", "left_semi")
+    return _hybrid(spark, sf, stage(chunks, "docs"), vectors)
 
 
 @query(
@@ -445,7 +469,7 @@ def search_hybrid(spark, sf):
     scored AS (SELECT doc_id AS query_id, 'd' || d.vec_id AS chunk_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS score
       FROM labels JOIN normed q ON q.vec_id = doc_id, normed d WHERE d.vec_id IN (SELECT doc_id FROM documents)),
     dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank
-              FROM scored WHERE score > 0 AND query_id IN (SELECT query_id FROM asked)) WHERE rank <= 5)
+              FROM scored WHERE query_id IN (SELECT query_id FROM asked)) WHERE rank <= 5)
     SELECT query_id, chunk_id, rank, round(score, 6) AS score, 'embedding' AS match_type FROM dense
     UNION ALL SELECT query_id, chunk_id, rank, round(score, 6), 'tfidf_fallback' FROM found
     WHERE query_id NOT IN (SELECT query_id FROM dense)""",

@@ -526,14 +526,14 @@ def compression(spark, sf):
     node_queries AS (SELECT graph_id || '::' || node_id AS query_id, topic || ' ' || name AS query FROM shown),
     {sql.search('node_queries', 5, 'node_hits')},
     linked AS (SELECT graph_id, node_id, unnest(ids) AS evidence_id FROM shown),
-    own AS (SELECT l.graph_id, l.node_id, e.rank, e.book, e.chapter, e.page, e.quote FROM linked l
+    own AS (SELECT l.graph_id, l.node_id, e.rank, e.book, e.chapter, e.page, e.quote, e.book AS own_book FROM linked l
       JOIN graph_evidence e ON e.query_id = l.graph_id AND e.evidence_id = l.evidence_id),
     fallback AS (SELECT split_part(h.query_id, '::', 1) AS graph_id, split_part(h.query_id, '::', 2) AS node_id, h.rank, c.book, c.chapter,
-        c.page_start AS page, substr(c.text, 1, 260) AS quote
+        c.page_start AS page, substr(c.text, 1, 260) AS quote, NULL AS own_book
       FROM node_hits h JOIN chunks c USING (chunk_id)),
     sources AS (SELECT * FROM own UNION ALL SELECT * FROM fallback f
       WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.graph_id = f.graph_id AND o.node_id = f.node_id)),
-    grouped AS (SELECT graph_id, node_id, arg_min(quote, rank) AS first_quote, count(DISTINCT book) AS n,
+    grouped AS (SELECT graph_id, node_id, arg_min(quote, rank) AS first_quote, count(DISTINCT own_book) AS n,
         string_agg(book || '/' || chapter || '/' || page || '/' || substr({_flat('quote')}, 1, 180), '|' ORDER BY rank) AS cited FROM sources GROUP BY ALL)
     SELECT graph_id, node_id, name, CASE WHEN first_quote IS NULL THEN '当前节点证据不足。' ELSE substr({_flat('first_quote')}, 1, 120) END AS definition,
       summary AS detail, CASE WHEN n > 1 THEN '{lx.OVERLAP_SHARED}' ELSE '{lx.OVERLAP_SINGLE}' END AS overlap_analysis, coalesce(cited, '') AS sources

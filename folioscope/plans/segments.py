@@ -30,8 +30,8 @@ def valid_sql(title: str, raw: str) -> str:
   AND NOT (length({title}) > 10 AND len(regexp_extract_all({title}, '[，。、；：]')) / length({title}) > 0.4))"""
 
 
-def _sections_sql(head: str, title: str) -> str:
-    return f"""cleaned AS (SELECT doc_id, {sql.NORMALISED} AS text FROM documents),
+def _sections_sql(head: str, title: str, source: str = "documents") -> str:
+    return f"""cleaned AS (SELECT doc_id, {sql.NORMALISED} AS text FROM {source}),
 lines AS (
   SELECT doc_id, pos, trim(string_split(text, chr(10))[pos]) AS line
   FROM cleaned, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(pos)),
@@ -77,6 +77,26 @@ def markdown_sections(spark, sf):
     return _section_columns(sg.heading_sections(cp.documents(spark, sf).select("doc_id", "text")))
 
 
+_ORDINAL = "'第 ' || n || ' 节'"
+_PLAIN = _sections_sql(r"regexp_matches(line, '^Chapter\s+\d+[\s:。：]')", "substr(line, 1, 80)", "numbered_docs").replace(
+    TITLE_SQL.format("coalesce(title, '全文')"), TITLE_SQL.format("coalesce(title, '')")
+)
+
+
+@query(
+    "plain_sections",
+    rf"""WITH numbered_docs AS (SELECT doc_id, regexp_replace(text, '(?m)^([^\n]{{1,40}}\.)$', 'Chapter 7: \1', 'g') AS text FROM documents),
+    {_PLAIN}
+    SELECT doc_id, printf('ch_%03d', n) AS chapter_id, CASE WHEN {valid_sql('title', 'title')} THEN title ELSE {_ORDINAL} END AS title,
+      md5(content) AS content, char_count FROM sections""",
+)
+def plain_sections(spark, sf):
+    """The plain-text rule with checked titles; short lines are made chapter lines."""
+    text = F.regexp_replace("text", r"(?m)^([^\n]{1,40}\.)$", "Chapter 7: $1")
+    docs = cp.documents(spark, sf).select("doc_id", text.alias("text"))
+    return _section_columns(sg.heading_sections(docs, "doc_id", sg.PLAIN_TEXT))
+
+
 def _paragraphs(spark, sf):
     docs = cp.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     line = tx.strip(F.col("text"))
@@ -220,12 +240,19 @@ def _scratch(spark, name):
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-@query("scan_files")
+@query(
+    "scan_files",
+    rf"""SELECT source, count(*) AS files, sum(length({sql.NORMALISED}))::BIGINT AS total_chars, count(*)::BIGINT AS chapter_count
+    FROM documents GROUP BY source""",
+)
 def scan_files(spark, sf):
-    """Documents written as text files per source, scanned, decoded and split again."""
+    """Each document written as a text file, scanned, decoded and split again; counted per source.
+
+    All files of a source begin with the same characters, so only their paths tell them apart.
+    """
     root = _scratch(spark, "files")
     docs = table(spark, sf, "documents").select("source", "text")
-    docs.write.partitionBy("source").option("maxRecordsPerFile", 200).text(root)
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 1).text(root)
     found = files.list_files(spark, root, "*.txt")
     wanted, missing = files.requested_files(found)
     documents, chapters = files.parse_files(wanted)
@@ -241,8 +268,11 @@ def scan_files(spark, sf):
             "chapter_count",
         )
     )
-    return good.select(
-        F.regexp_extract("source_path", "source=([^/]+)", 1).alias("source"), "total_chars", "chapter_count"
+    source = F.regexp_extract("source_path", "source=([^/]+)", 1).alias("source")
+    return good.groupBy(source).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("total_chars").alias("total_chars"),
+        F.sum("chapter_count").alias("chapter_count"),
     )
 
 

@@ -9,9 +9,13 @@ from folioscope.functions import text as tx
 
 
 def summary(documents: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Document columns with the number of chapters."""
-    counted = chapters.groupBy("textbook_id").agg(F.count("*").alias("chapter_count"))
-    return documents.join(counted, "textbook_id", "left").withColumn(
+    """Document columns with the number of chapters.
+
+    Documents from files are joined by path, others by id.
+    """
+    key = "path" if {"path"} <= set(documents.columns) & set(chapters.columns) else "textbook_id"
+    counted = chapters.groupBy(key).agg(F.count("*").alias("chapter_count"))
+    return documents.join(counted, key, "left").withColumn(
         "chapter_count", F.coalesce("chapter_count", F.lit(0))
     )
 

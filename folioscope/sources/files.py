@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
 from folioscope.operators import segment as sg
+from folioscope.session import broadcast_if_small
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
@@ -30,15 +32,25 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataF
 
 
 def decode(content) -> F.Column:
-    """UTF-8, or GBK where the bytes are not UTF-8.
+    """UTF-8, or GBK where the bytes are not UTF-8 (S2); only those rows go to Python.
 
-    GBK needs spark.sql.legacy.javaCharsets.
+    Spark's own decoder knows GBK only under a legacy setting, which a caller's session may not have.
     """
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "GBK"))
+    other = F.when(~F.is_valid_utf8(content.cast("string")), content)
+
+    @F.pandas_udf("string")
+    def gbk(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda raw: None if raw is None else bytes(raw).decode("gbk", "replace"))
+
+    return F.coalesce(gbk(other), F.decode(content, "UTF-8"))
 
 
 def read_texts(files: DataFrame) -> DataFrame:
-    """Identified text files with their decoded, cleaned text."""
+    """Identified text files with their decoded, cleaned text.
+
+    `textbook_id` is for display: files with equal beginnings of their names share it.  The key of a
+    file is its path.
+    """
     return files.select(
         tx.document_id(F.col("filename")).alias("textbook_id"),
         "path",
@@ -64,17 +76,18 @@ def page_scan(pages: DataFrame, max_pages: int | None = None) -> tuple[DataFrame
 
 
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, chapters) of files by extension.
+    """(documents, chapters) of files by extension (S4); chapters have the path of their file.
 
     Files of other formats become failed documents.  PDF and DOCX files are handled from
     their page and paragraph tables.
     """
     texts = read_texts(files.filter(F.col("format").isin("md", "txt")))
     parts = [
-        sg.heading_sections(texts.filter(F.col("format") == kind), "textbook_id", rule)
+        sg.heading_sections(texts.filter(F.col("format") == kind), "path", rule)
         for kind, rule in (("md", sg.MARKDOWN), ("txt", sg.PLAIN_TEXT))
     ]
-    chapters = parts[0].unionByName(parts[1])
+    names = files.select("path", tx.document_id(F.col("filename")).alias("textbook_id"))
+    chapters = parts[0].unionByName(parts[1]).join(names, "path")
     good = texts.select(
         "textbook_id",
         "path",
@@ -107,7 +120,9 @@ def requested_files(files: DataFrame, wanted: DataFrame | None = None) -> tuple[
         return files.filter(F.col("format").isin(lx.FORMATS)), none
     names = wanted.select("filename").distinct()
     missing = names.join(files.select("filename"), "filename", "left_anti")
+    # only paths and names meet in the joins; contents are read for the paths that are left
+    paths = files.select("path", "filename").join(names, "filename", "left_semi").select("path")
     return (
-        files.join(names, "filename", "left_semi"),
+        files.join(broadcast_if_small(paths), "path", "left_semi"),
         missing.select("filename", F.lit("File not found").alias("error")),
     )

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from folioscope.operators import feedback as fb
-from folioscope.sources import files, store
+from folioscope.sources import catalog, files, store
 from folioscope.streaming import feedback as sf_stream
 from folioscope.streaming import ingest as st
 
@@ -21,6 +21,11 @@ def test_files_are_listed_decoded_and_dispatched(spark, tmp_path):
     assert status["x.xyz"] == ("failed", "Unsupported format: .xyz") and status["y.pdf"][0] == "pending"
     assert status["01_a.md"][0] == "completed"
     assert {(r.title, r.content) for r in chapters.collect()} == {("标题", "内容"), ("第一章 细胞", "正文内容")}
+    (root / "a long beginning of a name 1.txt").write_text("one")
+    (root / "a long beginning of a name 2.txt").write_text("two")
+    same = files.list_files(spark, str(root), "a long*")
+    counted = catalog.summary(*files.parse_files(same)).collect()
+    assert [r.chapter_count for r in counted] == [1, 1] and len({r.textbook_id for r in counted}) == 1
     wanted = spark.createDataFrame([("01_a.md",), ("gone.md",)], "filename string")
     keep, missing = files.requested_files(found, wanted)
     assert keep.count() == 1 and [tuple(r) for r in missing.collect()] == [("gone.md", "File not found")]
