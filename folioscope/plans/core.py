@@ -549,7 +549,7 @@ def reliable_queries(spark, sf):
 
 
 # --- evaluation ------------------------------------------------------------------
-_CONTEXTS = f"""{sql.DOCS}, {sql.QUESTIONS},
+CONTEXTS = f"""{sql.DOCS}, {sql.QUESTIONS},
 asked AS (SELECT query_id, question AS query FROM questions),
 {sql.eval_chunks(700, 80, 'c700')}, {sql.eval_chunks(300, 50, 'c300')}, {sql.eval_chunks(1200, 150, 'c1200')},
 {sql.sparse_index('c700', False, None, 'm_')}, {sql.search('asked', 5, 'hits700', False, 'm_')},
@@ -599,7 +599,7 @@ def _rounded(df, columns, digits=6):
 
 @query(
     "parent_map",
-    f"""WITH {_CONTEXTS} SELECT query_id, rank, chunk_id, source_id, round(score, 6) AS score, md5(text) AS text
+    f"""WITH {CONTEXTS} SELECT query_id, rank, chunk_id, source_id, round(score, 6) AS score, md5(text) AS text
     FROM contexts WHERE strategy = 'small_to_big'""",
 )
 def parent_map(spark, sf):
@@ -612,7 +612,7 @@ def parent_map(spark, sf):
 
 @query(
     "question_metrics",
-    f"""WITH {_CONTEXTS} SELECT strategy, query_id, matched_keywords, hit_at_5::DOUBLE AS hit_at_5, round(keyword_recall, 6) AS keyword_recall,
+    f"""WITH {CONTEXTS} SELECT strategy, query_id, matched_keywords, hit_at_5::DOUBLE AS hit_at_5, round(keyword_recall, 6) AS keyword_recall,
       context_chars, evidence_count, source_diversity, round(citation_completeness, 6) AS citation_completeness FROM metrics""",
 )
 def question_metrics(spark, sf):
@@ -620,14 +620,14 @@ def question_metrics(spark, sf):
     return _rounded(rows, ["keyword_recall", "citation_completeness"])
 
 
-_SUMMARY = """summary AS (SELECT strategy, avg(hit_at_5) AS hit_at_5, avg(keyword_recall) AS keyword_recall, avg(context_chars) AS context_chars,
+SUMMARY = """summary AS (SELECT strategy, avg(hit_at_5) AS hit_at_5, avg(keyword_recall) AS keyword_recall, avg(context_chars) AS context_chars,
   avg(evidence_count) AS evidence_count, avg(source_diversity) AS source_diversity, avg(citation_completeness) AS citation_completeness
   FROM metrics GROUP BY strategy)"""
 
 
 @query(
     "strategy_summary",
-    f"""WITH {_CONTEXTS}, {_SUMMARY} SELECT strategy, {', '.join(f'round({m}, 6) AS {m}' for m in ev.METRICS)} FROM summary""",
+    f"""WITH {CONTEXTS}, {SUMMARY} SELECT strategy, {', '.join(f'round({m}, 6) AS {m}' for m in ev.METRICS)} FROM summary""",
 )
 def strategy_summary(spark, sf):
     rows = _metrics(spark, sf, _contexts(spark, sf))
@@ -636,7 +636,7 @@ def strategy_summary(spark, sf):
 
 @query(
     "best_strategy",
-    f"""WITH {_CONTEXTS}, {_SUMMARY},
+    f"""WITH {CONTEXTS}, {SUMMARY},
     long AS (UNPIVOT summary ON {', '.join(ev.METRICS)} INTO NAME metric VALUE value),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(value, 9) DESC,
       list_position(['baseline_medium', 'small_only', 'small_to_big'], strategy)) AS n FROM long)
@@ -649,7 +649,7 @@ def best_strategy(spark, sf):
 
 @query(
     "strategy_pivot",
-    f"""WITH {_CONTEXTS},
+    f"""WITH {CONTEXTS},
     top AS (SELECT strategy, query_id, book || ' / ' || chapter || ' / 页码 ' || CASE WHEN page_start = 0 THEN '未知' ELSE page_start::VARCHAR END AS source,
       substr({sql.FLAT.replace('text', 'substr(text, 1, 280)')}, 1, 180) || CASE WHEN length({sql.FLAT.replace('text', 'substr(text, 1, 280)')}) > 180 THEN '...' ELSE '' END AS snippet
       FROM contexts WHERE rank = 1),

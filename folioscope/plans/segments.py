@@ -12,6 +12,7 @@ from folioscope.operators import index as ix
 from folioscope.operators import search as se
 from folioscope.operators import segment as sg
 from folioscope.operators.integration import pending
+from folioscope.plans import core
 from folioscope.plans import corpus as cp
 from folioscope.plans import sql
 from folioscope.plans.corpus import query, table
@@ -276,7 +277,10 @@ def scan_files(spark, sf):
     )
 
 
-@query("store_roundtrip")
+@query(
+    "store_roundtrip",
+    f"WITH {sql.question_evidence(5)} SELECT query_id, rank, chunk_id, book, round(score, 6) AS score FROM evidence",
+)
 def store_roundtrip(spark, sf):
     """Parsed tables, index and results through their stores and back."""
     root = _scratch(spark, "store")
@@ -284,7 +288,7 @@ def store_roundtrip(spark, sf):
     parsed = store.DocumentStore(spark, f"{root}/parsed")
     parsed.save("documents", books)
     parsed.save("chapters", chapters)
-    parsed.save("chapters", parsed.load("chapters", "src0"))
+    parsed.save("chapters", stage(parsed.load("chapters"), "chapters"))
     cut = cp.chunks(spark, sf)
     vocab = stage(ix.vocabulary(cut, cut.count()), "vocab")
     store.save_index(
@@ -301,11 +305,14 @@ def store_roundtrip(spark, sf):
     schema = "query_id long, chunk_id string, score double, rank int"
     back = spark.read.schema(schema).json(f"{root}/results")
     return se.with_chunks(back, index["chunks"]).select(
-        "query_id", "rank", "chunk_id", "book", F.round("score", 6).alias("score")
+        "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "book", F.round("score", 6).alias("score")
     )
 
 
-@query("result_sinks")
+@query(
+    "result_sinks",
+    f"WITH {core.CONTEXTS}, {core.SUMMARY} SELECT strategy, {', '.join(f'round({m}, 4) AS {m}' for m in ev.METRICS)} FROM summary",
+)
 def result_sinks(spark, sf):
     """Evaluation results as JSON, CSV and Markdown; the CSV is read back."""
     root = _scratch(spark, "sinks")

@@ -1,20 +1,13 @@
-"""Registered queries against their SQL.  FULL_ORACLE=1 adds the ones that build an index."""
-
-import os
+"""Every registered query of the library against its SQL."""
 
 import pytest
 
 import __spark_entry__ as entry
+from folioscope.plans.corpus import ORACLES
+from folioscope.session import drop_staged
 from tests.oracle import connect, difference
 
-QUICK = [
-    "clean_text", "clean_title_valid", "derive_ids", "infer_chapter", "keywords", "display_text", "chunk_fixed",
-    "chunk_requested", "chunk_pages", "chunk_eval", "chunk_multires", "char_ngrams", "dense_normalize", "search_dense",
-    "heading_sections", "markdown_sections", "styled_sections", "toc_select", "toc_ranges", "page_chapter_join",
-    "eval_corpus", "catalog_summary", "catalog_priority", "stream_ingest", "intent_route", "query_plan", "chapter_graph",
-    "single_book_plan", "feedback_state", "feedback_audit", "stream_feedback", "strategy_summary",
-]
-NAMES = list(entry.oracle_sql()) if os.environ.get("FULL_ORACLE") else QUICK
+NAMES = list(ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +18,7 @@ def con(sf):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, sf, con, name):
     assert difference(entry.queries()[name](spark, sf), con, entry.oracle_sql()[name]) is None
+    drop_staged(spark)
 
 
 def test_registry():
