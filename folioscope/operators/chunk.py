@@ -185,11 +185,12 @@ def enrich_page_chunks(pages: DataFrame, size: int = 700, overlap: int = 80) ->
     return line_chunks(named, size, overlap).withColumn("char_count", F.length("text"))
 
 
-def eval_chunks(docs: DataFrame, settings: Iterable[tuple[int, int]]) -> DataFrame:
+def eval_chunks(docs: DataFrame, settings: Iterable[tuple[int, int]], id_length: int = 16) -> DataFrame:
     """Windows of every document at every (size, overlap) setting in one pass.
 
     The settings are unrolled into the row, so there is no cross join.  Text keeps its
-    offsets and is not stripped; windows under ten visible characters are dropped.
+    offsets and is not stripped; windows under ten visible characters are dropped.  `id_length` is the
+    number of hex digits of a chunk id; corpora of billions of chunks need up to 40.
     """
     def grid(whole: Column, size: int, overlap: int) -> Column:
         return F.transform(
@@ -212,5 +213,6 @@ def eval_chunks(docs: DataFrame, settings: Iterable[tuple[int, int]]) -> DataFra
         .filter(F.length(tx.strip(F.col("text"))) >= 10)
     )
     return cut.withColumn(
-        "chunk_id", tx.stable_id(*[F.col(c) for c in ("source_id", "char_start", "char_end", "size", "overlap")])
+        "chunk_id",
+        tx.stable_id(*[F.col(c) for c in ("source_id", "char_start", "char_end", "size", "overlap")], length=id_length),
     )

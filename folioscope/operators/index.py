@@ -209,11 +209,18 @@ def _weigh_by_join(
         F.array_sort(F.collect_list(F.struct("term", "w"))).alias("_p"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
     )
-    return pairs.select(
-        key,
+    found = pairs.select(
+        F.col(key).alias("_key"),
         F.col("_p.term").alias("terms"),
         F.transform("_p", lambda p: p["w"] / F.col("_norm")).alias("weights"),
     )
+    # texts without any known term have an empty row, as on the other route
+    whole = rows.select(key).join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return whole.select(
+        key,
+        F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+        F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
+    )
 
 
 def tfidf_vectors(
@@ -300,9 +307,16 @@ def merge_chunks(existing: DataFrame, new: DataFrame, replace: bool = False) ->
     return existing.unionByName(unseen, allowMissingColumns=True)
 
 
-def merge_vocabulary(old: DataFrame, added: DataFrame, n_chunks: int) -> DataFrame:
-    """Counts are additive, so only the added chunks were tokenised."""
+def merge_vocabulary(
+    old: DataFrame, added: DataFrame, n_chunks: int, removed: DataFrame | None = None
+) -> DataFrame:
+    """Counts are additive, so only the added chunks were tokenised.
+
+    `removed` holds the counts of chunks that a replacing merge took out; their counts are subtracted
+    and terms that no chunk has any more are dropped.
+    """
     both = old.select("term", "df", "cf").unionByName(added.select("term", "df", "cf"))
-    return both.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).withColumn(
-        "idf", idf(F.col("df"), n_chunks)
-    )
+    if removed is not None:
+        both = both.unionByName(removed.select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")))
+    merged = both.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0")
+    return merged.withColumn("idf", idf(F.col("df"), n_chunks))

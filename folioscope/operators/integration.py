@@ -99,6 +99,11 @@ def node_detail(nodes: DataFrame, evidence: DataFrame, searched: DataFrame, fall
     )
 
 
+def plain_number(value: Column, digits: int = 4) -> Column:
+    """A double without exponent: at most `digits` decimals, at least one."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", value), r"(\.\d+?)0+$", "$1")
+
+
 def _lines(rows: DataFrame, order: str, line: Column, name: str) -> DataFrame:
     listed = rows.select("graph_id", F.struct(F.col(order).alias("o"), line.alias("l")).alias("_p"))
     grouped = listed.groupBy("graph_id").agg(F.array_sort(F.collect_list("_p")).alias("_l"))
@@ -168,7 +173,7 @@ def report(
         F.lit("## 8. 压缩比说明"),
         F.concat(
             F.lit("原始证据字符数："), "original_chars", F.lit("；整合字符数："), "integrated_chars",
-            F.lit("；压缩比："), "compression_ratio", F.lit("。"),
+            F.lit("；压缩比："), plain_number(F.col("compression_ratio")), F.lit("。"),
         ),
         F.lit(""),
         F.lit("## 9. 教材引用来源"),

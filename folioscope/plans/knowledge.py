@@ -762,8 +762,9 @@ TRIGGERS = ["ther", "heit", "eaux", "ción"]
 @query(
     "feedback_supplement",
     f"""WITH {sql.chapter_chunks()}, {sql.sparse_index()},
-    log AS (SELECT 'talk' AS graph_id, conv_id * 1000 + turn AS seq, 'c' || conv_id AS target_id, text AS comment FROM conversations
-      WHERE role = 'user' AND {_any_sql('text', TRIGGERS)}),
+    actions AS (SELECT conv_id * 1000 + turn AS seq, 'c' || conv_id AS target_id, text AS comment,
+      CASE WHEN turn > 2 THEN 'delete' WHEN turn > 0 THEN 'edit' ELSE 'split' END AS action FROM conversations WHERE role = 'user'),
+    log AS (SELECT 'talk' AS graph_id, * FROM actions WHERE action <> 'delete' AND {_any_sql('comment', TRIGGERS)}),
     nodes AS (SELECT 'c' || conv_id AS node_id, min(role) AS name FROM conversations GROUP BY conv_id),
     asked AS (SELECT seq AS query_id, trim(name || ' ' || comment, ' ' || chr(10)) AS query FROM log JOIN nodes ON node_id = target_id),
     {sql.search('asked', 3)},
@@ -773,17 +774,23 @@ TRIGGERS = ["ther", "heit", "eaux", "ción"]
     linked AS (SELECT target_id, chunk_id, min(seq * 10 + rank) AS o FROM looked JOIN log USING (seq) GROUP BY ALL),
     ids AS (SELECT target_id, string_agg('ev_' || chunk_id, '|' ORDER BY o) AS evidence_ids FROM linked GROUP BY 1),
     counts AS (SELECT target_id, count(*) FILTER (NOT known AND first) AS added FROM looked JOIN log USING (seq) GROUP BY 1),
-    triggers AS (SELECT target_id, count(*) AS n_triggers FROM log GROUP BY 1)
-    SELECT node_id, coalesce(evidence_ids, '') AS evidence_ids, CASE WHEN added > 0 THEN 'updated' ELSE 'normal' END AS status,
+    triggers AS (SELECT target_id, count(*) AS n_triggers FROM log GROUP BY 1),
+    grew AS (SELECT DISTINCT seq FROM looked WHERE NOT known AND first),
+    steps AS (SELECT target_id, arg_max(CASE WHEN action = 'delete' THEN 'deleted' WHEN action = 'edit' OR seq IN (SELECT seq FROM grew) THEN 'updated'
+      ELSE 'highlighted' END, seq) AS status FROM actions GROUP BY 1)
+    SELECT node_id, coalesce(evidence_ids, '') AS evidence_ids, coalesce(status, 'normal') AS status,
       CASE WHEN added > 0 THEN 'old {lx.SUPPLEMENT_NOTE}' ELSE 'old' END AS summary, coalesce(added, 0) AS added, coalesce(n_triggers, 0) AS n_triggers
-    FROM nodes LEFT JOIN ids ON ids.target_id = node_id LEFT JOIN counts c ON c.target_id = node_id LEFT JOIN triggers t ON t.target_id = node_id""",
+    FROM nodes LEFT JOIN ids ON ids.target_id = node_id LEFT JOIN counts c ON c.target_id = node_id LEFT JOIN triggers t ON t.target_id = node_id
+      LEFT JOIN steps s ON s.target_id = node_id""",
 )
 def feedback_supplement(spark, sf):
-    """User turns as comments on their conversation's node; one graph holds them all."""
+    """User turns as comments on their conversation's node, late ones deletes; one graph holds them all."""
     talks = table(spark, sf, "conversations")
     log = talks.filter(F.col("role") == "user").select(
         F.lit("talk").alias("graph_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("node").alias("target_type"),
-        F.concat(F.lit("c"), "conv_id").alias("target_id"), F.lit("edit").alias("action"), F.col("text").alias("comment"),
+        F.concat(F.lit("c"), "conv_id").alias("target_id"),
+        F.when(F.col("turn") > 2, "delete").when(F.col("turn") > 0, "edit").otherwise("split").alias("action"),
+        F.col("text").alias("comment"),
     )
     nodes = talks.groupBy("conv_id").agg(F.min("role").alias("name")).select(
         F.lit("talk").alias("graph_id"), F.concat(F.lit("c"), "conv_id").alias("node_id"), "name", F.lit("old").alias("summary"),
@@ -803,7 +810,11 @@ def feedback_supplement(spark, sf):
     counts = records.groupBy(F.col("target_id").alias("node_id")).agg(
         F.sum("added_evidence_count").alias("added"), F.count("*").alias("n_triggers")
     )
-    rows = _joined(changed, "evidence_ids").join(counts, "node_id", "left")
+    elements = nodes.select(
+        "graph_id", F.lit("node").alias("target_type"), F.col("node_id").alias("target_id"), "status", F.lit("").alias("note")
+    )
+    folded = fb.apply_feedback(elements, log, records).select(F.col("target_id").alias("node_id"), "status")
+    rows = _joined(changed.drop("status"), "evidence_ids").join(counts, "node_id", "left").join(folded, "node_id")
     return rows.select(
         "node_id", "evidence_ids", "status", "summary", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("added", "n_triggers")]
     )

@@ -11,8 +11,8 @@ from folioscope.operators import feedback as fb
 STATE = "graph_id string, target_type string, target_id string, field string, value string, seq long, batch_id long"
 
 
-def follow(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Stream the log into per-batch folds at `table`.
+def follow(log: DataFrame, table: str, checkpoint: str, trail: str | None = None) -> StreamingQuery:
+    """Stream the log into per-batch folds at `table`, and its actions into the audit table `trail`.
 
     A batch stores, per target and field, only the last value it set and its seq.  Folds of
     batches combine by max_by, so late, repeated or replayed actions give the batch result.
@@ -33,6 +33,15 @@ def follow(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
             .parquet(table)
         )
 
+        if trail is not None:
+            (
+                steps.withColumn("batch_id", F.lit(batch_id).cast("long"))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch_id")
+                .parquet(trail)
+            )
+
     return (
         log.writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
@@ -41,6 +50,12 @@ def follow(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def audit_trail(spark: SparkSession, elements: DataFrame, trail: str) -> DataFrame:
+    """Audit records of all streamed actions; a replayed batch has overwritten its own part."""
+    log = spark.read.parquet(trail).drop("batch_id", "set_status", "set_note")
+    return fb.audit(elements, log)
+
+
 def current_state(spark: SparkSession, elements: DataFrame, table: str) -> DataFrame:
     """Elements with the streamed actions applied; equals the batch fold of the same log."""
     folds = spark.read.schema(STATE).parquet(table)

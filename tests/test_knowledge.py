@@ -228,8 +228,17 @@ def test_supplement(spark):
     )
     changed, added, records = fb.supplement(nodes, held, triggers, hits)
     row = changed.first()
-    assert row.evidence_ids == ["e1", "ev_c2", "ev_fb_c3"] and row.status == "updated"
+    assert row.evidence_ids == ["e1", "ev_c2", "ev_fb_c3"]
     assert row.summary == f"原摘要 {lx.SUPPLEMENT_NOTE}"
     assert sorted(r.evidence_id for r in added.collect()) == ["ev_c2", "ev_fb_c3"]
     got = {r.seq: (r.retrieval_triggered, r.added_evidence_count, r.warning) for r in records.collect()}
     assert got == {2: (True, 2, ""), 5: (False, 0, "目标节点不存在，已仅记录教师反馈")}
+    # the status follows the log: what the search added counts at its own place in it
+    own = spark.createDataFrame([("g", "node", "n2", "normal", None)], "graph_id string, target_type string, target_id string, status string, note string")
+    split = spark.createDataFrame([("g", 2, "node", "n2", "split", "补充")], asked.select("graph_id", "seq", "target_type", "target_id", "action", "comment").schema)
+    gone = spark.createDataFrame([("g", 3, "node", "n2", "delete", "")], split.schema)
+    assert fb.apply_feedback(own, split, records).first().status == "updated"
+    assert fb.apply_feedback(own, split).first().status == "highlighted"
+    assert fb.apply_feedback(own, split.unionByName(gone), records).first().status == "deleted"
+    images = {r.seq: r.after.status for r in fb.audit(own, split.unionByName(gone), records=records).collect()}
+    assert images == {2: "updated", 3: "deleted"}
