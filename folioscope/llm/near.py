@@ -8,8 +8,10 @@ documents of similarity 0.8 share no band with a probability below 1e-6.
 In a band's bucket every class is first paired with the bucket's smallest only.  Pairs whose sizes
 allow the similarity and whose estimate from bit counts, corrected for chance agreement, is not far
 below it are confirmed on full sets.  Buckets whose classes are then still in several components are
-compared block by block inside tasks, which put out only what may be a link between components.  No
-bucket is capped, none is gathered whole and no list of all pairs is made.
+compared block by block inside tasks by their estimates, which tells what components may be linked.  The
+full sets of such families of components meet in blocks of bounded size; tasks compare them and put out
+one link for each two components they join.  No bucket is capped, none is gathered whole and no list of
+all pairs is made.
 
 Null, empty and blank texts have empty sets and are linked with nothing.  Rows without an id are
 linked with nothing either.  Rows that repeat an id are one document.  Extra columns pass through.
@@ -34,6 +36,7 @@ PACKED = 256  # minima of which two low bits are kept
 PLANES = PACKED // 64
 MARGIN = 0.15  # of the estimate; five standard deviations at 0.8
 BLOCK = 1024  # classes of a bucket that are compared at a time
+BLOCK_BYTES = 1 << 21  # of full sets that are compared at a time
 CHUNK = 1 << 16  # shingles hashed at a time, so that they stay in cache
 
 
@@ -163,6 +166,13 @@ def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text: str, size: int
     return found.mapInArrow(run, "doc_id long, members binary").dropDuplicates(["doc_id"])
 
 
+def _similar(m: np.ndarray, n: np.ndarray, percent: int) -> bool:
+    both = np.concatenate((m, n))
+    both.sort(kind="stable")  # two sorted runs: a merge
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(m) + len(n) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have the similarity."""
 
@@ -170,11 +180,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                m, n = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((m, n))
-                both.sort(kind="stable")  # two sorted runs: a merge
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(m) + len(n) - common))
+                keep.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
@@ -191,46 +197,118 @@ def _with_signs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(_sizes_allow(F.col("m"), F.col("n"), percent) & near).select("a", "b")
 
 
-def _across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Possible links between components within buckets (key, doc_id, component, size).
+class _Joined:
+    """Which components a task has joined already."""
 
-    A bucket is cut into blocks of BLOCK classes on average; blocks meet in pairs, as arrays.
-    """
-    rows = members.join(classes.select("doc_id", "n_shingles", "bits"), "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    blocks = rows.groupBy("key", "block").agg(
-        F.collect_list(F.struct("doc_id", "component", "n_shingles", "bits")).alias("rows")
-    )
-    columns = [F.col(f"rows.{c}").alias(c) for c in ("doc_id", "component", "n_shingles")]
-    blocks = blocks.select("key", "block", *columns, F.flatten("rows.bits").alias("bits"))
-    left = blocks.select("key", *[F.col(c).alias(f"l_{c}") for c in blocks.columns[1:]])
-    right = blocks.select("key", *[F.col(c).alias(f"r_{c}") for c in blocks.columns[1:]])
-    meet = left.join(right, "key").filter("l_block <= r_block").drop("key", "l_block", "r_block")
+    def __init__(self):
+        self.root: dict[int, int] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cells = [np.asarray(column[row].values) for column in batch.columns]
-                yield _compare(cells[:4], cells[4:], percent)
+    def find(self, x: int) -> int:
+        root = self.root
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """False if they were joined before."""
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
 
-    return meet.mapInArrow(run, "a long, b long").distinct()
 
+def _pairs_of_blocks(rows: DataFrame, key: str, blocks: Column, columns: list[str]) -> DataFrame:
+    """Rows of a key cut into blocks; every block meets every block of its key once, as arrays."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    grouped = rows.groupBy(key, "block").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    grouped = grouped.select(key, "block", *[F.col(f"rows.{c}").alias(c) for c in columns])
+    left = grouped.select(key, *[F.col(c).alias(f"l_{c}") for c in grouped.columns[1:]])
+    right = grouped.select(key, *[F.col(c).alias(f"r_{c}") for c in grouped.columns[1:]])
+    return left.join(right, key).filter("l_block <= r_block").drop(key, "l_block", "r_block")
 
-def _compare(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> pa.RecordBatch:
-    (ids, parts, sizes, bits), (others, other_parts, other_sizes, other_bits) = left, right
-    bits, other_bits = (b.reshape(-1, 2 * PLANES).view(np.uint64) for b in (bits, other_bits))
-    found: list[list[np.ndarray]] = [[], []]
+
+def _near(left: list, right: list, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of the left block, rows of the right one) that may be links between components."""
+    (ids, parts, sizes, bits), (others, other_parts, other_sizes, other_bits) = left[:4], right[:4]
     for i in range(len(ids)):
         small, large = np.minimum(sizes[i], other_sizes), np.maximum(sizes[i], other_sizes)
-        at = np.flatnonzero((parts[i] != other_parts) & (ids[i] != others) & (100 * small >= percent * large))
+        at = np.flatnonzero((parts[i] != other_parts) & (100 * small >= percent * large))
         if len(at):
             xor = bits[i] ^ other_bits[at]
             differ = np.bitwise_count(xor[:, :PLANES] | xor[:, PLANES:]).sum(axis=1)
             at = at[((PACKED - differ) / PACKED - 0.25) / 0.75 >= percent / 100 - MARGIN]
-            found[0].append(np.maximum(ids[i], others[at]))
-            found[1].append(np.minimum(ids[i], others[at]))
-    arrays = [pa.array(np.concatenate(f) if f else [], pa.int64()) for f in found]
-    return pa.RecordBatch.from_arrays(arrays, ["a", "b"])
+            if len(at):
+                yield i, at
+
+
+def _cells(batch: pa.RecordBatch, row: int) -> list:
+    """The arrays of a pair of blocks; bits as rows, sets as they are."""
+    cells = []
+    for column in batch.columns:
+        values = column[row].values
+        if pa.types.is_list(values.type):
+            cells.append(np.asarray(values.flatten()).reshape(-1, 2 * PLANES).view(np.uint64))
+        else:
+            cells.append(values if pa.types.is_binary(values.type) else np.asarray(values))
+    return cells
+
+
+def _open(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that classes in one bucket (key, doc_id, component, size) may link.
+
+    A task puts out a pair of components only if it has not joined them before, so what comes out
+    grows with the components, not with the pairs.
+    """
+    columns = ["doc_id", "component", "n_shingles", "bits"]
+    rows = members.join(classes.select("doc_id", "n_shingles", "bits"), "doc_id")
+    meet = _pairs_of_blocks(rows, "key", F.ceil(F.col("size") / BLOCK), columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = _Joined()
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                cells = _cells(batch, row)
+                for i, at in _near(cells[:4], cells[4:], percent):
+                    own = int(cells[1][i])
+                    found += [(own, o) for o in np.unique(cells[5][at]).tolist() if joined.join(own, o)]
+            yield _two(found)
+
+    return meet.mapInArrow(run, "a long, b long")
+
+
+def _two(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _linked(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components of a group (rows: family, doc_id, component, n_shingles, bits, members).
+
+    Blocks of a bounded number of bytes meet; inside a task every pair across components that the
+    estimate allows is compared on its full sets, unless links found before have joined the two.
+    """
+    sizes = rows.groupBy("family").agg(F.sum(F.length("members")).alias("bytes"))
+    columns = ["doc_id", "component", "n_shingles", "bits", "members"]
+    rows = rows.join(sizes, "family")
+    meet = _pairs_of_blocks(rows, "family", F.ceil(F.col("bytes") / BLOCK_BYTES), columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = _Joined()
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                cells = _cells(batch, row)
+                for i, at in _near(cells[:4], cells[5:9], percent):
+                    own = np.frombuffer(cells[4][i].as_buffer(), np.uint64)
+                    for j in at.tolist():
+                        a, b = int(cells[1][i]), int(cells[6][j])
+                        if joined.find(a) != joined.find(b):
+                            if _similar(own, np.frombuffer(cells[9][j].as_buffer(), np.uint64), percent):
+                                joined.join(a, b)
+                                found.append((a, b))
+            yield _two(found)
+
+    return meet.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -270,12 +348,19 @@ def near_duplicates(
     larger = larger.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     larger = stage(larger.withColumn("component", F.coalesce("component", "doc_id")), "larger")
     open_keys = larger.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    rest = _across(larger.join(open_keys.select("key"), "key", "left_semi"), classes, percent)
-    rest = stage(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        wanted = rest.select(F.col("a").alias("doc_id")).unionByName(rest.select(F.col("b").alias("doc_id")))
-        more = stage(_sets(df, wanted, id_column, text, words), "sets")
-        parts = components(links.unionByName(_confirmed(rest, more, percent)))
+    mixed = larger.join(open_keys.select("key"), "key", "left_semi")
+    families = stage(components(_open(mixed, classes, percent)), "families")
+    if not families.isEmpty():
+        # all classes of the components that may be linked; the sets made before are used again
+        named = classes.select("doc_id", "n_shingles", "bits").join(parts, F.col("doc_id") == F.col("node"), "left")
+        named = named.withColumn("part", F.coalesce(F.col("component"), F.col("doc_id"))).drop("node", "component")
+        found = families.select(F.col("node").alias("part"), F.col("component").alias("family"))
+        named = stage(named.join(found, "part").withColumnRenamed("part", "component"), "named")
+        rest = named.select("doc_id").join(sets.select("doc_id"), "doc_id", "left_anti")
+        more = sets.unionByName(_sets(df, rest, id_column, text, words))
+        between = _linked(named.join(more, "doc_id"), percent)
+        # links between components and links to their smallest: the same components
+        parts = components(links.unionByName(between))
 
     # equal sets share their class's component
     named = classes.select("set_hash", F.col("doc_id").alias("node")).join(parts, "node", "left")
