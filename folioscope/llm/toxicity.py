@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import WordHash, free_name, query, remainder, table, text_bytes
+from folioscope.session import stage
 
 SAMPLE = 20_000  # greatest number of labelled rows for words, classifier and scale
 WORD_VOTERS = 48  # mined from the sample
@@ -36,7 +37,7 @@ MOST_WORDS = 300  # strongest words of the sample among which they are chosen
 SHARED = 0.6  # of the rows of one word that another may have
 LEAST_STRENGTH = 16.0  # log likelihood ratio; less is expected by chance among very many words
 LEAST_ROWS = 5  # labelled rows with a word before it may vote
-BUCKETS = 1 << 16  # of the classifier's words and beginnings
+BUCKETS = 1 << 16  # of the classifier's words
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word that stand for its inflected forms
 THRESHOLD = 0.3
 PRIOR = 0.1
@@ -218,9 +219,10 @@ class LabelModel:
 
 
 def _features(text: bytes, voters: Voters, hashes: WordHash) -> tuple[np.ndarray, list[int]]:
-    words = signs_of(text)
-    buckets = np.unique((hashes.of(list(words)) % np.uint64(BUCKETS)).astype(np.int32))
-    return buckets, voters.votes(text, words)
+    signs = signs_of(text)
+    words = [sign for sign in signs if not sign.endswith(b"*")]
+    buckets = np.unique((hashes.of(words) % np.uint64(BUCKETS)).astype(np.int32))
+    return buckets, voters.votes(text, signs)
 
 
 class Linear:
@@ -232,10 +234,11 @@ class Linear:
         if not len(rows):
             return
         target = model.posterior(votes)
-        index = [np.concatenate((r, BUCKETS + np.array(v, np.int32))) for r, v in zip(rows, votes)]
+        index = [np.concatenate((r, np.array(v, np.int32) + BUCKETS)).astype(np.int32) for r, v in zip(rows, votes)]
         scale = np.concatenate([self._scale(len(r), len(v)) for r, v in zip(rows, votes)])
-        flat = np.concatenate(index).astype(np.int64)
-        row = np.repeat(np.arange(len(index)), [len(i) for i in index])
+        row = np.repeat(np.arange(len(index), dtype=np.int32), [len(i) for i in index])
+        flat = np.concatenate(index)
+        del index
         # full gradients with momentum; the penalty keeps words below what votes tell
         speed, size = np.zeros_like(self.weight), len(rows)
         for _ in range(150):
@@ -248,7 +251,7 @@ class Linear:
 
     @staticmethod
     def _scale(words: int, votes: int) -> np.ndarray:
-        return np.concatenate((np.full(words, 1 / np.sqrt(words + 1)), np.ones(votes)))
+        return np.concatenate((np.full(words, 1 / np.sqrt(words + 1), np.float32), np.ones(votes, np.float32)))
 
     def logit(self, words: np.ndarray, votes: list[int]) -> float:
         own = self.weight[words].sum() / np.sqrt(len(words) + 1)
@@ -296,6 +299,7 @@ def fit(
     taken = F.broadcast(_sample(labels, id_column, allowed, sample))
     texts = docs.select(F.col(id_column).cast("long").alias("label_id"), F.col(text).alias("text"))
     sampled = texts.join(taken, "label_id").dropDuplicates(["label_id"]).select("label_id", "text", "toxic")
+    sampled = stage(sampled, "sampled")
     total, positive = sampled.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     fixed = [word.encode() for word in INSULTS]
     mined = _mined(sampled, positive, total) if 0 < positive < total else []
@@ -307,14 +311,15 @@ def fit(
         for batch in batches:
             made = [_features(text, voters, hashes) for text in text_bytes(batch.column(0))]
             columns = [pa.array([m[0].tobytes() for m in made], pa.binary())]
-            columns += [pa.array([m[1] for m in made], pa.list_(pa.int32())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, ["words", "votes", "toxic"])
-
-    features = sampled.orderBy("label_id").select("text", "toxic")
-    found = features.mapInArrow(run, "words binary, votes array<int>, toxic int").collect()
-    words = [np.frombuffer(r.words, np.int32) for r in found]
-    votes = [list(r.votes) for r in found]
-    toxic = np.array([r.toxic for r in found], float)
+            columns += [pa.array([m[1] for m in made], pa.list_(pa.int32())), batch.column(1), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["words", "votes", "toxic", "label_id"])
+
+    features = sampled.select("text", "toxic", "label_id")
+    found = features.mapInArrow(run, "words binary, votes array<int>, toxic int, label_id long").toArrow()
+    found = found.sort_by("label_id")  # at most `sample` rows of bucket numbers
+    words = [np.frombuffer(w.as_buffer(), np.int32) for w in found["words"]]
+    votes = found["votes"].to_pylist()
+    toxic = np.asarray(found["toxic"]).astype(float)
     model = LabelModel(rows, together, prior, votes, toxic)
     linear = Linear(words, votes, model)
     logits = np.array([linear.logit(w, v) for w, v in zip(words, votes)])
