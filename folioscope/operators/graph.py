@@ -406,6 +406,61 @@ def single_book_plan(requests: DataFrame, books: DataFrame, chapters: DataFrame)
     )
 
 
+def single_book_graph(
+    plan: DataFrame, chapter_nodes: DataFrame, chapter_edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of every planned request in one graph table keyed by request (K9).
+
+    `plan` is that of `single_book_plan`.  Requests for a book's chapters take the chapter graph,
+    keyed by textbook_id; all others the graph built from their search, keyed by request_id as text.
+    The root of a focused graph carries its chapter's title and page.
+    """
+    request = F.col("request_id").cast("string")
+    by_book = plan.filter(F.col("branch") == "chapters").select(request.alias("request"), "textbook_id")
+    by_search = plan.filter(F.col("branch") != "chapters").select(
+        request.alias("request"),
+        "textbook_id",
+        F.when(F.col("branch") == "chapter", F.col("topic")).alias("_chapter"),
+        F.col("page").cast("long").alias("_page"),
+    )
+
+    def of_books(rows: DataFrame) -> DataFrame:
+        asked = rows.join(by_book, rows["graph_id"] == by_book["textbook_id"])
+        return asked.withColumn("graph_id", F.col("request")).drop("request")
+
+    def of_searches(rows: DataFrame) -> DataFrame:
+        asked = rows.join(by_search, rows["graph_id"] == by_search["request"])
+        return asked.drop("request")
+
+    shown = [c for c in found_nodes.columns if c != "page"]
+    is_root = F.col("node_id") == ROOT
+    searched = of_searches(found_nodes.select(*shown)).withColumns(
+        {"chapter": F.when(is_root, F.col("_chapter")), "page": F.when(is_root, F.col("_page"))}
+    )
+    listed = of_books(chapter_nodes).withColumn("chapter", F.lit(None).cast("string"))
+    columns = ["textbook_id", *shown, "chapter", "page"]
+    nodes = listed.select(*columns).unionByName(searched.select(*columns))
+    links = ["textbook_id", *found_edges.columns]
+    edges = of_books(chapter_edges).select(*links).unionByName(of_searches(found_edges).select(*links))
+    return nodes, edges
+
+
+def of_textbooks(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Evidence or chunk rows of the wanted(textbook_id) books only; an empty request means all."""
+    if wanted.isEmpty():
+        return rows
+    return rows.join(wanted.select("textbook_id").distinct(), "textbook_id", "left_semi")
+
+
+def mark_expanded(nodes: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all nodes, updated nodes) with expanded = true for the frontier; books are never expanded."""
+    done = frontier.filter(F.col("type") != "book").select("graph_id", "node_id", F.lit(True).alias("_done")).distinct()
+    marked = nodes.join(done, ["graph_id", "node_id"], "left")
+    before = F.col("expanded") if "expanded" in nodes.columns else F.lit(False)
+    marked = marked.withColumn("expanded", F.coalesce("_done", before, F.lit(False)))
+    return marked.drop("_done"), marked.filter("_done").drop("_done")
+
+
 def expansion_queries(frontier: DataFrame, topics: DataFrame) -> DataFrame:
     """Search text and hit limit for nodes to expand; books are not expanded."""
     rows = frontier.join(topics.select("graph_id", "topic"), "graph_id").filter(F.col("type") != "book")

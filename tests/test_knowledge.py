@@ -242,3 +242,39 @@ def test_supplement(spark):
     assert fb.apply_feedback(own, split.unionByName(gone), records).first().status == "deleted"
     images = {r.seq: r.after.status for r in fb.audit(own, split.unionByName(gone), records=records).collect()}
     assert images == {2: "updated", 3: "deleted"}
+
+
+def test_single_book_graph_serves_every_branch(spark):
+    books = spark.createDataFrame([("b", "Book")], "textbook_id string, title string")
+    chapters = spark.createDataFrame(
+        [("b", "c1", "One", 3, 4, 10), ("b", "c2", "Two", 5, 6, 10)],
+        "textbook_id string, chapter_id string, title string, page_start long, page_end long, char_count long",
+    )
+    requests = spark.createDataFrame(
+        [(1, "b", "c2"), (2, "b", ""), (3, "b", "x"), (4, "gone", "")], "request_id long, textbook_id string, chapter_id string"
+    )
+    plan = gr.single_book_plan(requests, books, chapters)
+    topics = plan.filter("query IS NOT NULL").select(F.col("request_id").cast("string").alias("graph_id"), "topic")
+    evidence = topics.select(
+        "graph_id", F.lit(1).alias("rank"), F.lit("e1").alias("evidence_id"), F.lit("Book").alias("book"),
+        F.concat("topic", F.lit(" 症状 and treatment")).alias("quote"), F.concat("topic", F.lit(" 症状")).alias("text"),
+    )
+    found = gr.concepts(topics, evidence)
+    nodes, edges = gr.single_book_graph(
+        plan, *gr.chapter_graphs(books, chapters), gr.build_nodes(topics, evidence, found), gr.build_edges(found)
+    )
+    roots = {r.graph_id: (r.name, r.chapter, r.page) for r in nodes.filter("level = 0").collect()}
+    assert roots == {"1": ("Two", "Two", 5), "2": ("Book", None, None), "3": ("Book", None, None), "4": ("gone", None, None)}
+    assert {r.graph_id for r in edges.collect()} == {"1", "2", "3", "4"}
+    assert nodes.filter("graph_id = '2' AND type = 'chapter'").count() == 2
+
+
+def test_book_filter_and_expanded_marks(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "textbook_id string, n int")
+    wanted = spark.createDataFrame([("b",), ("b",)], "textbook_id string")
+    assert [r.n for r in gr.of_textbooks(rows, wanted).collect()] == [2]
+    assert gr.of_textbooks(rows, wanted.limit(0)).count() == 2
+    nodes = spark.createDataFrame([("g", "n1", "book"), ("g", "n2", "chapter"), ("g", "n3", "concept")], "graph_id string, node_id string, type string")
+    marked, updated = gr.mark_expanded(nodes, nodes.filter("node_id <> 'n3'"))
+    assert {r.node_id: r.expanded for r in marked.collect()} == {"n1": False, "n2": True, "n3": False}
+    assert [r.node_id for r in updated.collect()] == ["n2"]
