@@ -88,11 +88,11 @@ def book_title(name: Column, titles: dict[str, str] | None = None) -> Column:
     return F.coalesce(F.try_element_at(known, name), bare)
 
 
-def infer_chapter(text: Column, pattern: str = lx.PAGE_CHAPTER) -> Column:
-    """First of the first 12 lines that matches, cut to 80, else the unknown label."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 12), strip)
+def infer_chapter(text: Column, pattern: str = lx.PAGE_CHAPTER, first_lines: int = 12, width: int = 80) -> Column:
+    """First of the first lines that matches, cut to `width`, else the unknown label."""
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, first_lines), strip)
     return F.coalesce(
-        F.substring(F.get(F.filter(lines, lambda line: line.rlike(pattern)), F.lit(0)), 1, 80),
+        F.substring(F.get(F.filter(lines, lambda line: line.rlike(pattern)), F.lit(0)), 1, width),
         F.lit(lx.UNKNOWN_CHAPTER),
     )
 

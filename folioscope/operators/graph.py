@@ -64,11 +64,13 @@ def concepts(
     rules: Rules = tuple(lx.CLASS_RULES),
     seeds: Sequence[str] = tuple(lx.SEED_CLASSES),
     default: str = lx.DEFAULT_CLASS,
+    limit: int = 10,
+    bare_seeds: int = 5,
 ) -> DataFrame:
-    """Concepts per topic from classified evidence, first ten in seed order (K3).
+    """Concepts per topic from classified evidence, the first `limit` in seed order (K3).
 
     topics(graph_id, topic), evidence(graph_id, rank, evidence_id, book, quote).  Without any
-    evidence the first five seeds are returned.
+    evidence the first `bare_seeds` seeds are returned.
     """
     classed = evidence.withColumn("name", classify(F.col("quote"), rules, default))
     found = classed.groupBy("graph_id", "name").agg(
@@ -91,9 +93,9 @@ def concepts(
     n = F.coalesce("n", F.lit(0))
     group = W.partitionBy("graph_id")
     kept = rows.withColumn("_any", F.max(n).over(group)).filter(
-        F.when(F.col("_any") > 0, n > 0).otherwise(F.col("ord") < 5)
+        F.when(F.col("_any") > 0, n > 0).otherwise(F.col("ord") < bare_seeds)
     )
-    kept = kept.withColumn("ord", F.row_number().over(group.orderBy("ord"))).filter(F.col("ord") <= 10)
+    kept = kept.withColumn("ord", F.row_number().over(group.orderBy("ord"))).filter(F.col("ord") <= limit)
     kind = type_for_name(F.col("name"))
     none = F.array().cast("array<string>")
     return kept.select(

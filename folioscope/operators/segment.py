@@ -140,31 +140,36 @@ def styled_sections(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def toc_by_rules(
-    pages: DataFrame, chapter: str = lx.TOC_CHAPTER, section: str = lx.TOC_SECTION, max_pages: int | None = None
+    pages: DataFrame,
+    chapter: str = lx.TOC_CHAPTER,
+    section: str = lx.TOC_SECTION,
+    max_pages: int | None = None,
+    first_lines: int = 10,
+    width: int = 80,
 ) -> DataFrame:
-    """TOC entries from the first ten lines of each page(textbook_id, page, text)."""
+    """TOC entries from the first lines of each page(textbook_id, page, text)."""
     if max_pages is not None:
         pages = pages.filter(F.col("page") <= max_pages)
-    lines = F.slice(F.split(tx.clean(F.col("text")), "\n"), 1, 10)
+    lines = F.slice(F.split(tx.clean(F.col("text")), "\n"), 1, first_lines)
     line = tx.strip(F.col("_line"))
     level = F.when(line.rlike("(?U)" + chapter), 1).when(line.rlike("(?U)" + section), 2)
     entries = (
         pages.select("textbook_id", "page", F.posexplode(lines).alias("_pos", "_line"))
-        .select("textbook_id", "page", "_pos", level.alias("level"), tx.clean_title(F.substring(line, 1, 80)).alias("title"))
+        .select("textbook_id", "page", "_pos", level.alias("level"), tx.clean_title(F.substring(line, 1, width)).alias("title"))
         .filter(F.col("level").isNotNull() & tx.is_valid_title(F.col("title")))
     )
     # the entry before may be many pages back: a blocked scan, so a long book is not one task
-    placed = entries.withColumn("_at", F.col("page").cast("long") * 10 + F.col("_pos"))
+    placed = entries.withColumn("_at", F.col("page").cast("long") * first_lines + F.col("_pos"))
     after = running_last(placed, ["textbook_id"], "_at", ["title"])
     return after.filter(~F.col("title_before").eqNullSafe(F.col("title"))).select(
         "textbook_id", "level", "title", F.col("page").alias("page_start"), F.lit("rules").alias("origin"), F.col("_pos").alias("pos")
     )
 
 
-def toc_supplied(toc: DataFrame, external: bool = False) -> DataFrame:
+def toc_supplied(toc: DataFrame, external: bool = False, last_page: int = 9999, deepest: int = 3) -> DataFrame:
     """Keep usable bookmark or external entries with cleaned titles."""
     page = F.col("page_start")
-    keep = page.between(1, 9999) if external else ((F.col("level") <= 3) & (page > 0))
+    keep = page.between(1, last_page) if external else ((F.col("level") <= deepest) & (page > 0))
     title = tx.clean_title(F.col("title"))
     return toc.filter(keep & tx.is_valid_title(title)).withColumns(
         {"title": title, "origin": F.lit("external" if external else "bookmarks")}
@@ -229,6 +234,22 @@ def toc_ranges(toc: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def whole_book_ranges(toc: DataFrame, totals: DataFrame) -> DataFrame:
+    """`toc_ranges`, and one chapter of all its pages for a book without usable entries."""
+    ranges = toc_ranges(toc, totals)
+    bare = totals.join(ranges.select("textbook_id").distinct(), "textbook_id", "left_anti")
+    return ranges.unionByName(
+        bare.select(
+            "textbook_id",
+            F.lit("ch_001").alias("chapter_id"),
+            F.lit(lx.WHOLE_TEXT_TITLE).alias("title"),
+            F.lit(1).alias("level"),
+            F.lit(1).cast(ranges.schema["page_start"].dataType).alias("page_start"),
+            F.greatest(F.col("total_pages"), F.lit(1)).cast(ranges.schema["page_end"].dataType).alias("page_end"),
+        )
+    )
+
+
 def chapter_content(chapters: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages BETWEEN start AND end of each chapter, joined by a blank line.
 

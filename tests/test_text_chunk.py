@@ -94,3 +94,18 @@ def test_line_chunks_match_brute_force(spark, sf):
             got.setdefault(r.page, []).append(r.text)
         for r in docs.collect():
             assert got.get(r.page, []) == [p for p in pack(r.text, size, overlap) if p], r.page
+
+
+def test_book_without_contents_is_one_chapter(spark):
+    from folioscope.operators import segment as sg
+
+    toc = spark.createDataFrame(
+        [("a", 1, "One", 3, 1), ("a", 1, "Two", 3, 2), ("a", 1, "Three", 7, 1)],
+        "textbook_id string, level int, title string, page_start int, pos int",
+    )
+    totals = spark.createDataFrame([("a", 9), ("b", 4)], "textbook_id string, total_pages int")
+    got = {(r.textbook_id, r.chapter_id, r.title): (r.page_start, r.page_end) for r in sg.whole_book_ranges(toc, totals).collect()}
+    assert got == {
+        ("a", "ch_001", "One"): (3, 3), ("a", "ch_002", "Two"): (3, 6), ("a", "ch_003", "Three"): (7, 9),
+        ("b", "ch_001", "全文"): (1, 4),
+    }
