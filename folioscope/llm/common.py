@@ -54,7 +54,7 @@ def free_name(df: DataFrame, base: str) -> str:
 class WordHash(dict):
     """64-bit hash per word, kept for as many words as `limit`; the same in every process."""
 
-    def __init__(self, limit: int = 400_000, salt: bytes = b"word"):
+    def __init__(self, limit: int = 150_000, salt: bytes = b"word"):
         super().__init__()
         self.limit, self.salt = limit, salt
 
