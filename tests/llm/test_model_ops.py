@@ -231,3 +231,28 @@ def test_pipeline_odd(spark, odd, tables):
     bench = spark.createDataFrame([(1, "not in there at all")], "item_id long, text string")
     for docs in (odd, odd.limit(0)):
         assert corpus_pipeline.run(spark, tables(documents=docs, labels=labels, benchmark=bench)).count() in (0, 8, 7)
+
+
+def test_lm_tables_equal_tree_in_memory(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = docs.select("text")
+    counts = suffix_tree.count_words(texts).collect()
+    total = sum(r.n for r in counts)
+    alphabet = suffix_tree.Alphabet([(bytes(r.word), r.n) for r in counts if r.n >= 2])
+    tree = suffix_tree.grow(texts, alphabet, total, len(counts), 3, 8 / total, 2 / total)
+    want = {r.doc_id: tree.score(*alphabet.flat([(r.text or "").encode()]))[0] for r in docs.collect()}
+    for sent, hot in ((suffix_tree.SENT, suffix_tree.HOT), (500, 100)):
+        monkeypatch.setattr(suffix_tree, "SENT", sent)
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
+        got = suffix_tree.score(docs, F.lit(True), context_n=8, edge_n=2).collect()
+        assert {r.doc_id: r.score - r.base_score for r in got} == pytest.approx(want, abs=1e-4)
+
+
+def test_lm_strings_stay_when_the_corpus_grows(spark):
+    docs = [(i, "the old mill by the river turns") for i in range(20)]
+    more = [(100 + i, " ".join(f"w{i}x{j % 500}" for j in range(3000))) for i in range(400)]
+    for rows in (docs, docs + more):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r for r in suffix_tree.score(df, F.lit(True)).collect()}
+        # all words but the first three are told by what stands before them
+        assert got[0].score - got[0].base_score > 4
