@@ -9,9 +9,9 @@ what the products leave over is the correlation of a pair, and correlated voters
 model's posterior labels then train a linear classifier over hashed words and votes, whose scale is set
 on the labelled rows.
 
-Labels are read only from rows for which the caller allows it.  The classifier, the word voters and
-the scale use at most `sample` labelled rows, those with the smallest hash of their id; all else covers
-all rows.  Language, source and id are no inputs of a score.
+Labels are read only from rows for which the caller allows it.  The classifier and the scale use at most
+`sample` labelled rows, those with the smallest hash of their id; the word voters come from all labelled
+rows, and all else covers all rows.  Language, source and id are no inputs of a score.
 
 Null text is empty; an empty text has the score of no evidence.  Labels of unknown rows and null labels
 are ignored; without any usable label the fixed voters and a prior of one tenth remain.  Repeated rows
@@ -21,7 +21,9 @@ score alike.  Extra columns pass through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import WordHash, free_name, query, remainder, table, text_bytes
 from folioscope.session import stage
 
-SAMPLE = 20_000  # greatest number of labelled rows for words, classifier and scale
-WORD_VOTERS = 48  # mined from the sample
-MOST_WORDS = 300  # strongest words of the sample among which they are chosen
+SAMPLE = 20_000  # greatest number of labelled rows for classifier and scale
+HELD = 300_000  # counts that a task holds before it puts them out
 SHARED = 0.6  # of the rows of one word that another may have
 LEAST_STRENGTH = 16.0  # log likelihood ratio; less is expected by chance among very many words
 LEAST_ROWS = 5  # labelled rows with a word before it may vote
@@ -94,31 +95,43 @@ class Voters:
         return sorted(found)
 
 
-def _sample(labels: DataFrame, id_column: str, allowed: Column, sample: int) -> DataFrame:
-    """At most `sample` labelled rows: doc_id, toxic."""
+def _labelled(labels: DataFrame, id_column: str, allowed: Column) -> DataFrame:
+    """All labelled rows: label_id, toxic."""
     rows = labels.filter(allowed & F.col("toxic").isNotNull() & F.col(id_column).isNotNull())
     rows = rows.select(F.col(id_column).cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    return rows.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    return rows.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
 
 
-def _mined(sampled: DataFrame, positive: int, total: int) -> list[bytes]:
-    """Words whose presence tells most about the label, by the likelihood ratio statistic.
+def _mined(labelled: DataFrame, positive: int, total: int) -> list[bytes]:
+    """Words whose presence tells about the label, by the likelihood ratio statistic; strongest first.
 
     A word that mostly occurs in the rows of a better one adds no voter: else the words of one much
     copied text would outvote all others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: Counter[bytes] = Counter()
+        toxic: Counter[bytes] = Counter()
+
+        def put() -> pa.RecordBatch:
+            columns = [pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64())]
+            columns.append(pa.array([toxic[w] for w in every], pa.int64()))
+            return pa.RecordBatch.from_arrays(columns, ["word", "n", "t"])
+
         for batch in batches:
-            words = [list(signs_of(text)) for text in text_bytes(batch.column(0))]
-            at = pa.array(np.repeat(np.arange(len(words)), [len(w) for w in words]))
-            flat = pa.array([w for each in words for w in each], pa.binary())
-            columns = [flat, batch.column(1).take(at), batch.column(2).take(at)]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "toxic", "label_id"])
-
-    found = sampled.select("text", "toxic", "label_id").mapInArrow(run, "word binary, toxic int, label_id long")
-    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+            for text, label in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
+                signs = signs_of(text)
+                every.update(signs)
+                if label:
+                    toxic.update(signs)
+                if len(every) >= HELD:
+                    yield put()
+                    every.clear()
+                    toxic.clear()
+        yield put()
+
+    counts = labelled.select("text", "toxic").mapInArrow(run, "word binary, n long, t long")
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counts = counts.filter((F.col("t") >= LEAST_ROWS) & (F.col("t") * total > 3 * F.col("n") * positive))
 
     def part(seen: Column, expected: Column) -> Column:
@@ -127,33 +140,70 @@ def _mined(sampled: DataFrame, positive: int, total: int) -> list[bytes]:
     rate = positive / total
     n, t = F.col("n"), F.col("t")
     strength = part(t, n * rate) + part(n - t, n * (1 - rate))
-    best = counts.select("word", strength.alias("strength")).filter(F.col("strength") >= LEAST_STRENGTH)
-    best = best.orderBy(F.desc("strength"), "word").limit(MOST_WORDS)
-    rows = found.filter("toxic = 1").join(F.broadcast(best), "word").groupBy("word", "strength")
-    rows = rows.agg(F.collect_list("label_id").alias("rows")).orderBy(F.desc("strength"), "word").collect()
-    chosen: list[tuple[bytes, set[int]]] = []
-    for row in rows:
-        own = set(row.rows)
-        if len(chosen) < WORD_VOTERS and all(len(own & o) < SHARED * min(len(own), len(o)) for _, o in chosen):
-            chosen.append((bytes(row.word), own))
-    return [word for word, _ in chosen]
+    best = counts.select("word", "t", strength.alias("strength")).filter(F.col("strength") >= LEAST_STRENGTH)
+    best = best.orderBy(F.desc("strength"), "word").collect()
+    place = {bytes(row.word): i for i, row in enumerate(best)}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter[tuple[int, int]] = Counter()
+
+        def put() -> pa.RecordBatch:
+            columns = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+            columns.append(pa.array(list(pairs.values()), pa.int64()))
+            return pa.RecordBatch.from_arrays(columns, ["i", "j", "n"])
+
+        for batch in batches:
+            for text in text_bytes(batch.column(0)):
+                pairs.update(combinations(sorted(place[w] for w in signs_of(text) & place.keys()), 2))
+                if len(pairs) >= HELD:
+                    yield put()
+                    pairs.clear()
+        yield put()
+
+    met = labelled.filter("toxic = 1").select("text").mapInArrow(meet, "i long, j long, n long")
+    met = met.groupBy("i", "j").agg(F.sum("n").alias("n"))
+    own = labelled.sparkSession.createDataFrame([(i, int(row.t)) for i, row in enumerate(best)], "at long, t long")
+    for end in ("i", "j"):
+        met = met.join(F.broadcast(own.select(F.col("at").alias(end), F.col("t").alias(f"t_{end}"))), end)
+    shared = met.filter(F.col("n") >= SHARED * F.least("t_i", "t_j")).groupBy("i").agg(F.collect_list("j").alias("js"))
+    chosen = np.ones(len(best), bool)
+    for i, weaker in shared.orderBy("i").toLocalIterator():  # strongest first; never held as a whole
+        if chosen[i]:
+            chosen[weaker] = False
+    return [bytes(row.word) for j, row in enumerate(best) if chosen[j]]
 
 
 def _moments(docs: DataFrame, voters: Voters) -> tuple[int, np.ndarray]:
     """Rows, and how many of them each pair of voters votes on; one row per pair and task is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        together = np.zeros((voters.count, voters.count), np.int64)
-        rows = 0
+        held: list[np.ndarray] = []
+        pairs, rows, size = np.zeros((2, 0), np.int64), 0, 0
+
+        def merged() -> np.ndarray:
+            key, at, n = np.unique(np.concatenate([pairs[0], *held]), return_inverse=True, return_counts=True)
+            n = n + np.bincount(at[: pairs.shape[1]], pairs[1] - 1, len(key)).astype(np.int64)
+            return np.stack((key, n))
+
+        def put(rows: int) -> pa.RecordBatch:
+            i, j = pairs[0] // voters.count, pairs[0] % voters.count
+            columns = [np.append(i, -1), np.append(j, -1), np.append(pairs[1], rows)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["i", "j", "n"])
+
         for batch in batches:
             rows += batch.num_rows
             for text in text_bytes(batch.column(0)):
-                found = voters.votes(text, signs_of(text))
-                if found:
-                    together[np.ix_(found, found)] += 1
-        i, j = np.nonzero(together)
-        columns = [np.append(i, -1), np.append(j, -1), np.append(together[i, j], rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["i", "j", "n"])
+                found = np.array(voters.votes(text, signs_of(text)), np.int64)
+                if len(found):
+                    held.append((found[:, None] * voters.count + found).ravel())
+                    size += len(found) ** 2
+                if size >= HELD:
+                    pairs, held, size = merged(), [], 0
+                    if pairs.shape[1] >= HELD:
+                        yield put(0)
+                        pairs = np.zeros((2, 0), np.int64)
+        pairs = merged()
+        yield put(rows)
 
     cells = docs.mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     total, together = 0, np.zeros((voters.count, voters.count))
@@ -296,16 +346,18 @@ def fit(
     sample: int = SAMPLE,
 ) -> Model:
     """Fit on all texts and on the allowed labels (columns `id_column` and toxic; `allowed` is over them)."""
-    taken = F.broadcast(_sample(labels, id_column, allowed, sample))
     texts = docs.select(F.col(id_column).cast("long").alias("label_id"), F.col(text).alias("text"))
-    sampled = texts.join(taken, "label_id").dropDuplicates(["label_id"]).select("label_id", "text", "toxic")
-    sampled = stage(sampled, "sampled")
-    total, positive = sampled.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    labelled = texts.join(_labelled(labels, id_column, allowed), "label_id").dropDuplicates(["label_id"])
+    labelled = stage(labelled.select("label_id", "text", "toxic"), "labelled")
+    total, positive = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    taken = labelled.select("label_id").orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    sampled = labelled.join(F.broadcast(taken), "label_id")
     fixed = [word.encode() for word in INSULTS]
-    mined = _mined(sampled, positive, total) if 0 < positive < total else []
+    mined = _mined(labelled, positive, total) if 0 < positive < total else []
     voters = Voters(fixed + [w for w in mined if w not in set(fixed)])
     rows, together = _moments(docs.select(text), voters)
     prior = min(max(positive / total, 0.001), 0.5) if positive else PRIOR
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:

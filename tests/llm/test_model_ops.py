@@ -256,3 +256,13 @@ def test_lm_strings_stay_when_the_corpus_grows(spark):
         got = {r.doc_id: r for r in suffix_tree.score(df, F.lit(True)).collect()}
         # all words but the first three are told by what stands before them
         assert got[0].score - got[0].base_score > 4
+
+
+def test_toxicity_voters_from_all_labelled_rows(spark):
+    plain = [(i, f"n{i} about gardens") for i in range(4000)]
+    rude = [(5000 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 3)}q n{i} about gardens") for i in range(78 * 10)]
+    docs = spark.createDataFrame(plain + rude, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") >= 5000).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels, F.lit(True), sample=50)
+    words = {text.split()[0].encode() for _, text in rude}
+    assert len(words) == 78 and words <= model.voters.place.keys()
