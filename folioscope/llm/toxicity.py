@@ -4,8 +4,9 @@ Voters are words and patterns: a fixed list of insults, the words and beginnings
 labelled rows tie most to the label, and a few signs of shouting.  A voter votes where it occurs.  A
 generative model takes the votes as noisy signs of a hidden label.  Counts of votes and of pairs of
 votes come from all rows, labelled or not.  Given the hidden label, independent voters have
-correlations that are products of their own with it, so triples of voters give each one's accuracy;
-what the products leave over is the correlation of a pair, and correlated voters share one voice.  The
+correlations that are products of their own with it, so triples of voters give each one's accuracy; a
+voter without triples is measured by the given label, over all labelled rows.  What the products leave
+over is the correlation of a pair, and correlated voters share one voice.  The
 model's posterior labels then train a linear classifier over hashed words and votes, whose scale is set
 on the labelled rows.
 
@@ -42,7 +43,7 @@ BUCKETS = 1 << 16  # of the classifier's words
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word that stand for its inflected forms
 THRESHOLD = 0.3
 PRIOR = 0.1
-UNSEEN = 2.0  # weight of a fixed insult that the rows don't have
+UNSEEN = 2.0  # weight of a fixed insult of which neither the rows nor the labels tell
 CLOSE = 0.05  # correlation from which two voters make a triple with the label
 DEPENDENT = 0.2  # correlation left over by the model from which two voters share a voice
 
@@ -215,52 +216,85 @@ def _moments(docs: DataFrame, voters: Voters) -> tuple[int, np.ndarray]:
     return total, together
 
 
+def _told(labelled: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
+    """Per voter, and last for no voter at all, the labelled rows and the toxic ones among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, voters.count + 1), np.int64)
+        for batch in batches:
+            for text, label in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
+                found = voters.votes(text, signs_of(text)) or [voters.count]
+                counts[0, found] += 1
+                counts[1, found] += label
+        columns = [pa.array(np.arange(voters.count + 1)), pa.array(counts[0]), pa.array(counts[1])]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "n", "t"])
+
+    told = labelled.select("text", "toxic").mapInArrow(run, "i long, n long, t long")
+    hits, toxic = np.zeros(voters.count + 1), np.zeros(voters.count + 1)
+    for i, n, t in told.groupBy("i").agg(F.sum("n"), F.sum("t")).collect():
+        hits[i], toxic[i] = n, t
+    return hits, toxic
+
+
 class LabelModel:
     """Weights of votes for a hidden label.
 
-    Counts of votes and of pairs of votes come from all rows; `seen` and `toxic` are the votes and
-    labels of the sample.  The given label is taken as one more noisy voter: how well it follows the
-    hidden one comes from triples of it and two voters that go together.  A voter that doesn't occur
-    abstains, since no text holds the insults of every language; only a text without any vote tells
-    something by it.
+    Counts of votes and of pairs of votes come from all rows; `hits` and `toxic` count all labelled rows
+    by voter, the rows without any vote last.  A voter's link to the hidden label comes from triples of
+    voters that go together and aren't dependent.  Voters of different languages never meet; one without
+    a triple is measured by the given label, which is one more noisy voter: how well it follows the
+    hidden one comes from triples of it and two voters.  A voter that doesn't occur abstains, since no
+    text holds the insults of every language; only a text without any vote tells something by it.
     """
 
-    def __init__(self, rows: int, together: np.ndarray, prior: float, seen: list[list[int]], toxic: np.ndarray):
+    def __init__(
+        self, rows: int, together: np.ndarray, prior: float, hits: np.ndarray, toxic: np.ndarray, total: int, positive: int
+    ):
         size = len(together)
         rate = np.diag(together) / max(rows, 1)
         spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
         pairs = (together / max(rows, 1) - np.outer(rate, rate)) / np.outer(spread, spread)
+        np.fill_diagonal(pairs, 0.0)
         used = np.diag(together) >= LEAST_ROWS
-        hits, labelled = np.zeros(size), np.zeros(size)
-        for votes, label in zip(seen, toxic):
-            hits[votes] += 1
-            labelled[votes] += label
-        told = 0 < toxic.sum() < len(toxic)
-        if told:
-            own = hits / len(toxic)
-            with_label = (labelled / len(toxic) - own * toxic.mean()) / np.sqrt(
-                np.maximum(own * (1 - own), 1e-12) * toxic.mean() * (1 - toxic.mean())
+        fixed = np.arange(size) < len(INSULTS)
+        close = (pairs > CLOSE) & (together >= LEAST_ROWS)
+        if 0 < positive < total:
+            own, share = hits[:-1] / total, positive / total
+            with_label = (toxic[:-1] / total - own * share) / np.sqrt(
+                np.maximum(own * (1 - own), 1e-12) * share * (1 - share)
             )
-            close = (pairs > CLOSE) & ~np.eye(size, dtype=bool) & np.outer(used, used)
-            close &= (with_label > CLOSE)[:, None] & (with_label > CLOSE)[None, :]
-            triples = np.outer(with_label, with_label)[close] / pairs[close]
+            told = close & (with_label > CLOSE)[:, None] & (with_label > CLOSE)[None, :]
+            triples = np.outer(with_label, with_label)[told] / pairs[told]
             label_link = float(np.sqrt(np.clip(np.median(triples), 0.25, 1.0))) if len(triples) else 1.0
             link = np.clip(with_label / label_link, -0.99, 0.99)
-            self.silent = np.log((toxic[[not v for v in seen]].sum() + 1) / (toxic.sum() + 2)) - np.log(
-                ((1 - toxic)[[not v for v in seen]].sum() + 1) / ((1 - toxic).sum() + 2)
+            known = hits[:-1] > 0
+            self.silent = np.log((toxic[-1] + 1) / (positive + 2)) - np.log(
+                (hits[-1] - toxic[-1] + 1) / (total - positive + 2)
             )
         else:  # the fixed insults are taken to follow the hidden label
             label_link, self.silent = 0.0, -2.0
-            link = np.where(np.arange(size) < len(INSULTS), 0.5, 0.0)
+            link = np.where(fixed, 0.5, 0.0)
+            known = np.ones(size, bool)
+        # pairs that a common voice explains tell nothing about the label
+        close &= pairs - np.outer(link, link) <= DEPENDENT
+        by_triples = np.full(size, np.nan)
+        for i in np.flatnonzero(used):
+            near = np.flatnonzero(close[i])
+            both = np.triu(close[np.ix_(near, near)], 1)
+            if both.any():
+                squares = np.outer(pairs[i, near], pairs[i, near])[both] / pairs[np.ix_(near, near)][both]
+                by_triples[i] = min(np.sqrt(np.median(squares)), 0.99)
+        found = ~np.isnan(by_triples)
+        link = np.where(found, by_triples, link)
         self.label_link, self.link = label_link, link
-        left = pairs - np.outer(link, link)
-        dependent = (left > DEPENDENT) & ~np.eye(size, dtype=bool) & np.outer(used, used)
+        dependent = (pairs - np.outer(link, link) > DEPENDENT) & np.outer(used, used)
+        np.fill_diagonal(dependent, False)
         voice = 1.0 / (1 + dependent.sum(axis=1))
         reach = link * spread  # covariance with the label over the label's own spread
         on = np.clip(rate + reach * np.sqrt((1 - prior) / prior), 1e-5, 1 - 1e-5)
         off = np.clip(rate - reach * np.sqrt(prior / (1 - prior)), 1e-5, 1 - 1e-5)
-        fixed = np.arange(size) < len(INSULTS)
-        self.weight = np.where(used, voice * np.log(on / off), np.where(fixed, UNSEEN, 0.0))
+        measured = used & (known | found)
+        self.weight = np.where(measured, voice * np.log(on / off), np.where(fixed, UNSEEN, 0.0))
         self.bias = float(np.log(prior / (1 - prior)))
 
     def posterior(self, votes: list[list[int]]) -> np.ndarray:
@@ -372,7 +406,7 @@ def fit(
     words = [np.frombuffer(w.as_buffer(), np.int32) for w in found["words"]]
     votes = found["votes"].to_pylist()
     toxic = np.asarray(found["toxic"]).astype(float)
-    model = LabelModel(rows, together, prior, votes, toxic)
+    model = LabelModel(rows, together, prior, *_told(labelled, voters), total, positive)
     linear = Linear(words, votes, model)
     logits = np.array([linear.logit(w, v) for w, v in zip(words, votes)])
     slope, shift = _scale(logits, toxic)

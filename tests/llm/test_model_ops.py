@@ -266,3 +266,26 @@ def test_toxicity_voters_from_all_labelled_rows(spark):
     model = toxicity.fit(docs, labels, F.lit(True), sample=50)
     words = {text.split()[0].encode() for _, text in rude}
     assert len(words) == 78 and words <= model.voters.place.keys()
+
+
+def test_toxicity_links_from_triples():
+    rng = np.random.default_rng(3)
+    rows, prior, size = 200_000, 0.1, 6
+    hidden = rng.random(rows) < prior
+    on = np.array([0.3, 0.4, 0.5, 0.6, 0.7, 0.8])
+    votes = rng.random((rows, size)) < np.where(hidden[:, None], on, 0.02)
+    want = [np.corrcoef(votes[:, i], hidden)[0, 1] for i in range(size)]
+    together = votes.T.astype(float) @ votes
+    model = toxicity.LabelModel(rows, together, prior, np.zeros(size + 1), np.zeros(size + 1), 0, 0)
+    assert model.link == pytest.approx(want, abs=0.03)
+
+
+def test_toxicity_insult_without_labelled_row(spark):
+    docs = [(i, f"n{i} about gardens") for i in range(300)] + [(400 + i, f"n{i} you idiot") for i in range(40)]
+    unlabelled = [(500 + i, f"n{i} gilipollas") for i in range(20)]
+    frame = spark.createDataFrame(docs + unlabelled, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 400)) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels, F.lit(True))
+    bad = spark.createDataFrame([(1, "hola gilipollas"), (2, "hola amigo")], "doc_id long, text string")
+    high, low = (r.toxicity for r in toxicity.score(bad, model).orderBy("doc_id").collect())
+    assert high > 2 * low
