@@ -321,12 +321,12 @@ def concepts(spark, sf):
 
 @query("payload_nodes")
 def payload_nodes(spark, sf):
-    """Concepts from node payloads: the long words of each benchmark text as nodes."""
+    """Concepts from node payloads: the long words of each benchmark text as nodes, a graph per text."""
     graph = _Graph(spark, sf)
     words = cp.long_words(F.col("text"))
     items = table(spark, sf, "benchmark").select(
-        "text", F.get(words, F.lit(0)).alias("graph_id"), F.array_distinct(words).alias("w")
-    ).filter(F.col("graph_id").isNotNull())
+        F.get(words, F.lit(0)).alias("topic"), "item_id", F.array_distinct(words).alias("w")
+    ).filter(F.col("topic").isNotNull())
     nodes = F.transform(
         "w",
         lambda w, i: F.struct(
@@ -335,11 +335,14 @@ def payload_nodes(spark, sf):
             F.when(i == 3, 7.5).otherwise(0.5).alias("confidence"),
         ),
     )
-    edges = F.transform("w", lambda w, i: F.struct(F.col("graph_id").alias("source"), w.alias("target"), F.lit("includes").alias("relation")))
+    edges = F.transform("w", lambda w, i: F.struct(F.col("topic").alias("source"), w.alias("target"), F.lit("includes").alias("relation")))
     record = F.to_json(F.struct(nodes.alias("nodes"), edges.alias("edges")))
-    # two texts can share their topic: the longer text is its payload
-    chosen = items.groupBy("graph_id").agg(F.max_by(record, F.struct(F.length("text"), F.col("text"))).alias("payload"))
-    found = gr.payload_concepts(graph.topics, chosen, graph.evidence)
+    # texts can share their topic: each has a graph of its own over the topic's evidence
+    chosen = items.select(F.concat_ws("::", "topic", "item_id").alias("graph_id"), "topic", record.alias("payload"))
+    keyed = chosen.select(F.col("graph_id").alias("_key"), F.col("topic").alias("graph_id"))
+    topics = graph.topics.join(keyed, "graph_id").drop("graph_id").withColumnRenamed("_key", "graph_id")
+    evidence = graph.evidence.join(keyed, "graph_id").drop("graph_id").withColumnRenamed("_key", "graph_id")
+    found = gr.payload_concepts(topics, chosen.drop("topic"), evidence)
     return _joined(found, "books", "evidence_ids").drop("topic")
 
 

@@ -278,3 +278,15 @@ def test_book_filter_and_expanded_marks(spark):
     marked, updated = gr.mark_expanded(nodes, nodes.filter("node_id <> 'n3'"))
     assert {r.node_id: r.expanded for r in marked.collect()} == {"n1": False, "n2": True, "n3": False}
     assert [r.node_id for r in updated.collect()] == ["n2"]
+
+
+def test_payload_nodes_of_every_text(spark):
+    from folioscope.plans import corpus as cp
+    from folioscope.plans import knowledge
+
+    sf = "/root/testdata/sf0.001"
+    words = F.array_distinct(cp.long_words(F.col("text")))
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", words.alias("w")).filter(F.size("w") > 1)
+    want = {f"{r.w[0]}::{r.item_id}" for r in items.collect()}
+    found = knowledge.payload_nodes(spark, sf).select("graph_id").distinct().collect()
+    assert want and {r.graph_id for r in found} == want
