@@ -1,10 +1,11 @@
 """Phrase collocation mining by stripes.
 
 A stripe belongs to a prefix and counts the words that follow it.  A task counts the stripes of its
-texts and puts out one row per prefix; stripes are merged element by element, one (prefix, word) cell
-each, so that a frequent prefix is spread over all tasks.  The merged cells give everything: a cell of
-`word` is the frequency of the phrase one word longer, the cell without a word is the prefix total,
-and the greatest cells around a phrase tell whether a longer phrase subsumes it.
+texts, cuts each in CUTS by its next words, so that a frequent prefix doesn't meet in one task, and puts
+them out as compressed blocks, one per part of the shuffle; a part merges its blocks element by element.
+The merged cells give everything: a cell of `word` is the frequency of the phrase one word longer, the
+cell without a word is the prefix total, and the greatest cells around a phrase tell whether a longer
+phrase subsumes it.
 
 The lengths are counted one after the other.  A phrase that occurs `least` times has parts that do,
 so from two words on a task counts only phrases whose first and last part are frequent.  It asks a
@@ -39,6 +40,8 @@ TOP = 2000  # phrases reported per language
 SLICE = 2 << 20  # bytes of text that a task cuts into words at once
 HELD_CELLS = 1_000_000  # cells that a task gathers before it puts them out
 HELD_WORDS = 400_000  # distinct words that a task gathers before it puts its cells out
+MERGED_CELLS = 1_500_000  # cells that a part gathers before it adds equal ones
+CUTS = 8  # of a stripe
 HOT = 10_000  # most frequent parts, looked up by broadcast
 BITS_PER_PHRASE = 16
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # 128 kB to 32 MB, whatever the corpus
@@ -196,51 +199,71 @@ class _Stripes:
     def full(self) -> bool:
         return self.rows > HELD_CELLS or len(self.words) > HELD_WORDS
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """One row per prefix: (lang, prefix, cells); the first cell has no word but the total."""
+    def table(self) -> pa.Table | None:
+        """(lang, prefix, word, n, part) cells; a prefix's cell without a word is its total."""
         if not self.cells:
-            return
+            return None
         columns = [np.concatenate(c) for c in zip(*[columns for columns, _ in self.cells])]
         columns, counts = _grouped(columns, np.concatenate([counts for _, counts in self.cells]))
-        names = pa.array(list(self.words), pa.binary())
-        lang = self.lang.decode("utf-8", "replace")
+        names, hashes, lang = pa.array(list(self.words), pa.binary()), self.hashes, self.lang
+        if self.size == 1:
+            hashes = np.array([_hash(word) for word in self.words], np.uint64)
         self.clear()
-        if len(columns) == 1:
-            new = np.zeros(len(counts), bool)
-            new[0] = True
-        else:
-            new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)])
+        # counts come in order of their prefix
+        new = np.zeros(len(counts), bool)
+        new[0] = True
+        for column in columns[:-1]:
+            new[1:] |= column[1:] != column[:-1]
         starts = np.flatnonzero(new)
-        totals, following = np.add.reduceat(counts, starts), columns[-1]
-        # each stripe is its total followed by its words; what has no counted next word is in the total only
-        stripe = np.cumsum(new) - 1
-        listed = following > 0
-        slots = np.bincount(stripe[listed], minlength=len(starts)) + 1
-        offsets = np.concatenate([[0], np.cumsum(slots)])
-        n, word = np.empty(offsets[-1], np.int64), np.full(offsets[-1], -1)
-        n[offsets[:-1]] = totals
-        rest = np.ones(offsets[-1], bool)
-        rest[offsets[:-1]] = False
-        n[rest], word[rest] = counts[listed], following[listed]
-        words = names.take(pa.array(word, mask=word < 0)).cast(pa.string())
-        if len(columns) == 1:
-            prefixes = pa.array([""])
-        else:
-            parts = [names.take(pa.array(c[starts])).cast(pa.string()) for c in columns[:-1]]
-            prefixes = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
-        cells = pa.ListArray.from_arrays(
-            pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([words, pa.array(n)], ["word", "n"])
+        listed = np.flatnonzero(columns[-1] > 0)  # what has no counted next word is in the total only
+        rows = np.concatenate([starts, listed])
+        word = np.concatenate([np.full(len(starts), -1), columns[-1][listed]])
+        n = np.concatenate([np.add.reduceat(counts, starts), counts[listed]])
+        state = np.full(len(rows), np.uint64(_hash(lang)))
+        for column in columns[:-1]:
+            state = _extend(state, hashes[column[rows]])
+        cut = np.where(word < 0, np.uint64(0), hashes[word] % np.uint64(CUTS))
+        parts = [names.take(pa.array(c[rows])).cast(pa.string()) for c in columns[:-1]] or [pa.array([""] * len(rows))]
+        return pa.table(
+            {
+                "lang": pa.array([lang.decode("utf-8", "replace")]).take(pa.array(np.zeros(len(rows), np.int32))),
+                "prefix": pc.binary_join_element_wise(*parts, " "),
+                "word": names.take(pa.array(word, mask=word < 0)).cast(pa.string()),
+                "n": pa.array(n),
+                "part": pa.array(mix64(state + cut)),
+            }
         )
-        whole = pa.RecordBatch.from_arrays([pa.array([lang] * len(starts)), prefixes, cells], ["lang", "prefix", "cells"])
-        for at in range(0, len(starts), 50_000):
-            yield whole.slice(at, 50_000)
+
+
+def _blocks(held: list[_Stripes], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, block): the cells of a task for each part, compressed."""
+    tables = [t for t in (stripes.table() for stripes in held) if t is not None]
+    if not tables:
+        return
+    cells = pa.concat_tables(tables)
+    part = (cells.column("part").to_numpy() % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cells, part = cells.drop_columns(["part"]).take(pa.array(order)).combine_chunks(), part[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for low, high in zip(starts, np.append(starts[1:], len(part))):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, cells.schema, options=options) as out:
+            out.write_table(cells.slice(low, high - low).sort_by([("prefix", "ascending"), ("word", "ascending")]))
+        block = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([part[low]], pa.int32()), block], ["part", "block"])
+
+
+def shuffle_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def stripes(docs: DataFrame, size: int, known: PhraseFilter | None = None) -> DataFrame:
-    """(lang, prefix, cells) of each task, for phrases of `size` words of documents(lang, text).
+    """(part, block) of each task: its stripes for phrases of `size` words of documents(lang, text).
 
     `known` holds the frequent phrases of one word less.
     """
+    parts = 2 * shuffle_parts(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[bytes, _Stripes] = {}
@@ -250,20 +273,48 @@ def stripes(docs: DataFrame, size: int, known: PhraseFilter | None = None) -> Da
                     by_lang[lang] = _Stripes(lang, size, known)
                 by_lang[lang].add(text)
                 if by_lang[lang].full() or sum(s.rows for s in by_lang.values()) > HELD_CELLS:
-                    for held in by_lang.values():
-                        yield from held.batches()
-        for held in by_lang.values():
-            yield from held.batches()
+                    yield from _blocks(list(by_lang.values()), parts)
+        yield from _blocks(list(by_lang.values()), parts)
 
     named = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return named.mapInArrow(count, "lang string, prefix string, cells array<struct<word:string,n:bigint>>")
+    return named.mapInArrow(count, "part int, block binary")
 
 
-def merged(parts: DataFrame) -> DataFrame:
-    """(lang, prefix, word, n): stripes added element by element; `word` null is the prefix total."""
-    cells = parts.select("lang", "prefix", F.explode("cells").alias("cell"))
-    cells = cells.select("lang", "prefix", "cell.word", "cell.n")
-    return cells.groupBy("lang", "prefix", "word").agg(F.sum("n").alias("n"))
+def merged(blocks: DataFrame, least: int) -> DataFrame:
+    """(lang, prefix, word, n): stripes added element by element; `word` null is the prefix total.
+
+    Cells below `least` are left out, but for the number of all words, which has no prefix.
+    """
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        cells = pa.concat_tables(tables).group_by(["lang", "prefix", "word"], use_threads=False)
+        return cells.aggregate([("n", "sum")]).rename_columns(["lang", "prefix", "word", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+            cells = added(tables)
+            whole = pc.and_(pc.is_null(cells.column("word")), pc.equal(cells.column("prefix"), ""))
+            enough = pc.greater_equal(cells.column("n"), least)
+            return cells.filter(pc.or_(enough, whole)).combine_chunks().to_batches()
+
+        at, held, rows = None, [], 0
+        for batch in batches:
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != at and held:
+                    yield from frequent(held)
+                    held, rows = [], 0
+                at = part
+                held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+                rows += held[-1].num_rows
+                if rows > max(MERGED_CELLS, 2 * held[0].num_rows):
+                    held = [added(held)]
+                    rows = held[0].num_rows
+        if held:
+            yield from frequent(held)
+
+    # a fixed number of tasks: blocks are several times larger when decompressed
+    ordered = blocks.repartition(shuffle_parts(blocks), "part").sortWithinPartitions("part")
+    return ordered.mapInArrow(merge, "lang string, prefix string, word string, n long")
 
 
 def _phrase() -> Column:
@@ -274,8 +325,7 @@ def frequent_cells(docs: DataFrame, longest: int = LONGEST, least: int = LEAST)
     """Merged cells of at least `least`, one staged table per length from 1 to `longest`."""
     levels, known = [], None
     for size in range(1, longest + 1):
-        cells = merged(stripes(docs, size, known)).filter((F.col("n") >= least) | (F.col("prefix") == ""))
-        levels.append(stage(cells, f"stripes-{size}"))
+        levels.append(stage(merged(stripes(docs, size, known), least), f"stripes-{size}"))
         if size < longest:
             known = PhraseFilter(levels[-1].filter(F.col("word").isNotNull() & (F.col("n") >= least)).select("lang", _phrase().alias("phrase")))
     return levels

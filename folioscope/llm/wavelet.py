@@ -44,9 +44,9 @@ from folioscope.session import stage, staging_root
 SHARD = 2_000_000  # ids; a shard ends with the document that reaches them
 BLOCK = 8192  # bytes of a plane that are compressed together
 HELD_BLOCKS = 512  # decompressed blocks that a reader keeps
-CACHED = 250_000  # pieces of text whose ids a worker keeps, twice
+CACHED = 400_000  # pieces of text whose ids a worker keeps, twice
 PART = 1 << 20  # characters encoded at once
-HEAD = struct.Struct("<4sBBHQQ")
+HEAD = "<4sBBHQQ"
 MAGIC = b"WMX1"
 
 
@@ -54,7 +54,8 @@ MAGIC = b"WMX1"
 
 DOUBLE_BLANK = re.compile(r"\s[ \n]").search
 AT_BLANK = re.compile(r"(?<=\S)(?=[ \n])")
-MARKS = frozenset(".,;:!?")
+# letters, perhaps with marks behind them, that every cut leaves together
+SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 ID = attrgetter("id")
 # byte-level tokenizers write bytes as characters: printable Latin-1 as itself, the rest from 256 on
 _plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -98,7 +99,7 @@ class Encoder:
         self.has_added = re.compile("|".join(added)).search if added else lambda text: None
         self.by_pieces = self._is_byte_level()
         self.spaced = _Remembered(self._spaced)  # after a blank that the key leaves out, or from a line end on
-        self.plain = _Remembered(self._plain)
+        self.bare = _Remembered(self._bare)
         self.model = self.tokenizer.model
 
     def _is_byte_level(self) -> bool:
@@ -118,30 +119,37 @@ class Encoder:
     def _word(self, signs: str) -> bytes:
         return array.array(self.kind, map(ID, self.model.tokenize(signs))).tobytes()
 
-    def _plain(self, piece: str) -> bytes:
+    def _letters(self, word: str, blank: str) -> bytes:
+        return self._word(blank + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)))
+
+    def _cut(self, piece: str) -> bytes:
         return b"".join([self._word(signs) for signs, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)])
 
+    def _bare(self, piece: str) -> bytes:
+        simple = SIMPLE(piece)
+        if simple is None:
+            return self._cut(piece)
+        word, marks = simple.groups()
+        return self.bare[word] + self.bare[marks] if marks else self._letters(word, "")
+
     def _spaced(self, piece: str) -> bytes:
-        # letters, and letters before one mark, are what they are cut into anyway
-        if piece.isalpha():
-            if piece.isascii():
-                return self._word("Ġ" + piece)
-            if max(piece) < "ɐ":
-                return self._word("Ġ" + piece.encode().decode("latin-1").translate(BYTE_SIGNS))
-        elif piece[-1:] in MARKS and piece[:-1].isalpha():
-            return self.spaced[piece[:-1]] + self.plain[piece[-1]]
-        elif piece[:1] == "\n":
-            return self.plain["\n"] + self.plain[piece[1:]] if piece[1:].isalpha() else self._plain(piece)
-        return self._plain(" " + piece)
+        if piece[:1] == "\n":
+            alone = piece[1:2].strip()  # a line end before another blank belongs to it
+            return self.bare["\n"] + self.bare[piece[1:]] if alone else self._cut(piece)
+        simple = SIMPLE(piece)
+        if simple is None:
+            return self._cut(" " + piece)
+        word, marks = simple.groups()
+        return self.spaced[word] + self.bare[marks] if marks else self._letters(word, "Ġ")
 
     def _whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _part(self, text: str) -> bytes:
         if DOUBLE_BLANK(text):
-            return b"".join([self.plain[piece] for piece in AT_BLANK.split(text)])
+            return b"".join([self.bare[piece] for piece in AT_BLANK.split(text)])
         pieces = text.replace("\n", " \n").split(" ")
-        pieces[0], first = "", self.plain[pieces[0]] if pieces[0] else b""
+        pieces[0], first = "", self.bare[pieces[0]] if pieces[0] else b""
         return first + b"".join(map(self.spaced.__getitem__, pieces[1:]))
 
     def ids(self, text: str) -> bytes:
@@ -204,7 +212,7 @@ def compress(ids: np.ndarray, levels: int, documents: list[int | None], starts:
         zeros.append(len(low))
         ids = np.concatenate([low, high])
     known = np.array([d is not None for d in documents], np.uint8)
-    head = HEAD.pack(MAGIC, levels, 1, 0, len(ids), len(documents))
+    head = struct.pack(HEAD, MAGIC, levels, 1, 0, len(ids), len(documents))
     sections = [
         np.array(zeros, "<u8"),
         np.array([d or 0 for d in documents], "<i8"),
@@ -224,10 +232,10 @@ class WaveletMatrix:
 
     def __init__(self, read: Callable[[int, int], bytes]):
         self.read = read
-        magic, self.levels, version, _, self.n, docs = HEAD.unpack(read(0, HEAD.size))
+        magic, self.levels, version, _, self.n, docs = struct.unpack(HEAD, read(0, struct.calcsize(HEAD)))
         if magic != MAGIC or version != 1:
             raise ValueError("not a token file of this kind")
-        at = HEAD.size
+        at = struct.calcsize(HEAD)
 
         def section(kind: str, count: int) -> np.ndarray:
             nonlocal at
