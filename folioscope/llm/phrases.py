@@ -347,6 +347,16 @@ def _look_up(rows: DataFrame, totals: DataFrame, part: str, name: str) -> DataFr
     return easy.unionByName(found)
 
 
+def score(a: Column, n: Column, left: Column, right: Column) -> Column:
+    """floor(1000 a n / (l r)) in decimals of 38 digits."""
+
+    def wide(value: Column, digits: int = 19) -> Column:
+        return value.cast(f"decimal({digits},0)")
+
+    above = wide(wide(wide(a) * wide(n), 34) * F.lit(1000).cast("decimal(4,0)"), 38)
+    return F.call_function("div", above, wide(wide(left) * wide(right), 38))
+
+
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int | None = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of documents(lang, text), the first `top` of each language.
 
@@ -380,12 +390,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     )
     cuts = _look_up(_look_up(cuts, totals, "first", "l"), totals, "rest", "r").join(F.broadcast(words), "lang")
 
-    def wide(name: str, digits: int = 19) -> Column:
-        return F.col(name).cast(f"decimal({digits},0)")
-
-    product = (wide("a") * wide("n_all")).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)")
-    cuts = cuts.withColumn("_above", product.cast("decimal(38,0)")).withColumn("_below", (wide("l") * wide("r")).cast("decimal(38,0)"))
-    scored = cuts.withColumn("score", F.expr("_above div _below"))
+    scored = cuts.withColumn("score", score(F.col("a"), F.col("n_all"), F.col("l"), F.col("r")))
     best = scored.groupBy("lang", "phrase").agg(
         F.min_by(F.struct("a", "l", "r", F.col("n_all").alias("n"), "score"), F.struct("score", "k")).alias("_b")
     )

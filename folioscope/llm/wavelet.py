@@ -400,7 +400,10 @@ class TokenFiles:
         return (names.repartitionByRange(tasks, "shard") if tasks > 1 else names).mapInArrow(run, schema)
 
     def documents(self, value: Callable[[np.ndarray], object], name: str, kind: str) -> DataFrame:
-        """(doc_id, start, n_tokens, `name`): `value` is made from a document's ids, read from the files."""
+        """(doc_id, start, n_tokens, `name`): `value` is made from a document's ids, read from the files.
+
+        Whole numbers are long.
+        """
 
         def work(matrix: WaveletMatrix, base: int) -> Iterator[pa.RecordBatch]:
             ids, starts = matrix.all(), matrix.starts
