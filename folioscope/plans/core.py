@@ -11,9 +11,10 @@ from folioscope.operators import chunk as ck
 from folioscope.operators import evaluate as ev
 from folioscope.operators import index as ix
 from folioscope.operators import search as se
+from folioscope.operators.postings import PostingsIndex
 from folioscope.plans import corpus as cp
 from folioscope.plans import sql
-from folioscope.plans.corpus import query, table
+from folioscope.plans.corpus import query, scratch, table
 from folioscope.session import stage
 
 
@@ -332,6 +333,66 @@ def search_sparse(spark, sf):
     return _evidence_columns(cp.sparse_evidence(spark, sf, _questions(spark, sf), 5))
 
 
+_HITS = "query_id, chunk_id, rank, round(score, 6) AS score"
+
+
+def _hit_columns(hits):
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+_ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+
+
+@query(
+    "search_postings",
+    f"""WITH {sql.chapter_chunks()}, {sql.sparse_index(cap=None)}, {_ASKED}, {sql.search('asked', 5)}
+    SELECT {_HITS} FROM hits""",
+)
+def search_postings(spark, sf):
+    """Questions against the index on disk: only asked buckets and windows within reach of the result are read."""
+    index = PostingsIndex(spark, scratch(spark, "postings"), buckets=16, window=128)
+    index.append(cp.chunks(spark, sf))
+    return _hit_columns(index.search(_questions(spark, sf), 5))
+
+
+_CHANGED = """changed AS (
+  SELECT chunk_id, CASE WHEN page_start % 7 = 0 THEN substr(text, 1, 100) ELSE text END AS text FROM chunks)"""
+
+
+def _segmented(spark, sf, name):
+    """Index after three appends, a replacing one of shortened chunks and one that adds nothing."""
+    chunks = stage(cp.chunks(spark, sf), "chunks")
+    index = PostingsIndex(spark, scratch(spark, name), buckets=16, window=128)
+    for part in range(3):
+        index.append(chunks.filter(F.col("page_start") % 3 == part))
+    short = chunks.filter(F.col("page_start") % 7 == 0).withColumn("text", F.substring("text", 1, 100))
+    index.append(short, replace=True)
+    index.append(chunks)
+    return index
+
+
+@query(
+    "index_segments",
+    f"""WITH {sql.chapter_chunks()}, {_CHANGED}, {sql.sparse_index('changed', cap=None)}, {_ASKED}, {sql.search('asked', 10)}
+    SELECT {_HITS} FROM hits""",
+)
+def index_segments(spark, sf):
+    """Search over five segments; equals an index built anew."""
+    return _hit_columns(_segmented(spark, sf, "segments").search(_questions(spark, sf), 10))
+
+
+@query(
+    "index_compacted",
+    f"""WITH {sql.chapter_chunks()}, {_CHANGED}, {sql.sparse_index('changed', cap=None)}
+    SELECT term, df, cf, round(idf, 6) AS idf FROM vocab""",
+)
+def index_compacted(spark, sf):
+    """Vocabulary after the segments have become one."""
+    index = _segmented(spark, sf, "compacted")
+    index.compact()
+    return index.vocabulary().select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+
+
 _CENTROIDS = """parts AS (
   SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS r(i) GROUP BY ALL),
 dense_queries AS (SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS q FROM parts GROUP BY label)"""

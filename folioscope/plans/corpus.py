@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from folioscope.operators import chunk as ck
 from folioscope.operators import search as se
 from folioscope.operators.prefix import running_count
 from folioscope.operators.segment import HeadingRule
-from folioscope.session import spread, stage
+from folioscope.session import spread, stage, staging_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +44,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    root = staging_root(spark)
+    if root is None:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"), "doc_id")
 

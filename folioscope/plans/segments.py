@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,8 +14,8 @@ from folioscope.operators.integration import pending
 from folioscope.plans import core
 from folioscope.plans import corpus as cp
 from folioscope.plans import sql
-from folioscope.plans.corpus import query, table
-from folioscope.session import stage, staging_root
+from folioscope.plans.corpus import query, scratch, table
+from folioscope.session import stage
 from folioscope.sources import catalog, files, store
 from folioscope.streaming import ingest as st
 
@@ -234,13 +233,6 @@ def page_chapter_join(spark, sf):
 
 
 # --- sources and stores ----------------------------------------------------------
-def _scratch(spark, name):
-    root = staging_root(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "scan_files",
     rf"""SELECT source, count(*) AS files, sum(length({sql.NORMALISED}))::BIGINT AS total_chars, count(*)::BIGINT AS chapter_count
@@ -251,7 +243,7 @@ def scan_files(spark, sf):
 
     All files of a source begin with the same characters, so only their paths tell them apart.
     """
-    root = _scratch(spark, "files")
+    root = scratch(spark, "files")
     docs = table(spark, sf, "documents").select("source", "text")
     docs.write.partitionBy("source").option("maxRecordsPerFile", 1).text(root)
     found = files.list_files(spark, root, "*.txt")
@@ -283,7 +275,7 @@ def scan_files(spark, sf):
 )
 def store_roundtrip(spark, sf):
     """Parsed tables, index and results through their stores and back."""
-    root = _scratch(spark, "store")
+    root = scratch(spark, "store")
     books, chapters = cp.parsed(spark, sf)
     parsed = store.DocumentStore(spark, f"{root}/parsed")
     parsed.save("documents", books)
@@ -315,7 +307,7 @@ def store_roundtrip(spark, sf):
 )
 def result_sinks(spark, sf):
     """Evaluation results as JSON, CSV and Markdown; the CSV is read back."""
-    root = _scratch(spark, "sinks")
+    root = scratch(spark, "sinks")
     contexts = stage(ev.evaluate(cp.eval_docs(spark, sf), cp.questions(spark, sf)), "contexts")
     names = ["baseline_medium", "small_only", "small_to_big"]
     rows = stage(ev.question_metrics(contexts, cp.questions(spark, sf), names), "metrics")
@@ -438,7 +430,7 @@ def index_status(spark, sf):
     FROM windows WHERE text <> ''""",
 )
 def stream_ingest(spark, sf):
-    root = _scratch(spark, "ingest")
+    root = scratch(spark, "ingest")
     schema = table(spark, sf, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select("doc_id", "text")
     st.ingest(docs, f"{root}/chunks", f"{root}/checkpoint", cp.SHORT_LINE).awaitTermination()

@@ -27,7 +27,6 @@ def local_session(cores: str = "8", app: str = "folioscope") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -61,6 +60,12 @@ def drop_staged(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder, in whatever store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet in the shared folder and read it back.
 

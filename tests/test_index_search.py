@@ -125,10 +125,11 @@ def test_batch_best_keeps_exactly_k():
     rng = np.random.default_rng(0)
     scores = np.round(rng.random((200, 5)), 1)
     for k in (1, 3, 50, 500):
-        row, column = se._batch_best(scores, k)
-        for c in range(5):
-            order = sorted(range(200), key=lambda i: (-scores[i, c], i))
-            assert sorted(row[column == c]) == sorted(i for i in order[:k] if scores[i, c] > 0)
+        for positive in (True, False):
+            row, column = se._batch_best(scores, k, positive)
+            for c in range(5):
+                order = sorted(range(200), key=lambda i: (-scores[i, c], i))
+                assert sorted(row[column == c]) == sorted(i for i in order[:k] if not positive or scores[i, c] > 0)
 
 
 def test_variants_and_fusion(spark):
