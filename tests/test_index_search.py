@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import index as ix
 from folioscope.operators import prefix as px
+from folioscope.operators import postings as po
 from folioscope.operators import search as se
 
 TEXTS = [("a", "Aa b"), ("b", "aa aa"), ("c", "界 😀x")]
@@ -165,3 +166,57 @@ def test_prefix_scans_equal_plain_windows(spark):
     want = rows.withColumn("b", F.last("v", ignorenulls=True).over(plain.rowsBetween(W.unboundedPreceding, -1)))
     got = before.select("o", F.col("v_before").alias("b"))
     assert got.exceptAll(want.select("o", "b")).isEmpty() and got.count() == 500
+
+
+def _hits(hits):
+    return sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in hits.collect())
+
+
+def test_postings_index(spark, tmp_path):
+    topics = ["alpha beta", "gamma delta", "wolf tiger", "stone river"]
+    rows = [(f"c{t}{i:02d}", f"{topics[t]} {'word' * (i % 3)} n{i}") for t in range(4) for i in range(20)]
+    rows += [("d1", None), ("d2", ""), ("d3", "alpha beta "), ("d4", "alpha beta")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    asked = spark.createDataFrame(
+        [(1, "wolf tiger n3"), (2, "alpha"), (3, "zzz"), (4, ""), (5, "stone river word n7")], "query_id long, query string"
+    )
+    root = f"{tmp_path}/index"
+    index = po.PostingsIndex(spark, root, buckets=8, window=8)
+    assert index.search(asked, 3).count() == 0 and index.vocabulary().count() == 0
+    index.append(chunks)
+    assert _hits(index.search(asked, 3)) == _hits(se.SparseIndex(chunks, max_features=None).search(asked, 3))
+    # windows out of reach are not scored, and only the asked terms' folders are read
+    read = index.reading(asked, 3).first()
+    assert 0 < read.pairs_scored < read.pairs and read.postings_read < read.postings
+    one = asked.filter("query_id = 2")
+    few = ix.term_counts(one, "query").select("term")
+    plan = index._of_terms(index.postings(), few.limit(1))._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1]
+    assert index.reading(one.select("query_id", F.lit("zq").alias("query")), 3).count() <= 1
+
+
+def test_postings_segments(spark, tmp_path):
+    base = [(f"c{i:03d}", f"word{i % 7} other{i % 5} text {'x' * (i % 4)}") for i in range(60)]
+    asked = spark.createDataFrame([(1, "word3 other2"), (2, "xxx text"), (3, "fresh words")], "query_id long, query string")
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "chunk_id string, text string")
+
+    index = po.PostingsIndex(spark, f"{tmp_path}/index", buckets=4, window=8)
+    index.append(frame(base[:30]))
+    index.append(frame(base[20:60] + [("c010", "must not win")]))  # ids that are there keep their text
+    old = {p: p.stat().st_mtime_ns for p in (tmp_path / "index/postings").rglob("*.parquet")}
+    changed = {f"c{i:03d}": f"fresh words {i}" for i in range(0, 60, 6)}
+    index.append(frame(list(changed.items())), replace=True)
+    assert all(p.stat().st_mtime_ns == t for p, t in old.items())  # earlier segments are left alone
+    now = frame([(c, changed.get(c, text)) for c, text in base])
+    whole = se.SparseIndex(now, max_features=None)
+    vocab = sorted((r.term, r.df, r.cf, round(r.idf, 9)) for r in whole.vocab.collect())
+    want = _hits(whole.search(asked, 6))
+    for reopened in (False, True):
+        if reopened:
+            assert index.compact() == 4 and index.segments == [4]
+            index = po.PostingsIndex(spark, f"{tmp_path}/index", window=8)
+        assert _hits(index.search(asked, 6)) == want
+        assert sorted((r.term, r.df, r.cf, round(r.idf, 9)) for r in index.vocabulary().collect()) == vocab
+    assert index.chunks().count() == 60 and index.buckets == 4
