@@ -226,19 +226,12 @@ def text_top_k(chunks: DataFrame, vocab: DataFrame, query_vectors: DataFrame, k:
     return rank_hits(stage_all(parts, "hits"), k)
 
 
-def comparable(vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vectors of a length that some query has, the others): the second must not pass unseen."""
-    sizes = queries.select(F.size("embedding").alias("_size")).distinct()
-    sized = vectors.withColumn("_size", F.coalesce(F.size("embedding"), F.lit(-1)))
-    return sized.join(sizes, "_size", "left_semi").drop("_size"), sized.join(sizes, "_size", "left_anti").drop("_size")
-
-
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k of query vectors over chunk vectors.
 
     `vectors(chunk_id, embedding)` and `queries(query_id, embedding)`.  One matrix product
     per Arrow batch and block; no cross join.  Scores of zero and below are hits like others.  Vectors
-    whose length no query has cannot be compared; `comparable` lists them.
+    whose length no query has cannot be compared; `vectors.comparison_errors` lists them.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
     unit = vectors.select("chunk_id", ix.l2_normalise(F.col("embedding")).alias("embedding"))

@@ -12,6 +12,7 @@ from folioscope.operators import evaluate as ev
 from folioscope.operators import index as ix
 from folioscope.operators import search as se
 from folioscope.operators.postings import PostingsIndex
+from folioscope.operators.vectors import VectorIndex
 from folioscope.plans import corpus as cp
 from folioscope.plans import sql
 from folioscope.plans.corpus import query, scratch, table
@@ -423,6 +424,40 @@ def search_dense(spark, sf):
     return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+_NEAREST = """scored AS (SELECT a.vec_id AS query_id, 'v' || b.vec_id AS chunk_id,
+      list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]))
+      / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))) AS score
+      FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"""
+
+
+@query(
+    "search_vectors",
+    f"""WITH {_NEAREST},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scored)
+    SELECT query_id, chunk_id AS best, round(score, 6) AS score, 10::BIGINT AS hits, TRUE AS recall_reached,
+      (SELECT count(DISTINCT label) FROM embeddings) AS errors FROM ranked WHERE rank = 1""",
+)
+def search_vectors(spark, sf):
+    """Every twentieth vector against all in projection buckets; recall is measured against the full scan.
+
+    A vector of ten values per label stands for those that cannot be compared.
+    """
+    given = table(spark, sf, "embeddings")
+    short = given.groupBy("label").agg(F.slice(F.min_by("embedding", "vec_id"), 1, 10).alias("embedding"))
+    vectors = given.select(F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "embedding").unionByName(
+        short.select(F.concat(F.lit("short"), "label").alias("chunk_id"), "embedding")
+    )
+    asked = given.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    index = VectorIndex(vectors, scratch(spark, "vectors"), 64, bucket_rows=50)
+    reached = index.tune(asked, 10)
+    hits = stage(index.search(asked, 10), "hits")
+    counted = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
+    best = hits.filter(F.col("rank") == 1).select("query_id", F.col("chunk_id").alias("best"), F.round("score", 6).alias("score"))
+    return best.join(counted, "query_id").withColumns(
+        {"recall_reached": F.lit(reached >= 0.9), "errors": F.lit(index.errors.count()).cast("long")}
+    )
+
+
 # hybrid: a chunk is a whole document, the vector of a document or question is the one
 # with the same number, that of an expanded question the one after it
 _VARIANTS = f"""{sql.QUESTIONS},

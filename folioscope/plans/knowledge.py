@@ -16,9 +16,10 @@ from folioscope.operators import search as se
 from folioscope.plans import corpus as cp
 from folioscope.plans import sql
 from folioscope.plans.core import GRAPH_EVIDENCE
-from folioscope.plans.corpus import query, table
+from folioscope.plans.corpus import ORACLES, query, table
 from folioscope.session import stage, staging_root
 from folioscope.streaming import feedback as sf_stream
+from folioscope.streaming import keyed
 
 
 def _joined(df, *columns, sep="|"):
@@ -699,7 +700,7 @@ state AS (
   USING (target_type, target_id))"""
 
 
-def feedback_log(events):
+def feedback_log(events, *more):
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
     return events.select(
         F.lit("g").alias("graph_id"),
@@ -713,6 +714,7 @@ def feedback_log(events):
         .otherwise("delete")
         .alias("action"),
         F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("note "), k)).alias("comment"),
+        *more,
     )
 
 
@@ -751,7 +753,10 @@ def feedback_state(spark, sf):
     FROM steps s LEFT JOIN elements e ON e.target_type = s.target_type AND e.target_id = s.target_id""",
 )
 def feedback_audit(spark, sf):
-    rows = fb.audit(_elements(spark, sf), feedback_log(table(spark, sf, "events")))
+    return _audit_columns(fb.audit(_elements(spark, sf), feedback_log(table(spark, sf, "events"))))
+
+
+def _audit_columns(rows):
     return rows.select(
         "id", "seq", "action", "target_type", "target_id", "comment",
         F.col("before.status").alias("before_status"), F.col("before.note").alias("before_note"),
@@ -834,3 +839,27 @@ def stream_feedback(spark, sf):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     sf_stream.follow(feedback_log(events), f"{root}/folds", f"{root}/checkpoint").awaitTermination()
     return sf_stream.current_state(spark, _elements(spark, sf), f"{root}/folds").select(*fb.TARGET, "status", "note")
+
+
+@query("stream_keyed_state", _STATE_SQL)
+def stream_keyed_state(spark, sf):
+    """As `stream_feedback` with state per target, event time and every action sent twice."""
+    root = cp.scratch(spark, "keyed")
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    log = feedback_log(events, "ts")
+    twice = log.withColumn("_twice", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_twice")
+    keyed.follow_keyed(twice, f"{root}/states", f"{root}/checkpoint", "3650 days").awaitTermination()
+    states = keyed.keyed_states(spark, f"{root}/states")
+    return keyed.current_state(_elements(spark, sf), states).select(*fb.TARGET, "status", "note")
+
+
+@query("stream_audit", ORACLES["feedback_audit"])
+def stream_audit(spark, sf):
+    """Audit records of the streamed log; equal to those of the batch."""
+    root = cp.scratch(spark, "audit")
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    log = feedback_log(events)
+    sf_stream.follow(log, f"{root}/folds", f"{root}/checkpoint", f"{root}/trail").awaitTermination()
+    return _audit_columns(sf_stream.audit_trail(spark, _elements(spark, sf), f"{root}/trail"))

@@ -10,6 +10,7 @@ from folioscope.operators import index as ix
 from folioscope.operators import prefix as px
 from folioscope.operators import postings as po
 from folioscope.operators import search as se
+from folioscope.operators import vectors as ve
 
 TEXTS = [("a", "Aa b"), ("b", "aa aa"), ("c", "界 😀x")]
 
@@ -220,3 +221,19 @@ def test_postings_segments(spark, tmp_path):
         assert _hits(index.search(asked, 6)) == want
         assert sorted((r.term, r.df, r.cf, round(r.idf, 9)) for r in index.vocabulary().collect()) == vocab
     assert index.chunks().count() == 60 and index.buckets == 4
+
+
+def test_vector_index(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    odd = spark.createDataFrame([("short", [1.0]), ("none", None), ("zero", [0.0] * 64)], "chunk_id string, embedding array<float>")
+    asked = rows.filter(F.col("chunk_id").cast("int") % 25 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    index = ve.VectorIndex(rows.unionByName(odd), str(tmp_path / "vectors"), 64, bucket_rows=20)
+    assert {(r.chunk_id, r.length) for r in index.errors.collect()} == {("short", 1), ("none", -1)}
+    exact = se.dense_top_k(index.vectors, asked, 10)
+    reached = index.tune(asked, 10)
+    assert reached >= 0.9 and index.probes < 1 << index.bits
+    got = index.search(asked, 10)
+    assert ve.recall(got, exact) == pytest.approx(reached) and got.groupBy("query_id").count().filter("count <> 10").isEmpty()
+    assert _hits(index.search(asked, 10, probes=1 << index.bits)) == _hits(exact)
+    assert "bucket" in got._jdf.queryExecution().toString() and index.search(asked.limit(0), 3).count() == 0
+    assert ve.recall(got, exact.limit(0)) == 1.0

@@ -101,3 +101,39 @@ def test_feedback_stream_equals_batch_with_duplicates(spark, tmp_path, sf):
     want = fb.apply_feedback(_elements(spark, sf), feedback_log(events)).select(*kept)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert got.filter(F.col("status") != "normal").count() > 0
+
+
+def test_keyed_stream_takes_late_and_repeated_actions_and_restarts(spark, tmp_path):
+    from folioscope.streaming import keyed
+
+    schema = "graph_id string, seq long, target_type string, target_id string, action string, comment string, ts timestamp"
+    source, table, checkpoint = (str(tmp_path / name) for name in ("log", "states", "checkpoint"))
+    elements = spark.createDataFrame(
+        [("g", "node", "n1", "normal", None), ("g", "node", "n2", "normal", None), ("g", "edge", "e1", "normal", None)],
+        "graph_id string, target_type string, target_id string, status string, note string",
+    )
+
+    def send(*rows):
+        named = [("g", seq, *target, action, comment, f"2024-01-01 {at}") for seq, target, action, comment, at in rows]
+        df = spark.createDataFrame(named, schema.replace("timestamp", "string"))
+        df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+        log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        keyed.follow_keyed(log, table, checkpoint).awaitTermination()
+
+    n1, n2, e1 = ("node", "n1"), ("node", "n2"), ("edge", "e1")
+    send((2, n1, "edit", "second", "10:10:00"), (4, n2, "delete", "", "10:20:00"), (2, n1, "edit", "second", "10:10:00"))
+    send((1, n1, "merge", "first", "10:00:00"), (2, n1, "edit", "second", "10:10:00"), (5, e1, "keep", "x", "10:30:00"))  # late, repeated
+    send((9, n2, "keep", "far", "20:00:00"))  # a restart; the watermark moves on
+    send((3, n1, "delete", "", "10:15:00"), (10, e1, "delete", None, "20:01:00"))  # the first one is too late
+    states = {r.target_id: r for r in keyed.keyed_states(spark, table).collect()}
+    assert (states["n1"].status, states["n1"].note, states["n1"].actions) == ("updated", "second", 2)
+    assert (states["n2"].status, states["n2"].note, states["n2"].status_seq) == ("updated", "far", 9)
+    taken = [(1, n1, "merge", "first"), (2, n1, "edit", "second"), (4, n2, "delete", ""), (5, e1, "keep", "x"), (9, n2, "keep", "far"), (10, e1, "delete", None)]
+    log = spark.createDataFrame([("g", seq, *t, a, c) for seq, t, a, c in taken], schema.rsplit(",", 1)[0])
+    got = keyed.current_state(elements, keyed.keyed_states(spark, table))
+    want = fb.apply_feedback(elements, log).select(got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    before = spark.read.parquet(table).count()
+    log = spark.readStream.schema(schema).parquet(source)
+    keyed.follow_keyed(log, table, checkpoint).awaitTermination()  # nothing new
+    assert spark.read.parquet(table).count() == before
