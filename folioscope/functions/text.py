@@ -70,6 +70,12 @@ def file_stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
 
 
+def document_key(name: Column) -> Column:
+    """What tells documents apart by name: as `document_id`, but of the whole stem."""
+    key = F.btrim(F.regexp_replace(file_stem(name), r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
+    return F.when(F.length(key) < 3, F.md5(F.encode(name, "UTF-8"))).otherwise(key)
+
+
 def document_id(name: Column) -> Column:
     """`book_` + first 20 word characters of the stem, or an md5 prefix."""
     key = F.regexp_replace(file_stem(name), r"[^\p{L}\p{N}]+", "_")

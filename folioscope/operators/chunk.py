@@ -80,9 +80,16 @@ def chapter_chunks(
     size: int = 700,
     overlap: int = 80,
 ) -> tuple[DataFrame, DataFrame]:
-    """Chunks of parsed chapters, and an error row per requested id not stored."""
+    """Chunks of parsed chapters, and an error row per requested id not stored.
+
+    Where both tables have a path, documents are told apart by it: an id may be that of several files.
+    Chunk ids then carry a digest of the path.
+    """
     spark = documents.sparkSession
-    books = documents.select("textbook_id", F.col("title").alias("book"), F.col("filename").alias("source_file"))
+    key = "path" if "path" in documents.columns and "path" in chapters.columns else "textbook_id"
+    books = documents.select(
+        *{"textbook_id", key}, F.col("title").alias("book"), F.col("filename").alias("source_file")
+    )
     if requested is None:
         errors = spark.createDataFrame([], "textbook_id string, error string")
     else:
@@ -93,17 +100,18 @@ def chapter_chunks(
         )
         books = books.join(wanted, "textbook_id", "left_semi")
     body = chapters.filter(F.length(tx.strip(F.col("content"))) > 0).select(
-        "textbook_id",
+        key,
         "chapter_id",
         F.col("title").alias("chapter"),
         "page_start",
         "page_end",
         F.col("content").alias("text"),
     )
-    cut = split_fixed(body.join(books, "textbook_id"), "text", size, overlap)
+    cut = split_fixed(body.join(books, key), "text", size, overlap)
+    own = ["textbook_id"] if key == "textbook_id" else ["textbook_id", F.substring(F.md5("path"), 1, 16)]
     chunks = cut.withColumns(
         {
-            "chunk_id": F.concat_ws("_", "textbook_id", "chapter_id", F.concat(F.lit("c"), F.col("chunk_no"))),
+            "chunk_id": F.concat_ws("_", *own, "chapter_id", F.concat(F.lit("c"), F.col("chunk_no"))),
             "char_count": F.length("text"),
         }
     )

@@ -483,7 +483,7 @@ def expand_nodes(
 ) -> tuple[DataFrame, DataFrame]:
     """(added nodes, added edges) for a frontier of nodes.
 
-    `found` are concepts whose graph_id is `graph_id::node_id`; names that exist already are
+    `found` are concepts whose graph_id is `graph_id::node_id`, where only the graph id may hold `::`; names that exist already are
     not tested.  Ids go on from the present counts in frontier order.
     """
     ends = frontier.select(
@@ -492,7 +492,7 @@ def expand_nodes(
     keyed = found.filter(F.col("ord") <= limit).withColumns(
         {
             "parent_id": F.substring_index("graph_id", "::", -1),
-            "graph_id": F.substring_index("graph_id", "::", 1),
+            "graph_id": F.expr("left(graph_id, length(graph_id) - length(substring_index(graph_id, '::', -1)) - 2)"),
         }
     )
     n_nodes = nodes.groupBy("graph_id").agg(F.count("*").alias("_nodes"))

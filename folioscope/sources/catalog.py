@@ -21,24 +21,26 @@ def summary(documents: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def catalogue(directories: list[DataFrame], stored: DataFrame) -> DataFrame:
-    """Files of several directories, the first directory wins per id.
+    """Files of several directories, the first directory wins per name.
 
     directories: (path, filename) each.  stored(textbook_id, title, total_pages, total_chars,
-    chapter_count, parse_status, error).  The winner is an aggregate, combined map-side.
+    chapter_count, parse_status, error), joined by path if it has one, by id otherwise.  The id is a cut
+    of the name; files are told apart by the whole of it.  The winner is an aggregate, combined map-side.
     """
+    key = "path" if "path" in stored.columns else "textbook_id"
+    stored = stored.drop(*{"textbook_id", "path", "filename", "format", "priority"} - {key})
     listed = None
     for priority, files in enumerate(directories):
         rows = files.select(
-            tx.document_id(F.col("filename")).alias("textbook_id"), F.lit(priority).alias("priority"), "path", "filename"
+            tx.document_key(F.col("filename")).alias("_key"), F.lit(priority).alias("priority"), "path", "filename"
         )
         listed = rows if listed is None else listed.unionByName(rows)
-    first = listed.groupBy("textbook_id").agg(
-        F.min(F.struct("priority", "path", "filename")).alias("_f")
-    )
-    rows = first.select("textbook_id", "_f.priority", "_f.path", "_f.filename").join(stored, "textbook_id", "left")
+    first = listed.groupBy("_key").agg(F.min(F.struct("priority", "path", "filename")).alias("_f")).select("_f.*")
+    rows = first.withColumn("textbook_id", tx.document_id(F.col("filename"))).join(stored, key, "left")
     return rows.select(
         "textbook_id",
         "priority",
+        "path",
         "filename",
         F.coalesce("title", tx.file_stem(F.col("filename"))).alias("title"),
         F.regexp_extract("filename", r"(?<=.)\.([^.]+)$", 1).alias("format"),

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
 from folioscope.operators import index as ix
+from folioscope.session import path_exists, stage
 
 QUESTION_SCHEMA = (
     "id string, question string, expected_keywords array<string>, expected_topic string, "
     "expected_book_hint string, type string"
 )
 PARSED_SCHEMA = (
-    "textbook_id string, title string, filename string, "
-    "chapters array<struct<chapter_id:string,title:string,page_start:bigint,page_end:bigint,content:string>>, "
-    "pages array<struct<page:bigint,chapter:string,text:string>>"
+    "textbook_id string, title string, textbook string, filename string, "
+    "chapters array<struct<chapter_id:string,title:string,page_start:bigint,page:bigint,page_end:bigint,content:string,text:string>>, "
+    "pages array<struct<page:bigint,page_number:bigint,chapter:string,chapter_id:string,text:string,content:string>>, "
+    "_corrupt_record string"
 )
 SUMMARY_COLUMNS = [
     "strategy", "hit_at_5", "keyword_recall", "context_chars", "evidence_count", "source_diversity", "citation_completeness",
@@ -23,32 +25,50 @@ SUMMARY_COLUMNS = [
 
 
 class DocumentStore:
-    """Tables of parsed documents, partitioned by textbook so that a load is pruned."""
+    """Tables of parsed documents in hash buckets of their key, sorted by it.
+
+    `key` tells documents apart: the path where they come from files, since two names may share an id.  An
+    upsert reads and rewrites the buckets of the given keys; a load of one key reads one bucket.
+    """
 
     TABLES = ("documents", "chapters", "pages")
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, key: str = "textbook_id", buckets: int = 32):
+        self.spark, self.root, self.key, self.buckets = spark, root, key, buckets
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
     def save(self, table: str, rows: DataFrame) -> None:
-        """Upsert: only the partitions of the given textbooks are replaced."""
+        """Upsert: all rows of the given keys are replaced, others stay."""
+        rows = rows.filter(F.length(self.key) > 0).withColumn("bucket", self._bucket(F.col(self.key)))
+        if path_exists(self.spark, self._path(table)):
+            rows = stage(rows, "given")  # may come from this very table
+            touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            stored = self.spark.read.parquet(self._path(table)).filter(F.col("bucket").isin(touched))
+            kept = stored.join(rows.select(self.key).distinct(), self.key, "left_anti")
+            # staged, since a folder cannot be read while it is overwritten
+            rows = stage(rows.unionByName(kept, allowMissingColumns=True), "upsert")
         (
-            rows.filter(F.length("textbook_id") > 0)
+            rows.repartition("bucket", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.lit(4)))
+            .sortWithinPartitions("bucket", self.key)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("textbook_id")
+            .partitionBy("bucket")
             .parquet(self._path(table))
         )
 
-    def load(self, table: str, textbook_id: str | None = None) -> DataFrame:
+    def load(self, table: str, key: str | None = None) -> DataFrame:
         rows = self.spark.read.parquet(self._path(table))
-        return rows if textbook_id is None else rows.filter(F.col("textbook_id") == textbook_id)
+        if key is not None:
+            rows = rows.filter((F.col("bucket") == self._bucket(F.lit(key))) & (F.col(self.key) == key))
+        return rows.drop("bucket")
 
-    def exists(self, textbook_id: str) -> bool:
-        return not self.load("documents", textbook_id).isEmpty()
+    def exists(self, key: str) -> bool:
+        return not self.load("documents", key).isEmpty()
 
 
 def save_index(root: str, chunks: DataFrame, vocab: DataFrame, vectors: DataFrame, meta: DataFrame) -> None:
@@ -87,46 +107,96 @@ def index_status(chunks: DataFrame, vocab: DataFrame, meta: DataFrame) -> DataFr
     )
 
 
+def _given(*values: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.when(F.length(v) > 0, v) for v in values])
+
+
+def _number(*values: Column) -> Column:
+    """The first value that is neither null nor zero."""
+    return F.coalesce(*[F.when(v != 0, v) for v in values]).cast("long")
+
+
 def eval_corpus(documents: DataFrame, chapters: DataFrame, pages: DataFrame, demo: DataFrame | None = None) -> DataFrame:
     """Fragments for evaluation: chapters, or pages of documents without any.
 
-    Texts under 20 characters are dropped.  `demo` is taken when nothing else is there.
+    Texts under 20 characters are dropped.  `demo` is taken when nothing else is there.  Tables that
+    have a path are joined by it, others by id; a null id counts as an empty one.
     """
+    tables = [documents, chapters, pages]
+    key = "path" if all("path" in t.columns for t in tables) else "textbook_id"
+    tables = [t.withColumn("textbook_id", F.coalesce("textbook_id", F.lit(""))) for t in tables]
+    documents, chapters, pages = tables
+    names = {"textbook_id", key}
     book = documents.select(
-        "textbook_id",
-        F.coalesce(F.when(F.length("title") > 0, F.col("title")), "textbook_id").alias("book"),
-        F.coalesce("filename", F.concat("textbook_id", F.lit(".json"))).alias("filename"),
+        *names,
+        _given(F.col("title"), F.col("textbook_id")).alias("book"),
+        F.coalesce("filename", F.concat(F.col("textbook_id"), F.lit(".json"))).alias("filename"),
     )
     by_chapter = chapters.select(
-        "textbook_id",
-        F.coalesce(F.when(F.length("title") > 0, F.col("title")), "chapter_id").alias("chapter"),
+        key,
+        _given(F.col("title"), F.col("chapter_id")).alias("chapter"),
         "chapter_id",
+        F.col("chapter_id").alias("_part"),
         F.col("page_start").cast("long").alias("page_start"),
         F.coalesce("page_end", "page_start").cast("long").alias("page_end"),
         tx.flatten_space(F.col("content")).alias("text"),
     )
-    bare = pages.join(chapters.select("textbook_id").distinct(), "textbook_id", "left_anti")
+    bare = pages.join(chapters.select(key).distinct(), key, "left_anti")
+    numbered = F.concat(F.lit("page_"), "page")
     by_page = bare.select(
-        "textbook_id",
+        key,
         tx.or_default(F.col("chapter"), "page").alias("chapter"),
-        F.concat(F.lit("page_"), "page").alias("chapter_id"),
+        (_given(F.col("chapter_id"), numbered) if "chapter_id" in pages.columns else numbered).alias("chapter_id"),
+        numbered.alias("_part"),
         F.col("page").cast("long").alias("page_start"),
         F.col("page").cast("long").alias("page_end"),
         tx.flatten_space(F.col("text")).alias("text"),
     )
-    rows = by_chapter.unionByName(by_page).filter(F.length("text") >= 20).join(book, "textbook_id")
-    rows = rows.withColumn("source_id", F.concat_ws(":", "textbook_id", "chapter_id"))
+    rows = by_chapter.unionByName(by_page).filter(F.length("text") >= 20).join(book, key)
+    rows = rows.withColumn("source_id", F.concat_ws(":", "textbook_id", "_part")).drop("_part")
+    rows = rows.withColumnRenamed("path", "source_path")
     if demo is not None and rows.isEmpty():
         return demo
     return rows
 
 
 def read_parsed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chapters, pages) of parsed-document JSON files."""
-    data = spark.read.schema(PARSED_SCHEMA).json(path, multiLine=True)
-    documents = data.select("textbook_id", "title", "filename")
-    chapters = data.select("textbook_id", F.inline("chapters"))
-    pages = data.select("textbook_id", F.inline("pages"))
+    """(documents, chapters, pages) of parsed-document JSON files, each with the path of its file.
+
+    What a file leaves out is made up for: ids and titles from its name, chapter ids and page numbers from
+    their position, `text` for `content` and `page_number` for `page`.  Files that are no JSON are skipped.
+    """
+    data = spark.read.schema(PARSED_SCHEMA).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
+    name = F.element_at(F.split(F.url_decode("path"), "/"), -1)
+    stem = tx.file_stem(name)
+    data = data.filter(F.col("_corrupt_record").isNull()).select(
+        "path",
+        _given(F.col("textbook_id"), stem).alias("textbook_id"),
+        _given(F.col("title"), F.col("textbook"), stem).alias("title"),
+        _given(F.col("filename"), name).alias("filename"),
+        "chapters",
+        "pages",
+    )
+    documents = data.select("path", "textbook_id", "title", "filename")
+    chapter, page, at = F.col("_c"), F.col("_p"), F.col("_at") + 1
+    chapters = data.select("path", "textbook_id", F.posexplode("chapters").alias("_at", "_c")).select(
+        "path",
+        "textbook_id",
+        _given(chapter["chapter_id"], F.format_string("ch_%03d", at)).alias("chapter_id"),
+        chapter["title"].alias("title"),
+        _number(chapter["page_start"], chapter["page"]).alias("page_start"),
+        _number(chapter["page_end"], chapter["page_start"], chapter["page"]).alias("page_end"),
+        _given(chapter["content"], chapter["text"]).alias("content"),
+    )
+    pages = data.select("path", "textbook_id", F.posexplode("pages").alias("_at", "_p")).select(
+        "path",
+        "textbook_id",
+        _number(page["page"], page["page_number"], at).alias("page"),
+        page["chapter"].alias("chapter"),
+        page["chapter_id"].alias("chapter_id"),
+        _given(page["content"], page["text"]).alias("text"),
+    )
     return documents, chapters, pages
 
 

@@ -176,6 +176,12 @@ def test_chapter_expansion(spark):
     added, links = gr.expand_nodes(frontier, nodes, edges, found)
     assert sorted(r.node_id for r in added.collect()) == ["node_032", "node_033", "node_034"]
     assert {(r.source, r.relation) for r in links.collect()} == {("node_002", "contains")}
+    # a graph's id may hold the separator
+    def renamed(df):
+        return df.withColumn("graph_id", F.regexp_replace("graph_id", "^b", "topic::7"))
+
+    again, more = gr.expand_nodes(renamed(frontier), renamed(nodes), renamed(edges), renamed(found))
+    assert sorted((r.graph_id, r.node_id) for r in again.collect()) == [("topic::7", f"node_03{i}") for i in (2, 3, 4)] and more.count() == 3
 
 
 def test_compression(spark):

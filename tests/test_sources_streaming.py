@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from folioscope.operators import chunk as ck
 from folioscope.operators import feedback as fb
 from folioscope.sources import catalog, files, store
 from folioscope.streaming import feedback as sf_stream
@@ -137,3 +138,51 @@ def test_keyed_stream_takes_late_and_repeated_actions_and_restarts(spark, tmp_pa
     log = spark.readStream.schema(schema).parquet(source)
     keyed.follow_keyed(log, table, checkpoint).awaitTermination()  # nothing new
     assert spark.read.parquet(table).count() == before
+
+
+def test_files_whose_ids_are_equal_stay_apart(spark, tmp_path):
+    """Ids hold 20 characters of a name; the whole path tells files apart."""
+    for name, body in (("introduction_to_pathology_vol1.md", "first"), ("introduction_to_pathology_vol2.md", "second")):
+        (tmp_path / name).write_text(f"# One\n{body} text that is long enough\n# Two\n{body} more\n")
+    found = files.list_files(spark, str(tmp_path), "*.md")
+    documents, chapters = files.parse_files(found)
+    assert documents.select("textbook_id").distinct().count() == 1
+    listed = catalog.catalogue([found.select("path", "filename")], documents.withColumns({"total_pages": F.lit(1), "chapter_count": F.lit(2)}))
+    assert {r.title for r in listed.collect()} == {r.title for r in documents.collect()} and listed.count() == 2
+    chapters = chapters.withColumns({"page_start": F.lit(1), "page_end": F.lit(1)})
+    cut, errors = ck.chapter_chunks(documents, chapters, documents.select("textbook_id"))
+    rows = cut.collect()
+    assert len(rows) == len({r.chunk_id for r in rows}) == 4 and errors.count() == 0
+    assert all(("first" in r.text) == ("vol1" in r.source_file) for r in rows)
+    parsed = store.DocumentStore(spark, str(tmp_path / "store"), key="path", buckets=4)
+    parsed.save("chapters", chapters)
+    one = chapters.filter(F.col("path").contains("vol1"))
+    parsed.save("chapters", one.withColumn("title", F.lit("new")).limit(1))
+    assert sorted(r.title == "new" for r in parsed.load("chapters").collect()) == [False, False, True]
+    path = one.first().path
+    assert "PartitionFilters: [isnotnull(bucket" in parsed.load("chapters", path)._jdf.queryExecution().toString()
+    assert parsed.load("chapters", path).count() == 1
+
+
+def test_parsed_files_may_leave_things_out(spark, tmp_path):
+    long = "word " * 8
+    given = {
+        "a b.json": {"chapters": [{"text": long, "page": 7}, {"title": "T", "content": long, "page_start": 2, "page_end": 3}, {"text": "short"}]},
+        "b.json": {"textbook_id": "", "textbook": "Book", "pages": [{"content": long}, {"page_number": 9, "text": long, "chapter_id": "own"}]},
+        "c.json": {"textbook_id": "same", "title": "C", "chapters": [{"chapter_id": "x", "content": long + "c"}]},
+        "d.json": {"textbook_id": "same", "title": "D", "chapters": [{"chapter_id": "x", "content": long + "d"}]},
+    }
+    for name, content in given.items():
+        (tmp_path / name).write_text(json.dumps(content))
+    (tmp_path / "e.json").write_text("{ no json")
+    rows = store.eval_corpus(*store.read_parsed(spark, str(tmp_path))).collect()
+    got = {(r.source_id, r.book, r.filename, r.chapter, r.chapter_id, r.page_start, r.page_end) for r in rows}
+    assert len(rows) == 6 and got == {
+        ("a b:ch_001", "a b", "a b.json", "ch_001", "ch_001", 7, 7),
+        ("a b:ch_002", "a b", "a b.json", "T", "ch_002", 2, 3),
+        ("b:page_1", "Book", "b.json", "page", "page_1", 1, 1),
+        ("b:page_9", "Book", "b.json", "page", "own", 9, 9),
+        ("same:x", "C", "c.json", "x", "x", None, None),
+        ("same:x", "D", "d.json", "x", "x", None, None),
+    }
+    assert {r.text[-1] for r in rows if r.textbook_id == "same"} == {"c", "d"} and all(r.source_path for r in rows)
