@@ -433,5 +433,5 @@ def stream_ingest(spark, sf):
     root = scratch(spark, "ingest")
     schema = table(spark, sf, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select("doc_id", "text")
-    st.ingest(docs, f"{root}/chunks", f"{root}/checkpoint", cp.SHORT_LINE).awaitTermination()
+    st.ingest(docs, f"{root}/chunks", f"{root}/checkpoint", cp.SHORT_LINE, buckets=16).awaitTermination()
     return spark.read.parquet(f"{root}/chunks").select("chunk_id", "chapter", F.md5("text").alias("text"))
