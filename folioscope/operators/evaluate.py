@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,9 +110,10 @@ def question_metrics(contexts: DataFrame, questions: DataFrame, strategies: Sequ
     )
 
 
-def strategy_summary(metrics: DataFrame) -> DataFrame:
-    """Mean of every metric per strategy."""
-    return metrics.groupBy("strategy").agg(*[F.avg(m).alias(m) for m in METRICS])
+def strategy_summary(metrics: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Mean of every metric per strategy, and of the time of `evaluate_timed` where it is given."""
+    means = metrics.groupBy("strategy").agg(*[F.avg(m).alias(m) for m in METRICS])
+    return means if times is None else means.join(times.select("strategy", "avg_latency_ms"), "strategy", "left")
 
 
 def evaluate(
@@ -122,25 +124,77 @@ def evaluate(
     Every distinct window size is chunked and searched once, whichever strategies use it;
     parents are cut only from documents that hold a hit.
     """
+    return reduce(DataFrame.unionByName, [rows for _, rows, _, _ in _strategies(docs, questions, k, strategies)])
+
+
+def evaluate_timed(
+    docs: DataFrame, questions: DataFrame, k: int = 5, strategies: Sequence[tuple] = tuple(lx.STRATEGIES)
+) -> tuple[DataFrame, DataFrame]:
+    """(contexts as `evaluate` gives them, one row per strategy of what its jobs were).
+
+    Times: strategy, questions, chunks, contexts, job_ms, avg_latency_ms.  A job answers all questions at once,
+    so the latency of a question is its share.  A search that two strategies use counts for both; building
+    chunks counts for none.  Rows are counted by the jobs that write them.
+    """
+    spark, parts, rows = docs.sparkSession, [], []
+    asked = questions.count()
+    for name, contexts, seconds, chunks in _strategies(docs, questions, k, strategies):
+        seen, start = Observation(), time.perf_counter()
+        parts.append(stage(contexts.observe(seen, F.count(F.lit(1)).alias("contexts")), "contexts"))
+        job = 1000 * (seconds + time.perf_counter() - start)
+        rows.append((name, asked, chunks, seen.get["contexts"], job, job / asked if asked else 0.0))
+    schema = "strategy string, questions long, chunks long, contexts long, job_ms double, avg_latency_ms double"
+    return reduce(DataFrame.unionByName, parts), spark.createDataFrame(rows, schema)
+
+
+def _strategies(
+    docs: DataFrame, questions: DataFrame, k: int, strategies: Sequence[tuple]
+) -> Iterator[tuple[str, DataFrame, float, int]]:
+    """(strategy, contexts, seconds of its search, chunks searched)."""
     sizes = list(dict.fromkeys((size, overlap) for _, size, overlap, _, _ in strategies))
     cut = ck.eval_chunks(docs, sizes).repartition("chunk_id")
-    chunks = stage(cut, "chunks")
+    # a folder per size, so that a search reads the windows of its own size only
+    chunks = stage(cut, "chunks", by="size")
     asked = questions.select("query_id", F.col("question").alias("query"))
-    hits: dict[tuple[int, int], DataFrame] = {}
+    hits: dict[tuple[int, int], tuple[DataFrame, float, int]] = {}
     for size, overlap in sizes:
         part = chunks.filter((F.col("size") == size) & (F.col("overlap") == overlap))
-        found = se.SparseIndex(part, lower=False, max_features=None).search(asked, k, high=None)
-        hits[size, overlap] = stage(se.with_chunks(found, part), "found")
-    contexts = []
+        index, start = se.SparseIndex(part, lower=False, max_features=None), time.perf_counter()
+        found = stage(se.with_chunks(index.search(asked, k, high=None), part), "found")
+        hits[size, overlap] = found, time.perf_counter() - start, index.n_chunks
     for name, size, overlap, parent_size, parent_overlap in strategies:
-        rows = hits[size, overlap]
+        rows, seconds, searched = hits[size, overlap]
         if parent_size is not None:
             sources = rows.select("source_id").distinct()
             kept = docs.join(broadcast_if_small(sources), "source_id", "left_semi")
             parents = stage(ck.eval_chunks(kept, [(parent_size, parent_overlap)]), "parents")
             rows = first_parents(map_to_parent(rows, parents))
-        contexts.append(rows.select(F.lit(name).alias("strategy"), "query_id", "rank", "score", *CONTEXT))
-    return reduce(DataFrame.unionByName, contexts)
+        yield name, rows.select(F.lit(name).alias("strategy"), "query_id", "rank", "score", *CONTEXT), seconds, searched
+
+
+def nested_results(metrics: DataFrame, contexts: DataFrame, questions: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """One row per strategy and question: the question, its metrics and its contexts as a list.
+
+    Lists hold k contexts at most.  All columns of `questions` are carried along.
+    """
+    payload = F.struct(
+        "rank",
+        "chunk_id",
+        *tx.context_fields(F.col("score"), F.col("text")),
+        *[F.col(c) for c in CONTEXT if c not in ("chunk_id",)],
+    )
+    lists = contexts.groupBy("strategy", "query_id").agg(F.array_sort(F.collect_list(payload)).alias("contexts"))
+    asked = questions.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in _names(metrics)])))
+    rows = asked.join(metrics, ["strategy", "query_id"]).join(lists, ["strategy", "query_id"], "left")
+    none = F.array().cast(lists.schema["contexts"].dataType)
+    rows = rows.withColumn("contexts", F.coalesce("contexts", none))
+    if times is None:
+        return rows
+    return rows.join(times.select("strategy", F.round("avg_latency_ms", 3).alias("latency_ms")), "strategy", "left")
+
+
+def _names(metrics: DataFrame) -> list[str]:
+    return [r.strategy for r in metrics.select("strategy").distinct().orderBy("strategy").collect()]
 
 
 def best_strategy(summary: DataFrame, order: Sequence[str] = tuple(s[0] for s in lx.STRATEGIES)) -> DataFrame:

@@ -308,12 +308,36 @@ def store_roundtrip(spark, sf):
 def result_sinks(spark, sf):
     """Evaluation results as JSON, CSV and Markdown; the CSV is read back."""
     root = scratch(spark, "sinks")
-    contexts = stage(ev.evaluate(cp.eval_docs(spark, sf), cp.questions(spark, sf)), "contexts")
+    docs, questions = cp.eval_docs(spark, sf), cp.questions(spark, sf)
+    contexts, times = ev.evaluate_timed(docs, questions)
     names = ["baseline_medium", "small_only", "small_to_big"]
-    rows = stage(ev.question_metrics(contexts, cp.questions(spark, sf), names), "metrics")
-    store.write_results(root, rows, ev.strategy_summary(rows))
-    schema = "strategy string, " + ", ".join(f"{c} double" for c in store.SUMMARY_COLUMNS[1:])
-    return spark.read.schema(schema).option("header", True).csv(f"{root}/results")
+    rows = stage(ev.question_metrics(contexts, questions, names), "metrics")
+    nested = ev.nested_results(rows, contexts, questions, times)
+    store.write_results(root, nested, ev.strategy_summary(rows, times), store.run_metadata(docs, questions))
+    columns = ["hit_at_5", "keyword_recall", "context_chars", "avg_latency_ms", *store.SUMMARY_COLUMNS[4:]]
+    schema = "strategy string, " + ", ".join(f"{c} double" for c in columns)
+    return spark.read.schema(schema).option("header", True).csv(f"{root}/results").drop("avg_latency_ms")
+
+
+_NESTED = """nested AS (SELECT m.strategy, m.query_id, m.hit_at_5::DOUBLE AS hit_at_5, q.question, coalesce(c.ids, '') AS chunk_ids
+  FROM metrics m JOIN questions q USING (query_id) LEFT JOIN (
+    SELECT strategy, query_id, string_agg(rank || ':' || chunk_id || ':' || md5(substr(text, 1, 280)), '|' ORDER BY rank) AS ids
+    FROM contexts GROUP BY ALL) c USING (strategy, query_id))"""
+
+
+@query("nested_results", f"WITH {core.CONTEXTS}, {core.SUMMARY}, {_NESTED} SELECT * FROM nested")
+def nested_results(spark, sf):
+    """Every question's metrics and contexts written as nested JSON and read back."""
+    root = scratch(spark, "nested")
+    docs, questions = cp.eval_docs(spark, sf), cp.questions(spark, sf)
+    contexts, times = ev.evaluate_timed(docs, questions)
+    rows = ev.question_metrics(contexts, questions, ["baseline_medium", "small_only", "small_to_big"])
+    nested = ev.nested_results(rows, contexts, questions, times)
+    nested.write.json(f"{root}/raw_results")
+    back = spark.read.schema(nested.schema).json(f"{root}/raw_results").withColumn(
+        "chunk_ids", F.array_join(F.transform("contexts", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["chunk_id"], F.md5(c["snippet"]))), "|")
+    )
+    return back.select("strategy", "query_id", "hit_at_5", "question", "chunk_ids")
 
 
 @query(

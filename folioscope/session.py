@@ -66,9 +66,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut lineage: write `df` as Parquet in the shared folder and read it back.
 
+    With `by`, a column of few values, a read of one value reads its own folder only.
+
     A lost executor then costs a re-read, not a recomputation.  Without a shared
     folder the rows are persisted and stay recomputable from their lineage.
     """
@@ -77,7 +79,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     if root is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{root}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

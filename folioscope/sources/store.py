@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import lexicon as lx
 from folioscope.functions import text as tx
 from folioscope.operators import index as ix
 from folioscope.session import path_exists, stage
@@ -205,19 +208,52 @@ def read_questions(spark: SparkSession, path: str, lines: bool = False) -> DataF
     return spark.read.schema(QUESTION_SCHEMA).json(path, multiLine=not lines)
 
 
-def write_results(root: str, results: DataFrame, summary: DataFrame) -> None:
-    """Nested JSON, CSV with fixed columns and four decimals, Markdown table."""
+def _summary_columns(summary: DataFrame) -> list[str]:
+    """Columns in their order in the files; the latency stands after the context length where there is one."""
+    timed = "avg_latency_ms" in summary.columns
+    at = SUMMARY_COLUMNS.index("context_chars") + 1
+    return [*SUMMARY_COLUMNS[:at], *(["avg_latency_ms"] if timed else []), *SUMMARY_COLUMNS[at:]]
+
+
+def run_metadata(documents: DataFrame, questions: DataFrame, strategies: Sequence[tuple] = tuple(lx.STRATEGIES)) -> DataFrame:
+    """One row about a run: counts, strategies, vectorizer and time."""
+    names = ("name", "size", "overlap", "parent_size", "parent_overlap")
+    plans = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s)]) for s in strategies])
+    counted = documents.agg(F.count("*").alias("doc_count")).join(F.broadcast(questions.agg(F.count("*").alias("question_count"))), F.lit(True))
+    return counted.select(
+        "question_count",
+        "doc_count",
+        plans.alias("strategies"),
+        F.struct(F.lit("char_wb").alias("analyzer"), F.array(F.lit(2), F.lit(4)).alias("ngram_range"), F.lit(False).alias("lowercase")).alias("vectorizer"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("generated_at"),
+    )
+
+
+def source_paths(documents: DataFrame) -> DataFrame:
+    """Distinct source paths of a run; a table, since it grows with the corpus."""
+    return documents.filter(F.length("source_path") > 0).select("source_path").distinct()
+
+
+def write_results(root: str, results: DataFrame, summary: DataFrame, metadata: DataFrame | None = None) -> None:
+    """Nested JSON, CSV with fixed columns and four decimals, Markdown table.
+
+    `metadata` is a row of `run_metadata`, written beside the results.
+    """
     results.write.mode("overwrite").json(f"{root}/raw_results")
     summary.write.mode("overwrite").json(f"{root}/summary")
-    rounded = summary.select("strategy", *[F.round(c, 4).alias(c) for c in SUMMARY_COLUMNS[1:]])
+    if metadata is not None:
+        metadata.write.mode("overwrite").json(f"{root}/metadata")
+    rounded = summary.select("strategy", *[F.round(c, 4).alias(c) for c in _summary_columns(summary)[1:]])
     rounded.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/results")
     summary_table(summary).coalesce(1).write.mode("overwrite").text(f"{root}/results_table")
 
 
 def summary_table(summary: DataFrame) -> DataFrame:
     """Markdown table of the strategy summary as one text value."""
-    line = F.format_string("| %s | %.3f | %.3f | %.1f | %.2f | %.2f | %.3f |", *SUMMARY_COLUMNS)
-    head = "| " + " | ".join(SUMMARY_COLUMNS) + " |\n|---" + "|---:" * (len(SUMMARY_COLUMNS) - 1) + "|\n"
+    columns = _summary_columns(summary)
+    digits = {"context_chars": "%.1f", "avg_latency_ms": "%.2f", "evidence_count": "%.2f", "source_diversity": "%.2f"}
+    line = F.format_string("| %s | " + " | ".join(digits.get(c, "%.3f") for c in columns[1:]) + " |", *columns)
+    head = "| " + " | ".join(columns) + " |\n|---" + "|---:" * (len(columns) - 1) + "|\n"
     return summary.agg(
         F.concat(
             F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("strategy", line.alias("l")))), lambda r: r["l"]), "\n")

@@ -208,3 +208,31 @@ def test_seen_ids(spark, tmp_path):
     before = spark.read.parquet(str(tmp_path / "seen/ids")).count()
     seen.add(frame(250, 400), 1)
     assert spark.read.parquet(str(tmp_path / "seen/ids")).count() == before
+
+
+def test_results_are_whole(spark, tmp_path, sf):
+    from folioscope.operators import evaluate as ev
+    from folioscope.plans import corpus as cp
+
+    docs, questions = cp.eval_docs(spark, sf), cp.questions(spark, sf).limit(5)
+    contexts, times = ev.evaluate_timed(docs, questions)
+    names = ["baseline_medium", "small_only", "small_to_big"]
+    rows = ev.question_metrics(contexts, questions, names)
+    root = str(tmp_path / "results")
+    summary = ev.strategy_summary(rows, times)
+    store.write_results(root, ev.nested_results(rows, contexts, questions, times), summary, store.run_metadata(docs, questions))
+    counts = {r.strategy: r["count"] for r in contexts.groupBy("strategy").count().collect()}
+    for r in times.collect():
+        assert r.contexts == counts[r.strategy] and r.questions == 5 and r.avg_latency_ms == r.job_ms / 5 > 0 and r.chunks > 0
+    back = spark.read.json(f"{root}/raw_results").collect()
+    assert len(back) == 15 and all([c["rank"] for c in r.contexts] == sorted(c["rank"] for c in r.contexts) for r in back)
+    assert all(len(c.snippet) <= 280 and c.text.startswith(c.snippet) for r in back for c in r.contexts) and back[0].latency_ms > 0
+    about = spark.read.json(f"{root}/metadata").first()
+    assert about.question_count == 5 and [s.name for s in about.strategies] == names and about.vectorizer.analyzer == "char_wb"
+    header = spark.read.option("header", True).csv(f"{root}/results").columns
+    assert header[:5] == ["strategy", "hit_at_5", "keyword_recall", "context_chars", "avg_latency_ms"] and len(header) == 8
+    lines = [r.value for r in spark.read.text(f"{root}/results_table").collect()]
+    assert len(lines) == 5 and all(line.count("|") == 9 for line in lines)
+    assert store.summary_table(ev.strategy_summary(rows)).first().value.split("\n")[0].count("|") == 8
+    paths = spark.createDataFrame([("a",), ("a",), ("",), (None,)], "source_path string")
+    assert [r.source_path for r in store.source_paths(paths).collect()] == ["a"]
