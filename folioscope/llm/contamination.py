@@ -31,18 +31,19 @@ BLOCK_CHARS = 4_000_000  # of the benchmark in one pass
 CHUNK = 400_000  # characters of documents at a time
 TABLE_BITS = 22
 
-_LOWER = np.arange(0x250, dtype=np.uint32)
-for _c in range(0x250):
+FOLDED = 0x1F000  # no code point from here on has another case or is a blank
+_LOWER = np.arange(FOLDED, dtype=np.uint32)
+_BLANK = np.zeros(FOLDED, bool)
+for _c in range(FOLDED):
     if len(chr(_c).lower()) == 1:
         _LOWER[_c] = ord(chr(_c).lower())
-_BLANK = np.zeros(0x250, bool)
-_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0]] = True
+    _BLANK[_c] = chr(_c).isspace()
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points in lower case with runs of blanks as one space, and their places in `text`."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    low = codes < 0x250
+    low = codes < FOLDED
     small = np.where(low, codes, 0)
     codes = np.where(low, _LOWER[small], codes)
     blank = _BLANK[small] & low
@@ -154,7 +155,8 @@ class Items:
         if not self.keys:
             return
         parts, starts, places, size = [], [], [], 0
-        gap = np.zeros(self.gap + self.q, np.uint32)  # too many edits for a match across texts
+        # longer than the widest band, so that no band holds places of two texts
+        gap = np.zeros(4 * self.gap + self.q, np.uint32)
         for text in texts:
             codes, place = normal(text)
             starts.append(size)

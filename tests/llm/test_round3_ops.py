@@ -248,3 +248,29 @@ def test_products_beyond_64_bits(spark):
     row = spark.createDataFrame([(10**13, 10**13, 10**6, 10**6)], "a long, n long, l long, r long")
     got = row.select(phrases.score(F.col("a"), F.col("n"), F.col("l"), F.col("r")).alias("s")).first().s
     assert got == 1000 * 10**26 // 10**12
+
+
+# decontamination: items of mixed length, other scripts
+
+
+def test_short_texts_between_each_other(spark):
+    from folioscope.llm import contamination
+
+    random.seed(4)
+    short = "a short benchmark item of some words"
+    long = " ".join(f"w{random.randint(0, 9999)}" for _ in range(1000))
+    edited = short.replace("short", "shirt")
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, short), (2, edited), (3, short), (4, "nothing of the kind")], "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in contamination.drop_contaminated(docs, bench).collect()) == [4]
+
+
+def test_case_and_blanks_of_all_scripts(spark):
+    from folioscope.llm import contamination
+
+    bench = spark.createDataFrame([(1, "Съешь же ещё этих мягких булок"), (2, "ξεσκεπάζω την ψυχοφθόρα σας")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "x СЪЕШЬ ЖЕ ЕЩЁ ЭТИХ МЯГКИХ БУЛОК y"), (2, "ξεσκεπάζω την　 ψυχοφθόρα ΣΑΣ"), (3, "съел")], "doc_id long, text string"
+    )
+    found = contamination.drop_contaminated(docs, bench)
+    assert [r.doc_id for r in found.collect()] == [3]
