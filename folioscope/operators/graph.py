@@ -115,8 +115,14 @@ def concepts(
     )
 
 
-def payload_concepts(topics: DataFrame, payloads: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Concepts from extracted node and edge payloads(graph_id, payload) (K4, K5)."""
+def payload_concepts(
+    topics: DataFrame, payloads: DataFrame, evidence: DataFrame, limit: int = 10, most_ids: int = 4, matched_ids: int = 3
+) -> DataFrame:
+    """Concepts from extracted node and edge payloads(graph_id, payload) (K4, K5).
+
+    `limit` concepts of a graph, `most_ids` evidence ids of a concept, `matched_ids` that are looked up for
+    a concept without any.
+    """
     graph = payloads.withColumn("_j", pl.extract_json(F.col("payload"))).join(topics, "graph_id")
     raw = graph.select(
         "graph_id", "topic", F.posexplode(F.try_variant_get("_j", "$.nodes", "array<variant>")).alias("pos", "_n")
@@ -141,7 +147,7 @@ def payload_concepts(topics: DataFrame, payloads: DataFrame, evidence: DataFrame
     # names are looked for in the topic's own evidence: an equi join per graph
     seen = once.select("graph_id", "name").join(evidence.select("graph_id", "rank", "evidence_id", "quote"), "graph_id")
     matched = seen.groupBy("graph_id", "name").agg(
-        F.slice(in_order(F.when(F.contains("quote", "name"), F.col("evidence_id")), F.col("rank")), 1, 3).alias("matched"),
+        F.slice(in_order(F.when(F.contains("quote", "name"), F.col("evidence_id")), F.col("rank")), 1, matched_ids).alias("matched"),
         F.min_by("evidence_id", "rank").alias("first_id"),
     )
     linked = once.join(matched, ["graph_id", "name"], "left").withColumn(
@@ -181,7 +187,7 @@ def payload_concepts(topics: DataFrame, payloads: DataFrame, evidence: DataFrame
     relation = F.coalesce("edge_relation", relation_for_type(F.col("type")))
     label = label_for_relation(relation)
     ordered = rows.withColumn("ord", F.row_number().over(W.partitionBy("graph_id").orderBy("pos")))
-    return ordered.filter(F.col("ord") <= 10).select(
+    return ordered.filter(F.col("ord") <= limit).select(
         "graph_id",
         "topic",
         "ord",
@@ -191,7 +197,7 @@ def payload_concepts(topics: DataFrame, payloads: DataFrame, evidence: DataFrame
         F.when(label != "", label).otherwise(label_for_type(F.col("type"))).alias("label"),
         F.substring("summary", 1, 120).alias("summary"),
         F.coalesce("books", F.array().cast("array<string>")).alias("books"),
-        F.slice("evidence_ids", 1, 4).alias("evidence_ids"),
+        F.slice("evidence_ids", 1, most_ids).alias("evidence_ids"),
         "confidence",
     )
 
@@ -204,11 +210,11 @@ def _edge_id(n: Column) -> Column:
     return F.format_string("edge_%03d", n)
 
 
-def build_nodes(topics: DataFrame, evidence: DataFrame, found: DataFrame) -> DataFrame:
-    """Root node and concept nodes of every topic (K6)."""
+def build_nodes(topics: DataFrame, evidence: DataFrame, found: DataFrame, root_ids: int = 5) -> DataFrame:
+    """Root node, with the first `root_ids` evidence ids, and concept nodes of every topic (K6)."""
     sources = evidence.groupBy("graph_id").agg(
         F.sort_array(F.collect_set(F.when(F.length("book") > 0, F.col("book")))).alias("book_sources"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "evidence_id"))), lambda e: e["evidence_id"]), 1, 5).alias("evidence_ids"),
+        F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "evidence_id"))), lambda e: e["evidence_id"]), 1, root_ids).alias("evidence_ids"),
     )
     none = F.array().cast("array<string>")
     root = topics.join(sources, "graph_id", "left").select(
@@ -242,8 +248,8 @@ def build_nodes(topics: DataFrame, evidence: DataFrame, found: DataFrame) -> Dat
     )
 
 
-def build_edges(found: DataFrame) -> DataFrame:
-    """Star edges from the root to every concept (K6)."""
+def build_edges(found: DataFrame, edge_ids: int = 2) -> DataFrame:
+    """Star edges from the root to every concept, with its first `edge_ids` evidence ids (K6)."""
     return found.select(
         "graph_id",
         "ord",
@@ -253,23 +259,29 @@ def build_edges(found: DataFrame) -> DataFrame:
         "relation",
         "label",
         F.format_string("%s 与 %s 相关。", "name", "topic").alias("summary"),
-        F.slice("evidence_ids", 1, 2).alias("evidence_ids"),
+        F.slice("evidence_ids", 1, edge_ids).alias("evidence_ids"),
         "confidence",
         F.lit("normal").alias("status"),
     )
 
 
 def update_graph(
-    nodes: DataFrame, edges: DataFrame, evidence: DataFrame, followup_evidence: DataFrame, found: DataFrame
+    nodes: DataFrame,
+    edges: DataFrame,
+    evidence: DataFrame,
+    followup_evidence: DataFrame,
+    found: DataFrame,
+    limit: int = 4,
+    edge_ids: int = 2,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(added nodes, added edges, evidence) after a follow-up question (K7).
 
-    The first four concepts are taken before names that exist already are left out; ids go
+    The first `limit` concepts are taken before names that exist already are left out; ids go
     on from the present counts.
     """
     unseen = followup_evidence.join(evidence.select("graph_id", "evidence_id"), ["graph_id", "evidence_id"], "left_anti")
     merged = evidence.unionByName(unseen.dropDuplicates(["graph_id", "evidence_id"]), allowMissingColumns=True)
-    new = found.filter(F.col("ord") <= 4).join(nodes.select("graph_id", "name"), ["graph_id", "name"], "left_anti")
+    new = found.filter(F.col("ord") <= limit).join(nodes.select("graph_id", "name"), ["graph_id", "name"], "left_anti")
     n_nodes = nodes.groupBy("graph_id").agg(F.count("*").alias("_nodes"))
     n_edges = edges.groupBy("graph_id").agg(F.count("*").alias("_edges"))
     rows = (
@@ -305,7 +317,7 @@ def update_graph(
         F.lit(lx.DEFAULT_RELATION).alias("relation"),
         F.lit("补充").alias("label"),
         F.format_string("根据追问补充 %s 节点。", "name").alias("summary"),
-        F.slice("evidence_ids", 1, 2).alias("evidence_ids"),
+        F.slice("evidence_ids", 1, edge_ids).alias("evidence_ids"),
         "confidence",
         F.lit("added").alias("status"),
     )

@@ -269,9 +269,12 @@ def query_vectors(queries: DataFrame, vocab: DataFrame, lower: bool = True) -> D
 
 
 class SparseIndex:
-    """Vocabulary of a chunk table, and searches over it."""
+    """Vocabulary of a chunk table, and searches over it.
 
-    def __init__(self, chunks: DataFrame, lower: bool = True, max_features: int | None = lx.MAX_FEATURES):
+    `max_features` keeps the most frequent terms only; rare terms are the selective ones, so by default all stay.
+    """
+
+    def __init__(self, chunks: DataFrame, lower: bool = True, max_features: int | None = None):
         self.chunks, self.lower = chunks, lower
         self.n_chunks = chunks.count()
         self.vocab = stage(ix.vocabulary(chunks, self.n_chunks, max_features, lower), "vocab")

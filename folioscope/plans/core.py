@@ -507,7 +507,7 @@ def _question_vectors(spark, sf):
 
 
 def _hybrid(spark, sf, chunks, vectors):
-    index = se.SparseIndex(chunks)
+    index = se.SparseIndex(chunks, max_features=lx.MAX_FEATURES)
     dense = (vectors, _question_vectors(spark, sf))
     hits = se.hybrid_search(index, _variant_source(spark, sf), 10, dense, cap=10)
     return hits.select(
@@ -577,7 +577,7 @@ def search_fallback(spark, sf):
     labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("query_id"))
     known = vectors.join(labelled, "query_id", "left_semi").join(asked, "query_id", "left_semi")
     dense = se.dense_top_k(_doc_vectors(spark, sf), known, 5).withColumn("match_type", F.lit("embedding"))
-    sparse = se.SparseIndex(_doc_chunks(spark, sf)).search(asked, 5).withColumn("match_type", F.lit("tfidf_fallback"))
+    sparse = se.SparseIndex(_doc_chunks(spark, sf), max_features=lx.MAX_FEATURES).search(asked, 5).withColumn("match_type", F.lit("tfidf_fallback"))
     both = se.with_fallback(stage(dense, "dense"), sparse)
     return both.select(
         "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "match_type"
@@ -635,7 +635,7 @@ def report_evidence(spark, sf):
 def reliable_queries(spark, sf):
     asked = _questions(spark, sf)
     cut = cp.chunks(spark, sf)
-    kept = se.reliable(se.SparseIndex(cut).search(asked, 5))
+    kept = se.reliable(se.SparseIndex(cut, max_features=lx.MAX_FEATURES).search(asked, 5))
     best = kept.groupBy("query_id").agg(F.max("score").alias("best"))
     return asked.join(best, "query_id", "left").select(
         "query_id",

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import lexicon as lx
 from folioscope.functions import text as tx
 from folioscope.operators import chunk as ck
 from folioscope.operators import search as se
@@ -126,7 +127,7 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
 def sparse_evidence(spark: SparkSession, sf: str, asked: DataFrame, k: int) -> DataFrame:
     """Evidence rows of queries(query_id, query) over the chapter chunks."""
     cut = chunks(spark, sf)
-    return se.to_evidence(se.SparseIndex(cut).search(asked, k), cut)
+    return se.to_evidence(se.SparseIndex(cut, max_features=lx.MAX_FEATURES).search(asked, k), cut)
 
 
 def topic_evidence(spark: SparkSession, sf: str) -> DataFrame:

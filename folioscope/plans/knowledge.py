@@ -808,7 +808,7 @@ def feedback_supplement(spark, sf):
     triggers = stage(fb.supplement_queries(log, nodes, topics, TRIGGERS), "triggers")
     cut = cp.chunks(spark, sf)
     asked = triggers.filter(F.col("query").isNotNull()).select(F.col("seq").alias("query_id"), "query")
-    hits = se.to_evidence(se.SparseIndex(cut).search(asked, 3), cut).withColumnRenamed("query_id", "seq")
+    hits = se.to_evidence(se.SparseIndex(cut, max_features=lx.MAX_FEATURES).search(asked, 3), cut).withColumnRenamed("query_id", "seq")
     hits = stage(hits.withColumn("graph_id", F.lit("talk")), "hits")
     labelled = table(spark, sf, "labels").select(F.concat(F.lit("d"), "doc_id").alias("chapter_id"))
     held = cut.join(labelled, "chapter_id", "left_semi").select(
