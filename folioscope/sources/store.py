@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
-from folioscope.operators import index as ix
 from folioscope.session import path_exists, stage
 
 QUESTION_SCHEMA = (
