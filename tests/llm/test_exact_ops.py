@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioscope.llm import bpe, chat, exact, near, pii, substring
@@ -226,6 +227,39 @@ def test_bpe_odd(spark, odd, nothing, tables):
     assert {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows if r.doc_id in (2, 3)} == {(0, empty, empty)}
 
 
+def test_bpe_one_pass_equals_two(spark, odd):
+    """The bytes may take the text's place; clashing columns are replaced, all others stay."""
+    path, pattern = bpe.vocabulary()
+    clash = odd.withColumns({"ids": F.lit("x"), "decoded": F.lit(1)})
+    once = bpe.encode(clash, path, pattern, decoded="text")
+    assert sorted(once.columns) == sorted(clash.columns)
+    assert [f.dataType.simpleString() for f in once.schema if f.name in ("ids", "text")] == ["array<int>", "binary"]
+    twice = bpe.decode(bpe.encode(odd, path, pattern), path)
+    rows = sorted((str(r.doc_id), list(r.ids), bytes(r.text)) for r in once.collect())
+    assert rows == sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in twice.collect())
+    assert all(r.decoded == 1 for r in once.collect())
+    lists = spark.createDataFrame([([64, 65],), (None,), ([],)], "ids array<int>")
+    assert [len(r.decoded) > 0 for r in bpe.decode(lists, path).collect()] == [True, False, False]
+
+
+def test_bpe_cuts_batches_and_forgets(monkeypatch):
+    """Slices cover a batch whole; a full memory keeps what is asked for again and stays bounded."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
+    values = ["a" * 25, None, "", "bcd", "e" * 9, "f"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(values, pa.string())})
+    slices = list(bpe._slices(batch, "text"))
+    assert len(slices) > 1 and [v for s in slices for v in s.column(0).to_pylist()] == values
+
+    made = []
+    memory = bpe.Remembered(lambda key: made.append(key) or key * 2, 3, lambda key: key != 99)
+    for key in (1, 2, 3, 1, 4, 1, 5, 6, 1, 99, 99):
+        assert memory[key] == key * 2
+        assert len(memory) <= 3 and len(memory.old) <= 3 and 99 not in memory
+    assert made == [1, 2, 3, 4, 5, 6, 99, 99]
+
+
 # personal data
 
 
