@@ -105,33 +105,34 @@ def _batches(texts: Iterator[bytes], hashes: WordHash, size: int) -> Iterator[li
 _SIGNED = "doc_id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"
 
 
+def _rows(values: np.ndarray, full: np.ndarray) -> pa.Array:
+    """One list per row of `values`, null where `full` is false."""
+    ends = np.concatenate(([0], np.cumsum(full))) * values.shape[1]
+    offsets = pa.array(ends, pa.int32(), mask=np.append(~full, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
+
+
+def _signed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Signatures of a group of sets, which _batches keeps small; lists are made from arrays."""
+    counts = np.array([len(s) for s in sets], np.int64)
+    full = counts > 0
+    least = minima([s for s in sets if len(s)]) if full.any() else np.empty((BANDS * ROWS, 0), np.uint32)
+    digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+    columns = [ids, pa.array(counts), pa.array(digests, pa.binary())]
+    columns += [_rows(band_keys(least), full), _rows(low_bits(least), full)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_hash", "bands", "bits"])
+
+
 def signatures(df: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
     """doc_id, n_shingles, hash of the whole set, band keys and packed bits of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            counts, digests, keys, bits = [], [], [], []
+            at = 0
             for sets in _batches(text_bytes(batch.column(1)), hashes, size):
-                counts += [len(s) for s in sets]
-                digests += [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                full = [s for s in sets if len(s)]
-                least = minima(full) if full else None
-                made = zip(band_keys(least), low_bits(least)) if full else iter(())
-                for s in sets:
-                    k, b = next(made) if len(s) else (None, None)
-                    keys.append(k)
-                    bits.append(b)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(counts, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                    pa.array(bits, pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_shingles", "set_hash", "bands", "bits"],
-            )
+                yield _signed(batch.column(0).slice(at, len(sets)), sets)
+                at += len(sets)
 
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, _SIGNED)
 
