@@ -8,7 +8,8 @@
 
 Every stage works on all that the one before kept.  Nulls, empty texts, empty tables and extra columns
 are handled as the operators say: null and empty texts are kept, counting as equal to each other in
-exact dedup; documents without an id are kept.
+exact dedup; documents without an id are kept.  The last stage adds `ids` and `n_tokens`, in place of
+columns of these names if the input has them; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = bpe.vocabulary()
-    done = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path)
-    return done.withColumns({"n_tokens": F.size("ids").cast("long"), "text": F.col("decoded").cast("string")}).drop("decoded")
+    done = bpe.encode(docs, path, pattern, decoded="text")
+    return done.withColumns({"n_tokens": F.size("ids").cast("long"), "text": F.col("text").cast("string")})
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
