@@ -6,7 +6,8 @@ global k of its search, so arrays per graph stay small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from folioscope import lexicon as lx
 from folioscope.functions import payload as pl
 from folioscope.functions import text as tx
+from folioscope.session import stage
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 ROOT = "node_001"
@@ -549,6 +551,55 @@ def expand_nodes(
     return added_nodes, added_edges
 
 
+def expand_rounds(
+    nodes: DataFrame,
+    edges: DataFrame,
+    topics: DataFrame,
+    frontier: DataFrame,
+    search: Callable[[DataFrame, int], DataFrame],
+    rounds: int = 1,
+    rules: Rules = tuple(lx.CLASS_RULES),
+    limit: int = 8,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(added nodes, added edges, expanded nodes) of `rounds` rounds of expansion, each row with its round.
+
+    A round searches the texts of its frontier, adds the concepts found, and hands the added nodes to
+    the next one.  `search(queries, k)` returns evidence rows of queries(query_id, query).  Equal texts
+    are searched once, whatever graph they are of.  In a graph a text is expanded once, by the node of
+    the smallest id; nodes with a text that was expanded before stay as they are, so rounds come to an
+    end.  Nodes without a text and books are not expanded.  Every round is staged.
+    """
+    key = F.concat_ws("::", "graph_id", "node_id")
+    held_nodes, held_edges = nodes.select("graph_id"), edges.select("graph_id")
+    added, linked, done = [], [], []
+    for number in range(1, rounds + 1):
+        asked = expansion_queries(frontier, topics).filter(F.col("query").isNotNull())
+        for before in done:
+            asked = asked.join(before.select("graph_id", "query"), ["graph_id", "query"], "left_anti")
+        first = F.min(F.struct("node_id", "name", "type", "top_k")).alias("first")
+        chosen = asked.groupBy("graph_id", "query").agg(first).select("graph_id", "query", "first.*")
+        chosen = stage(chosen.withColumn("round", F.lit(number)), "frontier")
+        most = chosen.agg(F.max("top_k")).first()[0]
+        if most is None and done:
+            break
+        texts = chosen.select(F.col("query").alias("query_id"), "query").distinct()
+        wanted = chosen.select(key.alias("graph_id"), F.col("query").alias("query_id"), "top_k")
+        hits = search(texts, most or 1).join(wanted, "query_id").filter(F.col("rank") <= F.col("top_k"))
+        names = chosen.select(key.alias("graph_id"), F.col("name").alias("topic"))
+        found = stage(concepts(names, hits, rules), "found")
+        more, links = expand_nodes(chosen, held_nodes, held_edges, found, limit)
+        more = stage(more.withColumn("round", F.lit(number)), "added")
+        links = stage(links.withColumn("round", F.lit(number)), "linked")
+        held_nodes = held_nodes.unionByName(more.select("graph_id"))
+        held_edges = held_edges.unionByName(links.select("graph_id"))
+        added.append(more)
+        linked.append(links)
+        done.append(chosen)
+        frontier = more
+    new_nodes, new_edges, expanded = (reduce(DataFrame.unionByName, parts) for parts in (added, linked, done))
+    return mark_expanded(new_nodes, expanded)[0], new_edges, expanded
+
+
 def patch_diff(
     current_nodes: DataFrame, current_edges: DataFrame, patch_nodes: DataFrame, patch_edges: DataFrame, returned_edges: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

@@ -486,6 +486,64 @@ def graph_expand(spark, sf):
     )
 
 
+def _round_sql(number: int, before: str) -> str:
+    """Round `number` of an expansion: frontier -> hits -> added; `before` selects (graph_id, rows held so far)."""
+    cases = " ".join(f"WHEN {_any_sql('quote', words)} THEN '{c}'" for c, words in cp.CLASS_RULES)
+    r = str(number)
+    return f"""asked{r} AS (SELECT DISTINCT query AS query_id, query FROM frontier{r}),
+{sql.search('asked' + r, 15, 'hits' + r)},
+classed{r} AS (SELECT f.graph_id, f.node_id, h.rank, 'ev_' || h.chunk_id AS evidence_id, book, substr(c.text, 1, 260) AS quote,
+    CASE {cases} ELSE '定义' END AS name
+  FROM frontier{r} f JOIN hits{r} h ON h.query_id = f.query JOIN chunks c USING (chunk_id) WHERE h.rank <= f.top_k),
+held{r} AS (SELECT graph_id, node_id, name, count(*) AS n, list(evidence_id ORDER BY rank) AS ids FROM classed{r} GROUP BY ALL),
+seeded{r} AS (SELECT f.graph_id, f.node_id AS parent_id, f.name AS parent, f.type AS parent_type, s.ord, s.name, s.type,
+    coalesce(n, 0) AS n, coalesce(ids, []::VARCHAR[]) AS ids, max(coalesce(n, 0)) OVER (PARTITION BY f.graph_id, f.node_id) AS most
+  FROM frontier{r} f CROSS JOIN seeds s LEFT JOIN held{r} h ON h.graph_id = f.graph_id AND h.node_id = f.node_id AND h.name = s.name),
+kept{r} AS (SELECT *, row_number() OVER (PARTITION BY graph_id, parent_id ORDER BY ord) AS place FROM seeded{r}
+  WHERE CASE WHEN most > 0 THEN n > 0 ELSE ord < 5 END),
+numbered{r} AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY parent_id, place) AS k FROM kept{r} WHERE place <= 8),
+before{r} AS ({before}),
+added{r} AS (SELECT graph_id, {r}::INTEGER AS round, parent_id, printf('node_%03d', k + held + 1) AS node_id, printf('edge_%03d', k + held) AS edge_id,
+    name, type, array_to_string(ids, '|') AS evidence_ids, round(least(0.92, 0.55 + 0.04 * n)::DOUBLE, 6) AS confidence,
+    CASE WHEN parent_type = 'chapter' THEN 'contains' ELSE 'related_to' END AS relation,
+    CASE WHEN parent_type = 'chapter' THEN '包含' ELSE '相关' END AS label,
+    CASE WHEN parent_type = 'chapter' THEN parent || ' 包含 ' || name ELSE parent || ' 相关概念' END AS edge_summary,
+    '从教材证据中整合“' || parent || '”的' || name || '。' AS summary
+  FROM numbered{r} JOIN before{r} USING (graph_id))"""
+
+
+@query(
+    "graph_frontier",
+    f"""WITH {sql.chapter_chunks()}, {sql.sparse_index()}, {_SEEDS},
+    shown AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    frontier1 AS (SELECT source AS graph_id, printf('node_%03d', n + 1) AS node_id, 'Doc ' || doc_id AS name, 'chapter' AS type,
+      'Book ' || source || ' Doc ' || doc_id AS query, 15 AS top_k FROM shown WHERE n <= 30),
+    {_round_sql(1, 'SELECT graph_id, count(*) AS held FROM frontier1 GROUP BY 1')},
+    frontier2 AS (SELECT graph_id, min(node_id) AS node_id, name, min(type) AS type, name AS query, 10 AS top_k FROM added1 GROUP BY graph_id, name),
+    {_round_sql(2, 'SELECT graph_id, count(*) AS held FROM (SELECT graph_id FROM frontier1 UNION ALL SELECT graph_id FROM added1) GROUP BY 1')}
+    SELECT a.*, f.node_id IS NOT NULL AS expanded FROM added1 a LEFT JOIN frontier2 f USING (graph_id, node_id)
+    UNION ALL SELECT *, FALSE FROM added2""",
+)
+def graph_frontier(spark, sf):
+    """Two rounds from the chapters of every book: their concepts, then what those find."""
+    books, chapters = cp.parsed(spark, sf)
+    nodes, edges = gr.chapter_graphs(books, chapters)
+    nodes, edges = stage(nodes, "nodes"), stage(edges, "edges")
+    cut = cp.chunks(spark, sf)
+    index = se.SparseIndex(cut, max_features=lx.MAX_FEATURES)
+    topics = books.select(F.col("textbook_id").alias("graph_id"), F.col("title").alias("topic"))
+    added, links, _ = gr.expand_rounds(
+        nodes, edges, topics, nodes, lambda asked, k: se.to_evidence(index.search(asked, k), cut), 2, cp.CLASS_RULES
+    )
+    named = links.select(
+        "graph_id", F.col("target").alias("node_id"), "edge_id", "relation", "label", F.col("summary").alias("edge_summary")
+    )
+    return _joined(added, "evidence_ids").join(named, ["graph_id", "node_id"]).select(
+        "graph_id", "round", "parent_id", "node_id", "edge_id", "name", "type", "evidence_ids",
+        F.round("confidence", 6).alias("confidence"), "relation", "label", "edge_summary", "summary", "expanded",
+    )
+
+
 # --- integration -----------------------------------------------------------------
 @query(
     "overlap",

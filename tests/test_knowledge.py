@@ -296,3 +296,33 @@ def test_payload_nodes_of_every_text(spark):
     want = {f"{r.w[0]}::{r.item_id}" for r in items.collect()}
     found = knowledge.payload_nodes(spark, sf).select("graph_id").distinct().collect()
     assert want and {r.graph_id for r in found} == want
+
+
+def test_expansion_in_rounds(spark):
+    """Later rounds expand what was added, each text once in a graph; books and empty rounds add nothing."""
+    nodes = spark.createDataFrame(
+        [("g", "node_001", "Book", "book", ["Book"]), ("g", "node_002", "C1", "chapter", ["Book"]), ("g", "node_003", "C2", "chapter", ["Book"])],
+        "graph_id string, node_id string, name string, type string, book_sources array<string>",
+    )
+    edges = spark.createDataFrame([("g", "edge_001"), ("g", "edge_002")], "graph_id string, edge_id string")
+    topics = spark.createDataFrame([("g", "Book")], "graph_id string, topic string")
+    asked = []
+
+    def search(queries, k):
+        asked.append((sorted(r.query for r in queries.collect()), k))
+        one = evidence_rows(spark).drop("graph_id")
+        return queries.select("query_id").crossJoin(one)
+
+    added, links, expanded = gr.expand_rounds(nodes, edges, topics, nodes, search, rounds=5)
+    rows = {r.node_id: r for r in added.collect()}
+    assert asked[0] == (["Book C1", "Book C2"], 15)
+    # both chapters find the same three names; each is searched once, and the third round has nothing new
+    assert len(asked) == 2 and len(asked[1][0]) == 3 and asked[1][1] == 10
+    assert sorted(rows) == [f"node_{i:03d}" for i in range(4, 4 + 6 + 9)]
+    assert sorted(r.edge_id for r in links.collect()) == [f"edge_{i:03d}" for i in range(3, 3 + 6 + 9)]
+    assert {n for n, r in rows.items() if r.expanded} == {"node_004", "node_005", "node_006"}
+    assert {(r.node_id, r["round"]) for r in expanded.collect()} == {
+        ("node_002", 1), ("node_003", 1), ("node_004", 2), ("node_005", 2), ("node_006", 2)
+    }
+    nothing = gr.expand_rounds(nodes, edges, topics, nodes.filter("type = 'book'"), search, rounds=2)
+    assert [df.count() for df in nothing] == [0, 0, 0]
