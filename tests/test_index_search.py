@@ -237,3 +237,64 @@ def test_vector_index(spark, sf, tmp_path):
     assert _hits(index.search(asked, 10, probes=1 << index.bits)) == _hits(exact)
     assert "bucket" in got._jdf.queryExecution().toString() and index.search(asked.limit(0), 3).count() == 0
     assert ve.recall(got, exact.limit(0)) == 1.0
+
+
+def _rows_of_counter(texts, lower=True):
+    counter = ix._Counter()
+    for part in ix.text_slices(texts):
+        spaced = ix.spaced(texts[part], lower)
+        assert counter.takes(spaced)
+        counter.add(spaced)
+    return {r["term"]: (r["df"], r["cf"]) for r in counter.flush().to_pylist()}
+
+
+def test_packed_grams_equal_those_by_word():
+    texts = ["Aa b", None, "", " \x00 a　\x00b 界😀 İ", "a", "aa aa\naa", "x" * 50] * 40
+    assert len(list(ix.text_slices(texts * 3))) > 1
+    by_word = {r["term"]: (r["df"], r["cf"]) for r in ix._counted_by_word(texts, True).to_pylist()}
+    assert _rows_of_counter(texts) == by_word
+    assert _rows_of_counter([None, ""]) == {}
+
+
+def test_weigher_and_scorer_equal_sums_by_hand():
+    texts = ["Aa b", None, "aa aa \x00", "界 😀x zz"]
+    terms = sorted({g for t in texts for g in grams(t or "")} - {"zz"}) + ["longer term"]
+    words = ix.Words(ix.pa.array(terms), np.arange(1.0, len(terms) + 1))
+    at, weights, row = ix.Weigher(words, True).rows(texts)
+    dense = np.zeros((len(texts), len(terms)))
+    dense[row, at] = weights
+    for n, text in enumerate(texts):
+        own = Counter(g for g in grams(text or "") if g in terms)
+        raw = np.array([own[t] * (i + 1.0) for i, t in enumerate(terms)])
+        assert np.allclose(dense[n], raw / (np.sqrt(raw @ raw) or 1.0))
+    table = np.random.default_rng(0).random((len(terms), 20))
+    table[::2, 1:] = 0  # terms of one query in twenty, and of all
+    assert np.allclose(se.Scorer(table).scores(len(texts), row, at, weights), dense @ table)
+
+
+def test_ngrams_of_ids_that_repeat(spark, tmp_path):
+    from folioscope.plans.core import char_ngrams
+
+    rows = [(1, "ab"), (1, "ab cd"), (2, "xy"), (3, " "), (4, None), (None, "q"), (None, "q r")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {}
+    for key in (1, 2, None):
+        own = [g for k, t in rows if k == key for g in grams(t or "")]
+        wanted[key] = (len(own), len(set(own)), max(own))
+    found = char_ngrams(spark, str(tmp_path))
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == wanted
+    # rows of ids that do not repeat are not exploded into n-grams and grouped
+    assert found.schema.simpleString() == "struct<doc_id:bigint,n_grams:bigint,n_terms:bigint,last_term:string>"
+
+
+def test_recall_is_tuned_on_a_bounded_sample(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ve, "SAMPLE", 20)
+    values = np.random.default_rng(1).standard_normal((400, 8))
+    rows = spark.createDataFrame([(f"v{n}", v.tolist()) for n, v in enumerate(values)], "chunk_id string, embedding array<double>")
+    asked = rows.select(F.col("chunk_id").alias("query_id"), "embedding")
+    index = ve.VectorIndex(rows, f"{tmp_path}/v", 8, bucket_rows=20)
+    sizes, full = [], se.dense_top_k
+    monkeypatch.setattr(se, "dense_top_k", lambda v, q, k: sizes.append(q.count()) or full(v, q, k))
+    assert index.tune(asked, 5) >= 0.9
+    assert sizes == [20]
+    assert ve.recall(index.search(asked, 5), full(rows, asked, 5)) >= 0.85
