@@ -245,7 +245,9 @@ def scan_files(spark, sf):
     """
     root = scratch(spark, "files")
     docs = table(spark, sf, "documents").select("source", "text")
-    docs.write.partitionBy("source").option("maxRecordsPerFile", 1).text(root)
+    # tasks put their files in place themselves: renaming them all at the end would be the driver's work
+    out = docs.write.partitionBy("source").option("maxRecordsPerFile", 1)
+    out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
     found = files.list_files(spark, root, "*.txt")
     wanted, missing = files.requested_files(found)
     documents, chapters = files.parse_files(wanted)
@@ -281,7 +283,7 @@ def store_roundtrip(spark, sf):
     parsed.save("documents", books)
     parsed.save("chapters", chapters)
     parsed.save("chapters", stage(parsed.load("chapters"), "chapters"))
-    cut = cp.chunks(spark, sf)
+    cut = cp.staged_chunks(spark, sf)
     vocab = stage(ix.vocabulary(cut, cut.count()), "vocab")
     store.save_index(
         f"{root}/index", cut, vocab, ix.tfidf_vectors(cut, vocab), ix.index_meta(cut, None, 700, 80, "tfidf")
@@ -434,7 +436,7 @@ def catalog_priority(spark, sf):
 )
 def index_status(spark, sf):
     """Every indexed file with the status of the index."""
-    cut = cp.chunks(spark, sf)
+    cut = cp.staged_chunks(spark, sf)
     vocab = ix.vocabulary(cut, cut.count())
     ids = table(spark, sf, "embeddings").select(F.concat(F.lit("d"), "vec_id").alias("chapter_id"))
     vectors = cut.join(ids, "chapter_id", "left_semi")
@@ -455,7 +457,6 @@ def index_status(spark, sf):
 )
 def stream_ingest(spark, sf):
     root = scratch(spark, "ingest")
-    schema = table(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select("doc_id", "text")
+    docs = cp.table_stream(spark, sf, "documents").select("doc_id", "text")
     st.ingest(docs, f"{root}/chunks", f"{root}/checkpoint", cp.SHORT_LINE, buckets=16).awaitTermination()
     return spark.read.parquet(f"{root}/chunks").select("chunk_id", "chapter", F.md5("text").alias("text"))

@@ -236,3 +236,13 @@ def test_results_are_whole(spark, tmp_path, sf):
     assert store.summary_table(ev.strategy_summary(rows)).first().value.split("\n")[0].count("|") == 8
     paths = spark.createDataFrame([("a",), ("a",), ("",), (None,)], "source_path string")
     assert [r.source_path for r in store.source_paths(paths).collect()] == ["a"]
+
+
+def test_stream_of_a_table_in_a_folder_of_files(spark, tmp_path):
+    from folioscope.plans import corpus as cp
+    from folioscope.plans.segments import stream_ingest
+
+    rows = spark.createDataFrame([(n, f"Some words of text {n}") for n in range(6)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.table_stream(spark, str(tmp_path), "documents").isStreaming
+    assert stream_ingest(spark, str(tmp_path)).count() == 6
