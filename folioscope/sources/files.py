@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
 from folioscope.operators import segment as sg
-from folioscope.session import broadcast_if_small
+from folioscope.session import broadcast_if_small, stage
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
@@ -81,13 +81,13 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     Files of other formats become failed documents.  PDF and DOCX files are handled from
     their page and paragraph tables.
     """
-    texts = read_texts(files.filter(F.col("format").isin("md", "txt")))
+    # staged: each file is opened and decoded once
+    texts = stage(read_texts(files.filter(F.col("format").isin("md", "txt"))), "texts")
     parts = [
         sg.heading_sections(texts.filter(F.col("format") == kind), "path", rule)
         for kind, rule in (("md", sg.MARKDOWN), ("txt", sg.PLAIN_TEXT))
     ]
-    names = files.select("path", tx.document_id(F.col("filename")).alias("textbook_id"))
-    chapters = parts[0].unionByName(parts[1]).join(names, "path")
+    chapters = parts[0].unionByName(parts[1]).join(texts.select("path", "textbook_id"), "path")
     good = texts.select(
         "textbook_id",
         "path",
