@@ -25,7 +25,7 @@ from folioscope.session import MAX_BROADCAST_TERMS, broadcast_if_small, fits, st
 
 QUERY_BLOCK = 256
 MAX_CELLS = 1 << 25
-SPARSE = 8  # a term of at least one in so many queries of a table counts as frequent there
+SPARSE = 16  # a term of at least one in so many queries of a table counts as frequent there
 ROOM = 4  # rows that a task holds per query, as a multiple of k, before it cuts them to k
 
 
