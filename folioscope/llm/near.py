@@ -7,7 +7,8 @@ documents of similarity 0.8 share no band with a probability below 1e-6.
 
 In a band's bucket every class is first paired with the bucket's smallest only.  Pairs whose sizes
 allow the similarity and whose estimate from bit counts, corrected for chance agreement, is not far
-below it are confirmed on full sets.  Buckets whose classes are then still in several components are
+below it are confirmed on full sets.  Filters of bounded size leave out the bands without a bucket and the
+texts without a candidate before they are shuffled; joins drop the few others that pass.  Buckets whose classes are then still in several components are
 compared block by block inside tasks by their estimates, which tells what components may be linked.  The
 full sets of such families of components meet in blocks of bounded size; tasks compare them and put out
 one link for each two components they join.  No bucket is capped, none is gathered whole and no list of
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.bloom import Bloom
 from folioscope.llm.common import WordHash, blobs, free_name, mix64, query, table, text_bytes
 from folioscope.llm.graph_links import components
 from folioscope.session import stage
@@ -163,8 +165,15 @@ def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text: str, size: int
                 yield pa.RecordBatch.from_arrays([part.column(0), blobs(sets)], ["doc_id", "members"])
 
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return found.mapInArrow(run, "doc_id long, members binary").dropDuplicates(["doc_id"])
+    wanted = wanted.select("doc_id").distinct()
+    made = _may_be(texts, "doc_id", wanted).mapInArrow(run, "doc_id long, members binary")
+    return made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _may_be(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose `column` is wanted and few others, without a shuffle of `df`; a join drops the others."""
+    found = Bloom(wanted, column, wanted.count())
+    return df.filter(found.holds(F.col(column)))
 
 
 def _similar(m: np.ndarray, n: np.ndarray, percent: int) -> bool:
@@ -331,11 +340,9 @@ def near_duplicates(
     classes = stage(classes, "classes")
 
     banded = classes.select("doc_id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("size")
-    )
-    buckets = buckets.filter("least < most").select("key", "least", "size")
-    members = stage(banded.join(buckets, "key"), "members")
+    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    buckets = stage(buckets.filter("size > 1"), "buckets")
+    members = stage(_may_be(banded, "key", buckets).join(buckets, "key"), "members")
     stars = members.filter("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     stars = stage(_with_signs(stars, classes, percent), "stars")
 

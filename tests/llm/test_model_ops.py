@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from folioscope.llm import contamination, licenses, suffix_tree, toxicity
+from folioscope.llm import contamination, licenses, near, suffix_tree, toxicity
 from folioscope.llm.common import remainder
 from tests.llm.conftest import LONG, ODD
 
@@ -289,3 +289,18 @@ def test_toxicity_insult_without_labelled_row(spark):
     bad = spark.createDataFrame([(1, "hola gilipollas"), (2, "hola amigo")], "doc_id long, text string")
     high, low = (r.toxicity for r in toxicity.score(bad, model).orderBy("doc_id").collect())
     assert high > 2 * low
+
+
+def test_near_sets_shuffle_no_texts(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta w{i} gamma delta") for i in range(50)], "doc_id long, text string")
+    wanted = spark.createDataFrame([(3,), (3,), (41,), (None,), (99,)], "doc_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = near._sets(docs, wanted, "doc_id", "text", 2)
+        plan = sets._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r.doc_id for r in sets.collect()) == [3, 41]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # sets are made from the scan; only they meet the wanted ids
+    assert "MapInArrow" in plan and "Join" not in plan[plan.index("MapInArrow") :].split("Aggregate")[0]
