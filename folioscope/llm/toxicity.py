@@ -62,11 +62,17 @@ PATTERNS = (
 )
 
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+REMEMBERED = 150_000  # words of which a task remembers what they vote
+
+
+def words_of(text: bytes) -> set[bytes]:
+    """Distinct words (ASCII signs are blanks, A-Z lower case)."""
+    return set(text.translate(_SIGNS).lower().split())
 
 
 def signs_of(text: bytes) -> set[bytes]:
-    """Distinct words (ASCII signs are blanks, A-Z lower case) and, with a star, their beginnings."""
-    words = set(text.translate(_SIGNS).lower().split())
+    """Distinct words and, with a star, their beginnings."""
+    words = words_of(text)
     signs = set(words)
     for size in BEGINNINGS:
         signs.update([word[:size] + b"*" for word in words if len(word) > size])
@@ -79,20 +85,39 @@ class Voters:
     def __init__(self, words: list[bytes]):
         self.place = {w: i for i, w in enumerate(words)}
         begins = [w for w in words if w.endswith(b"*")]
-        self.twice = {w: len(words) + i for i, w in enumerate(begins)}
+        self.twice = {self.place[w]: len(words) + i for i, w in enumerate(begins)}
         self.patterns = len(words) + len(begins)
         self.count = self.patterns + len(PATTERNS)
 
-    def votes(self, text: bytes, signs: set[bytes]) -> list[int]:
-        found = []
-        for sign in signs & self.place.keys():
-            found.append(self.place[sign])
-            if sign in self.twice:
-                # words only: longer beginnings of the same words end with a star
-                forms = sum(w.startswith(sign[:-1]) and not w.endswith(b"*") for w in signs)
-                if forms > 1:
-                    found.append(self.twice[sign])
-        found += [self.patterns + i for i, pattern in enumerate(PATTERNS) if pattern.search(text)]
+        self.told: dict[bytes, tuple[list[int], list[int]] | None] = {}
+
+    def _tell(self, word: bytes) -> tuple[list[int], list[int]] | None:
+        """Votes of a word and its beginnings, and the beginnings of which it is a form; mostly none."""
+        votes = [self.place[word]] if word in self.place else []
+        forms = []
+        for size in BEGINNINGS:
+            sign = word[:size] + b"*"
+            if len(word) >= size and sign in self.place:
+                forms.append(self.place[sign])
+                if len(word) > size:
+                    votes.append(self.place[sign])
+        if len(self.told) >= REMEMBERED:
+            self.told.clear()
+        told = self.told[word] = (votes, forms) if votes or forms else None
+        return told
+
+    def votes(self, text: bytes, words: set[bytes]) -> list[int]:
+        """Voters that vote on a text with these distinct words."""
+        found: set[int] = set()
+        forms: Counter[int] = Counter()
+        told = self.told
+        for word in words:
+            own = told[word] if word in told else self._tell(word)
+            if own:
+                found.update(own[0])
+                forms.update(own[1])
+        found.update([self.twice[at] for at, n in forms.items() if n > 1 and at in found])
+        found.update([self.patterns + i for i, pattern in enumerate(PATTERNS) if pattern.search(text)])
         return sorted(found)
 
 
@@ -194,7 +219,7 @@ def _moments(docs: DataFrame, voters: Voters) -> tuple[int, np.ndarray]:
         for batch in batches:
             rows += batch.num_rows
             for text in text_bytes(batch.column(0)):
-                found = np.array(voters.votes(text, signs_of(text)), np.int64)
+                found = np.array(voters.votes(text, words_of(text)), np.int64)
                 if len(found):
                     held.append((found[:, None] * voters.count + found).ravel())
                     size += len(found) ** 2
@@ -223,7 +248,7 @@ def _told(labelled: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros((2, voters.count + 1), np.int64)
         for batch in batches:
             for text, label in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                found = voters.votes(text, signs_of(text)) or [voters.count]
+                found = voters.votes(text, words_of(text)) or [voters.count]
                 counts[0, found] += 1
                 counts[1, found] += label
         columns = [pa.array(np.arange(voters.count + 1)), pa.array(counts[0]), pa.array(counts[1])]
@@ -303,10 +328,9 @@ class LabelModel:
 
 
 def _features(text: bytes, voters: Voters, hashes: WordHash) -> tuple[np.ndarray, list[int]]:
-    signs = signs_of(text)
-    words = [sign for sign in signs if not sign.endswith(b"*")]
-    buckets = np.unique((hashes.of(words) % np.uint64(BUCKETS)).astype(np.int32))
-    return buckets, voters.votes(text, signs)
+    words = words_of(text)
+    buckets = np.unique((hashes.of(list(words)) % np.uint64(BUCKETS)).astype(np.int32))
+    return buckets, voters.votes(text, words)
 
 
 class Linear:

@@ -291,6 +291,22 @@ def test_toxicity_insult_without_labelled_row(spark):
     assert high > 2 * low
 
 
+def test_toxicity_votes_by_word_are_those_by_sign(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 7)  # what is remembered is dropped and made again
+    voters = toxicity.Voters([b"idiot", b"idio*", b"idiot*", b"morons", b"moro*", b"\xc3\xa9t\xc3*", b"zzzz*"])
+    pool = "idio idiot idiots idiotic moron morons moro mor été étés étage zzzz clean words YOU!! ok".split()
+    for seed in range(300):
+        text = " ".join(np.random.default_rng(seed).choice(pool, seed % 9)).encode()
+        signs = toxicity.signs_of(text)
+        words = {s for s in signs if not s.endswith(b"*")}
+        expected = {voters.place[s] for s in signs & voters.place.keys()}
+        for begin in {s for s in signs & voters.place.keys() if s.endswith(b"*")}:
+            if sum(w.startswith(begin[:-1]) for w in words) > 1:
+                expected.add(voters.twice[voters.place[begin]])
+        expected |= {voters.patterns + i for i, p in enumerate(toxicity.PATTERNS) if p.search(text)}
+        assert voters.votes(text, toxicity.words_of(text)) == sorted(expected)
+
+
 def test_near_sets_shuffle_no_texts(spark):
     docs = spark.createDataFrame([(i, f"alpha beta w{i} gamma delta") for i in range(50)], "doc_id long, text string")
     wanted = spark.createDataFrame([(3,), (3,), (41,), (None,), (99,)], "doc_id long")
