@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.bloom import Bloom
 from folioscope.llm.common import WordHash, blobs, free_name, mix64, query, table, text_bytes
 from folioscope.llm.graph_links import components
-from folioscope.session import stage
+from folioscope.session import small_batches, stage
 
 BANDS, ROWS = 48, 6
 PACKED = 256  # minima of which two low bits are kept
@@ -40,6 +40,7 @@ MARGIN = 0.20  # of the estimate; six and a half standard deviations at 0.8: a l
 BLOCK = 1024  # classes of a bucket that are compared at a time
 BLOCK_BYTES = 1 << 19  # of full sets that are compared at a time
 CHUNK = 1 << 16  # shingles hashed at a time, so that they stay in cache
+BATCH = 512  # whole texts or full sets that a task holds at a time
 
 
 def shingle_set(words: list[bytes], hashes: WordHash, size: int) -> np.ndarray:
@@ -329,6 +330,12 @@ def near_duplicates(
     `words` is the shingle length and `percent` the least similarity.  `component_id` is the smallest
     id that can be reached by links; `kept` marks the documents that are their component's smallest.
     """
+    # every step that sends texts or sets to Python is staged, so it runs in here
+    with small_batches(df.sparkSession, BATCH):
+        return _near_duplicates(df, id_column, text, words, percent)
+
+
+def _near_duplicates(df: DataFrame, id_column: str, text: str, words: int, percent: int) -> DataFrame:
     signed = stage(signatures(df, id_column, text, words), "signed")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("set_hash").agg(

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from folioscope.llm import lexical, phrases, wavelet
+from folioscope.llm import lexical, near, phrases, wavelet
 from tests.llm.conftest import LONG, ODD
 from tests.oracle import connect, difference
 
@@ -274,3 +274,18 @@ def test_case_and_blanks_of_all_scripts(spark):
     )
     found = contamination.drop_contaminated(docs, bench)
     assert [r.doc_id for r in found.collect()] == [3]
+
+
+def test_near_sends_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+
+    def noted(df, *a):
+        seen.append(int(spark.conf.get(name)))
+        return staged(df, *a)
+
+    staged = near.stage
+    monkeypatch.setattr(near, "stage", noted)
+    docs = spark.createDataFrame([(i, "a b c d e f") for i in range(3)], "doc_id long, text string")
+    assert {r.component_id for r in near.near_duplicates(docs, words=2).collect()} == {0}
+    assert seen and max(seen) <= near.BATCH and spark.conf.get(name) == before
