@@ -223,6 +223,39 @@ def test_postings_segments(spark, tmp_path):
     assert index.chunks().count() == 60 and index.buckets == 4
 
 
+@pytest.mark.parametrize("terms", [None, 0])
+def test_postings_weighed_where_cut(spark, tmp_path, monkeypatch, terms):
+    names = []
+
+    def noted(df, name, *a):
+        names.append(name)
+        return staged(df, name, *a)
+
+    staged = po.stage
+    monkeypatch.setattr(po, "stage", noted)
+    if terms is not None:
+        monkeypatch.setattr(po, "MAX_BROADCAST_TERMS", terms)
+    rows = [(f"c{i:02d}", f"word{i % 7} some{i % 5} text {'x' * (i % 4)}") for i in range(40)] + [("none", None), ("blank", " ")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "word3 some2"), (2, "xxx text")], "query_id long, query string")
+    index = po.PostingsIndex(spark, f"{tmp_path}/index", buckets=4, window=8)
+    for part in (chunks.limit(0), chunks.filter("chunk_id < 'c2'"), chunks):
+        index.append(part)
+    # with a vocabulary that can be sent, postings are not written and shuffled again for their weights
+    assert ("windows" in names) == (terms == 0)
+    whole = se.SparseIndex(chunks, max_features=None)
+    assert _hits(index.search(asked, 5)) == _hits(whole.search(asked, 5)) and index.chunks().count() == 42
+    index.compact()
+    assert _hits(index.search(asked, 5)) == _hits(whole.search(asked, 5)) and index.chunks().count() == 42
+    # squares come as one row per task and window
+    found = index.postings().join(index.vocabulary().select("term", "idf"), "term").coalesce(1)
+    norms = {(r.window, i): n for r in index.norms().collect() for i, n in zip(r.slots, r.norms)}
+    squares = po._squares(found).collect()
+    assert len(squares) == found.select("window").distinct().count() < found.count()
+    for r in squares:
+        assert [v**0.5 for v in r.squares if v] == pytest.approx([norms[r.window, i] for i, v in enumerate(r.squares) if v])
+
+
 def test_vector_index(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     odd = spark.createDataFrame([("short", [1.0]), ("none", None), ("zero", [0.0] * 64)], "chunk_id string, embedding array<float>")
