@@ -179,7 +179,7 @@ class _Counter:
 
     def add(self, texts: list[str]) -> None:
         grams, tfs, _ = packed_grams(texts, self.numbers)
-        self.parts.append(_summed(grams, np.ones(len(grams), np.int64), tfs))
+        self.parts.append(_tallied(grams, tfs))
         if len(self.parts) > 1 and 2 * len(self.parts[0][0]) < sum(len(p[0]) for p in self.parts):
             self.merge()
 
@@ -198,6 +198,20 @@ class _Counter:
         return pa.RecordBatch.from_arrays(columns, ["term", "df", "cf"])
 
 
+def _tallied(grams: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct n-grams of several texts, ascending, with the texts they are in and all their occurrences.
+
+    Values alone are sorted, once each and once per repeat; sorting places to move counts along takes longer.
+    """
+    if not len(grams):
+        return grams, np.empty(0, np.int64), np.empty(0, np.int64)
+    more, times = distinct(np.sort(np.repeat(grams, tfs - 1)))
+    grams, dfs = distinct(np.sort(grams))
+    cfs = dfs.copy()
+    cfs[np.searchsorted(grams, more)] += times.astype(np.int64)
+    return grams, dfs, cfs
+
+
 def _summed(grams: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct n-grams, ascending, with their counts added up."""
     order = np.argsort(grams)

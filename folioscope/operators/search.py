@@ -24,7 +24,7 @@ from folioscope.operators.index import Weigher
 from folioscope.session import MAX_BROADCAST_TERMS, broadcast_if_small, fits, stage, stage_all
 
 QUERY_BLOCK = 256
-MAX_CELLS = 1 << 25
+MAX_CELLS = 1 << 24
 SPARSE = 16  # a term of at least one in so many queries of a table counts as frequent there
 ROOM = 4  # rows that a task holds per query, as a multiple of k, before it cuts them to k
 
@@ -105,9 +105,9 @@ def _passes(queries: DataFrame, width: str) -> Iterator[list[DataFrame]]:
     """Blocks of queries, in groups that share one pass over the corpus.
 
     `width` is the array that spans the table's other side; a block of q queries with at
-    most w entries each has at most q * w rows and q columns.  The tables of a pass have at most
-    MAX_CELLS cells, so what is broadcast stays bounded.  The queries are staged first: a block must
-    see the same rows on every read.
+    most w entries each has at most q * w rows and q columns, and no more rows than there are terms
+    in all queries.  The tables of a pass have at most MAX_CELLS cells, so what is broadcast stays
+    bounded.  The queries are staged first: a block must see the same rows on every read.
     """
     queries = stage(queries, "queries")
     total, widest = queries.agg(F.count("*"), F.max(F.size(width))).first()
@@ -116,13 +116,18 @@ def _passes(queries: DataFrame, width: str) -> Iterator[list[DataFrame]]:
         return
     widest = max(1, widest)
     block = max(1, min(QUERY_BLOCK, math.isqrt(MAX_CELLS // widest)))
+    cells = block * block * widest
+    if width == "terms":  # queries on one subject share most of them
+        known = max(1, queries.select(F.explode(width)).distinct().count())
+        block = max(block, min(QUERY_BLOCK, MAX_CELLS // known))
+        cells = block * min(block * widest, known)
     if total <= block:
         yield [queries]
         return
     parts = -(-total // max(1, block * 3 // 4))
     part_of = F.pmod(F.xxhash64("query_id"), F.lit(parts))
     blocks = [queries.filter(part_of == part) for part in range(parts)]
-    together = max(1, MAX_CELLS // (block * block * widest))
+    together = max(1, MAX_CELLS // cells)
     for at in range(0, parts, together):
         yield blocks[at : at + together]
 

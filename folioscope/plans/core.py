@@ -16,7 +16,7 @@ from folioscope.operators.vectors import VectorIndex
 from folioscope.plans import corpus as cp
 from folioscope.plans import sql
 from folioscope.plans.corpus import query, scratch, table
-from folioscope.session import broadcast_if_small, stage
+from folioscope.session import GROUP_BYTES, broadcast_if_small, stage
 
 
 # --- text ------------------------------------------------------------------------
@@ -495,7 +495,7 @@ _FUSED = """fused AS (SELECT query_id, chunk_id, sum(w * score) AS score, string
 
 def _doc_chunks(spark, sf):
     docs = cp.documents(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "text")
-    return stage(docs, "docs")
+    return stage(docs, "docs", group=GROUP_BYTES)
 
 
 def _doc_vectors(spark, sf):
@@ -566,7 +566,7 @@ def search_hybrid_full(spark, sf):
     """Documents with a vector: all five lists."""
     vectors = _doc_vectors(spark, sf)
     chunks = _doc_chunks(spark, sf).join(vectors.select("chunk_id"), "chunk_id", "left_semi")
-    return _hybrid(spark, sf, stage(chunks, "docs"), vectors)
+    return _hybrid(spark, sf, stage(chunks, "docs", group=GROUP_BYTES), vectors)
 
 
 @query(

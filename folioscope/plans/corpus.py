@@ -14,7 +14,7 @@ from folioscope.operators import chunk as ck
 from folioscope.operators import search as se
 from folioscope.operators.prefix import running_count
 from folioscope.operators.segment import HeadingRule
-from folioscope.session import is_folder, spread, stage, staging_root
+from folioscope.session import GROUP_BYTES, is_folder, spread, stage, staging_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,7 +108,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def staged_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chapter chunks for what reads them several times."""
-    return stage(chunks(spark, sf), "chunks")
+    return stage(chunks(spark, sf), "chunks", group=GROUP_BYTES)
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:

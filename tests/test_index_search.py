@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from folioscope.operators import prefix as px
 from folioscope.operators import postings as po
 from folioscope.operators import search as se
 from folioscope.operators import vectors as ve
+from folioscope.session import stage
 
 TEXTS = [("a", "Aa b"), ("b", "aa aa"), ("c", "界 😀x")]
 
@@ -113,6 +115,22 @@ def test_search_routes_agree_with_ties_and_blocks(spark, sf, monkeypatch):
     assert not any(q in (-2, -3) for q, *_ in first)
 
 
+def test_queries_that_share_terms_share_a_pass(spark):
+    words = [f"w{n:03d}" for n in range(400)]
+    asked = spark.range(600).select(
+        F.col("id").alias("query_id"),
+        F.array(*map(F.lit, words)).alias("terms"),
+        F.array_repeat(F.lit(0.05), len(words)).alias("weights"),
+    )
+    (blocks,) = se._passes(asked, "terms")
+    assert sum(block.count() for block in blocks) == 600
+    assert all(block.count() <= se.QUERY_BLOCK for block in blocks)
+    # queries without a common term: the tables of a pass stay bounded
+    own = asked.limit(300).withColumn("terms", F.transform("terms", lambda t: F.concat(t, F.col("query_id"))))
+    for blocks in se._passes(own, "terms"):
+        assert sum(table.size for *_, table in map(se._query_table, blocks)) <= se.MAX_CELLS
+
+
 def test_dense_against_numpy(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     matrix = {r.chunk_id: np.array(r.embedding, float) for r in rows.collect()}
@@ -289,6 +307,21 @@ def test_packed_grams_equal_those_by_word():
     assert _rows_of_counter([None, ""]) == {}
 
 
+def test_tallies_equal_summed_counts():
+    grams, tfs, _ = ix.packed_grams(ix.spaced(["ab ab cd", "ab", "cd ef ef ef"], True), np.arange(ix.CODE_POINTS).astype(np.uint16))
+    for got, wanted in zip(ix._tallied(grams, tfs), ix._summed(grams, np.ones(len(grams), np.int64), tfs), strict=True):
+        assert got.dtype == wanted.dtype and got.tolist() == wanted.tolist()
+    assert [len(column) for column in ix._tallied(grams[:0], tfs[:0])] == [0, 0, 0]
+
+
+def test_staged_row_groups_are_shared_by_tasks(spark):
+    rows = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    staged = stage(rows.coalesce(1), "rows", group=1 << 19)
+    (file,) = staged.inputFiles()
+    assert pq.ParquetFile(file.removeprefix("file://")).num_row_groups > 2
+    assert staged.distinct().count() == 40_000
+
+
 def test_weigher_and_scorer_equal_sums_by_hand():
     texts = ["Aa b", None, "aa aa \x00", "界 😀x zz"]
     terms = sorted({g for t in texts for g in grams(t or "")} - {"zz"}) + ["longer term"]
