@@ -244,10 +244,7 @@ def scan_files(spark, sf):
     All files of a source begin with the same characters, so only their paths tell them apart.
     """
     root = scratch(spark, "files")
-    docs = table(spark, sf, "documents").select("source", "text")
-    # tasks put their files in place themselves: renaming them all at the end would be the driver's work
-    out = docs.write.partitionBy("source").option("maxRecordsPerFile", 1)
-    out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
+    files.write_texts(table(spark, sf, "documents"), root, "source")
     found = files.list_files(spark, root, "*.txt")
     wanted, missing = files.requested_files(found)
     documents, chapters = files.parse_files(wanted)

@@ -2,14 +2,58 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
 from folioscope.operators import segment as sg
-from folioscope.session import broadcast_if_small, stage
+from folioscope.session import broadcast_if_small, local_path, many_files, stage
+
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+UNSAFE = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")  # in the name of a folder
+
+
+def write_texts(rows: DataFrame, root: str, by: str) -> None:
+    """Each text of rows(`by`, text) as a file of its own, ended by a line feed, in a folder per value of `by`.
+
+    On a mounted file system tasks write by themselves: without its native library Hadoop starts two
+    processes per file there, to set permissions.  Other stores get Spark's writer; names are as it gives them.
+    """
+    spark = rows.sparkSession
+    folder = local_path(spark, root)
+    if folder is None:
+        # tasks put their files in place themselves: renaming them all at the end would be the driver's work
+        out = rows.select(by, "text").write.partitionBy(by).option("maxRecordsPerFile", 1)
+        out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
+        return
+    run = uuid.uuid4()
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for value, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = UNSAFE.sub(lambda c: f"%{ord(c[0]):02X}", value) if value else NO_VALUE
+                if name not in made:
+                    os.makedirs(f"{folder}/{by}={name}", exist_ok=True)
+                    made.add(name)
+                # a task that is run again writes the same names
+                with open(f"{folder}/{by}={name}/part-{task:05d}-{run}.c{n:03d}.txt", "wb") as file:
+                    file.write((text or b"") + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["files"])
+
+    os.makedirs(folder, exist_ok=True)
+    rows = rows.select(F.col(by).cast("string"), F.col("text").cast("binary"))
+    rows.mapInArrow(put, "files long").agg(F.sum("files")).collect()
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
@@ -81,8 +125,11 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     Files of other formats become failed documents.  PDF and DOCX files are handled from
     their page and paragraph tables.
     """
-    # staged: each file is opened and decoded once
-    texts = stage(read_texts(files.filter(F.col("format").isin("md", "txt"))), "texts")
+    is_text = F.col("format").isin("md", "txt")
+    # staged: each file is opened and decoded once, and files are listed once
+    with many_files(files.sparkSession):
+        listed = stage(read_texts(files.withColumn("content", F.when(is_text, F.col("content")))), "texts")
+    texts = listed.filter(is_text)
     parts = [
         sg.heading_sections(texts.filter(F.col("format") == kind), "path", rule)
         for kind, rule in (("md", sg.MARKDOWN), ("txt", sg.PLAIN_TEXT))
@@ -98,8 +145,8 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit("completed").alias("parse_status"),
         F.lit("").alias("error"),
     )
-    other = files.filter(~F.col("format").isin("md", "txt")).select(
-        tx.document_id(F.col("filename")).alias("textbook_id"),
+    other = listed.filter(~is_text).select(
+        "textbook_id",
         "path",
         "filename",
         tx.file_stem(F.col("filename")).alias("title"),

@@ -32,6 +32,26 @@ def test_files_are_listed_decoded_and_dispatched(spark, tmp_path):
     assert keep.count() == 1 and [tuple(r) for r in missing.collect()] == [("gone.md", "File not found")]
 
 
+def test_texts_are_written_as_sparks_writer_does_and_scanned_by_few_tasks(spark, tmp_path):
+    from folioscope.session import many_files
+
+    rows = [("a", "one"), ("a", "one"), ("b/=%é", "two\nlines"), ("", "no name"), (None, None), ("c", None), ("c", "")]
+    rows = spark.createDataFrame(rows + [("many", f"text {i}") for i in range(500)], "source string, text string")
+
+    def held(name):
+        found = files.list_files(spark, str(tmp_path / name), "*.txt")
+        folder = F.element_at(F.split("path", "/"), -2).alias("folder")
+        return sorted(tuple(r) for r in found.select(folder, F.col("content").cast("string")).collect())
+
+    files.write_texts(rows, str(tmp_path / "own"), "source")
+    rows.write.partitionBy("source").option("maxRecordsPerFile", 1).text(str(tmp_path / "spark"))
+    assert held("own") == held("spark") and len(held("own")) == 507
+    files.write_texts(rows.limit(0), str(tmp_path / "none"), "source")
+    assert held("none") == []
+    with many_files(spark):
+        assert files.list_files(spark, str(tmp_path / "own")).rdd.getNumPartitions() <= 8
+
+
 def test_page_scan(spark):
     rows = spark.createDataFrame(
         [("f", "p", 1, " ", None), ("f", "p", 2, "x", ""), ("f", "p", 9, "y", None), ("g", "p", 1, None, "bad")],
