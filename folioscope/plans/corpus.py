@@ -101,14 +101,18 @@ def eval_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chapter chunks at 700/80, cut in the task that reads the chapter."""
-    books, chapters = parsed(spark, sf)
-    cut, _ = ck.chapter_chunks(books, chapters)
+    cut, _ = ck.chapter_chunks(*parsed(spark, sf))
     return cut
 
 
 def staged_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chapter chunks for what reads them several times."""
-    return stage(chunks(spark, sf), "chunks", group=GROUP_BYTES)
+    return staged_cut(*parsed(spark, sf))
+
+
+def staged_cut(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Chunks of the given chapters at 700/80, for what reads them several times."""
+    return stage(ck.chapter_chunks(books, chapters)[0], "chunks", group=GROUP_BYTES)
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -280,7 +280,7 @@ def store_roundtrip(spark, sf):
     parsed.save("documents", books)
     parsed.save("chapters", chapters)
     parsed.save("chapters", stage(parsed.load("chapters"), "chapters"))
-    cut = cp.staged_chunks(spark, sf)
+    cut = cp.staged_cut(parsed.load("documents"), parsed.load("chapters"))
     vocab = stage(ix.vocabulary(cut, cut.count()), "vocab")
     store.save_index(
         f"{root}/index", cut, vocab, ix.tfidf_vectors(cut, vocab), ix.index_meta(cut, None, 700, 80, "tfidf")
