@@ -250,6 +250,13 @@ def vocabulary(chunks: DataFrame, n_chunks: int, max_features: int | None = None
     return vocab.withColumn("idf", idf(F.col("df"), n_chunks))
 
 
+def numbered(vocab: DataFrame, broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
+    """The vocabulary with `place`, the frequent terms first, where it is within the broadcast bound."""
+    if not fits(vocab, broadcast_terms):
+        return vocab
+    return vocab.withColumn("place", F.row_number().over(W.orderBy(F.desc("df"), "term")) - 1)
+
+
 def top_terms(vocab: DataFrame, limit: int) -> DataFrame:
     """The `limit` terms of highest count, the smaller term on ties.
 
@@ -301,12 +308,45 @@ class Words:
             return self.idfs[pc.index_in(pa.array(terms, pa.string()), value_set=self.terms).to_numpy()]
         return self.idfs[self.at[np.searchsorted(self.grams, _packed(terms, numbers))]]
 
+    def weights(self, at: np.ndarray, tfs: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """tf x idf / norm of terms at their positions, the rows one after the other."""
+        weights = tfs * self.idfs[at]
+        norms = np.sqrt(np.bincount(row, weights * weights, rows))
+        norms[norms == 0] = 1.0
+        return weights / norms[row]
+
     def numbers(self) -> np.ndarray:
         numbers = np.full(CODE_POINTS, UNKNOWN, np.uint16)
         numbers[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         return numbers
 
 
+def pack(at: np.ndarray, tfs: np.ndarray) -> bytes:
+    """Ascending places and their counts: the bytes that a value of each has, then gaps and counts, low bytes first."""
+    blob = [b"", b""]
+    for n, values in enumerate((np.diff(at, prepend=0), tfs)):
+        width = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+        blob[0] += bytes([width])
+        blob.append(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+    return b"".join(blob)
+
+
+def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, counts, row of each) of what `pack` made, the rows one after the other."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for blob in blobs:
+        widths, start, own = (blob[0], blob[1]), 2, []
+        size = (len(blob) - 2) // sum(widths)
+        for width in widths:
+            planes = np.frombuffer(blob, np.uint8, size * width, start).reshape(width, size)
+            own.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+            start += size * width
+        parts.append((np.cumsum(own[0]), own[1]))
+    row = np.repeat(np.arange(len(parts)), [len(at) for at, _ in parts])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *(at for at, _ in parts)]), np.concatenate([none, *(tfs for _, tfs in parts)]), row
+
+
 class Weigher:
     """Turns texts into normalised sparse rows inside a task."""
 
@@ -335,15 +375,18 @@ class Weigher:
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(term positions, weights tf x idf / norm, row of each), the rows one after the other."""
         at, tfs, row = self._counted(texts)
-        weights = tfs * self.words.idfs[at]
-        norms = np.sqrt(np.bincount(row, weights * weights, len(texts)))
-        norms[norms == 0] = 1.0
-        return at, weights / norms[row], row
+        return at, self.words.weights(at, tfs, row, len(texts)), row
+
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term positions, ascending within a row, their counts, row of each)."""
+        at, tfs, row = self._counted(texts)
+        order = np.argsort(row * len(self.words.idfs) + at)
+        return at[order], tfs[order], row[order]
 
 
 def share_vocabulary(vocab: DataFrame) -> Broadcast:
-    """Broadcast `Words`; callers have checked the size."""
-    table = vocab.select("term", "idf").toArrow()
+    """Broadcast `Words`, in the order of `place` if there is one; callers have checked the size."""
+    table = (vocab.orderBy("place") if "place" in vocab.columns else vocab).select("term", "idf").toArrow()
     words = Words(pa.array(table.column("term").to_pylist(), pa.string()), table.column("idf").to_numpy())
     return vocab.sparkSession.sparkContext.broadcast(words)
 
@@ -372,6 +415,25 @@ def _weigh_in_task(texts: DataFrame, vocab: DataFrame, key: str, text: str, lowe
     return texts.select(key, text).mapInArrow(weigh, f"{key} {kind}, terms array<string>, weights array<double>")
 
 
+def _count_in_task(texts: DataFrame, vocab: DataFrame, key: str, text: str, lower: bool) -> DataFrame:
+    shared = share_vocabulary(vocab)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigher = Weigher(shared.value, lower)
+        for batch in batches:
+            bodies = batch.column(1).to_pylist()
+            for part in text_slices(bodies):
+                rows = part.stop - part.start
+                at, tfs, row = weigher.counted(bodies[part])
+                ends = np.searchsorted(row, np.arange(rows + 1)).tolist()
+                packed = [pack(at[low:high], tfs[low:high]) for low, high in zip(ends, ends[1:])]
+                columns = [batch.column(0).slice(part.start, rows), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "counts"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, text).mapInArrow(count, f"{key} {kind}, counts binary")
+
+
 def _weigh_by_join(
     texts: DataFrame, vocab: DataFrame, key: str, text: str, lower: bool, hot_terms: int = 10_000
 ) -> DataFrame:
@@ -417,8 +479,14 @@ def tfidf_vectors(
     lower: bool = True,
     broadcast_terms: int = MAX_BROADCAST_TERMS,
 ) -> DataFrame:
-    """(key, terms, weights): tf x idf, L2-normalised per row, unknown terms dropped."""
+    """(key, terms, weights): tf x idf, L2-normalised per row, unknown terms dropped.
+
+    With a `numbered` vocabulary the rows are (key, counts), places and counts as `pack` puts them: the same in a
+    tenth of the bytes, as weights follow from counts and idf.
+    """
     weigh = _weigh_in_task if fits(vocab, broadcast_terms) else _weigh_by_join
+    if weigh is _weigh_in_task and "place" in vocab.columns:
+        weigh = _count_in_task
     return weigh(texts, vocab, key, text, lower)
 
 

@@ -210,17 +210,24 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(part.start, part.stop - part.start)
 
 
-def sparse_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
+def sparse_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int, vocab: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine over stored vectors.
 
-    Scores of zero are no hits.
+    Scores of zero are no hits.  Vectors (chunk_id, counts) are weighed with their `numbered` vocabulary.
     """
     kind = query_vectors.schema["query_id"].dataType.simpleString()
+    packed = "counts" in vectors.columns
+    words = ix.share_vocabulary(vocab) if packed else None
 
     def score_batch(tables):
         scorers = [Scorer(table) for *_, table in tables]
+        places = _places(words.value.terms, tables) if packed else []
 
         def scored(batch):
+            if packed:
+                at, tfs, row = ix.unpack(batch.column(1).to_pylist())
+                yield from _scores(batch.num_rows, row, at, words.value.weights(at, tfs, row, batch.num_rows), tables, places, scorers)
+                return
             row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
             terms, weights = batch.column(1).flatten(), batch.column(2).flatten().to_numpy()
             for (_, known, _), scorer in zip(tables, scorers):
@@ -233,7 +240,7 @@ def sparse_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFr
 
         return scored
 
-    stored = vectors.select("chunk_id", "terms", "weights")
+    stored = vectors.select("chunk_id", *(("counts",) if packed else ("terms", "weights")))
     parts = [
         _one_pass(stored, [_query_table(block) for block in blocks], score_batch, k, kind, True)
         for blocks in _passes(query_vectors, "terms")
@@ -241,6 +248,24 @@ def sparse_top_k(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFr
     return rank_hits(stage_all(parts, "hits"), k)
 
 
+def _places(names: pa.Array, tables: list[tuple]) -> list[np.ndarray]:
+    """Per query table, the place in it of each term of the vocabulary, else -1."""
+    places = []
+    for _, known, _ in tables:
+        asked = np.full(len(names), -1)
+        asked[pc.index_in(known, value_set=names).to_numpy()] = np.arange(len(known))
+        places.append(asked)
+    return places
+
+
+def _scores(rows: int, row: np.ndarray, at: np.ndarray, weights: np.ndarray, tables, places, scorers) -> Iterator[np.ndarray | None]:
+    """Score matrix per query table of rows with the vocabulary's terms `at`."""
+    for (_, known, _), asked, scorer in zip(tables, places, scorers):
+        own = asked[at]
+        hit = own >= 0
+        yield scorer.scores(rows, row[hit], own[hit], weights[hit]) if len(known) else None
+
+
 def text_top_k(chunks: DataFrame, vocab: DataFrame, query_vectors: DataFrame, k: int, lower: bool = True) -> DataFrame:
     """As `sparse_top_k`, weighing the chunk texts in the same pass.
 
@@ -253,19 +278,11 @@ def text_top_k(chunks: DataFrame, vocab: DataFrame, query_vectors: DataFrame, k:
 
     def score_batch(tables):
         weigher = Weigher(words.value, lower)
-        names, scorers = words.value.terms, [Scorer(table) for *_, table in tables]
-        places = []
-        for _, known, _ in tables:
-            asked = np.full(len(names), -1)
-            asked[pc.index_in(known, value_set=names).to_numpy()] = np.arange(len(known))
-            places.append(asked)
+        scorers, places = [Scorer(table) for *_, table in tables], _places(words.value.terms, tables)
 
         def scored(batch):
             at, weights, row = weigher.rows(batch.column(1).to_pylist())
-            for (_, known, _), asked, scorer in zip(tables, places, scorers):
-                own = asked[at]
-                hit = own >= 0
-                yield scorer.scores(batch.num_rows, row[hit], own[hit], weights[hit]) if len(known) else None
+            yield from _scores(batch.num_rows, row, at, weights, tables, places, scorers)
 
         return scored
 

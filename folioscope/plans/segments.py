@@ -279,9 +279,9 @@ def store_roundtrip(spark, sf):
     parsed = store.DocumentStore(spark, f"{root}/parsed")
     parsed.save("documents", books)
     parsed.save("chapters", chapters)
-    parsed.save("chapters", stage(parsed.load("chapters"), "chapters"))
+    parsed.save("chapters", parsed.load("chapters"))
     cut = cp.staged_cut(parsed.load("documents"), parsed.load("chapters"))
-    vocab = stage(ix.vocabulary(cut, cut.count()), "vocab")
+    vocab = stage(ix.numbered(stage(ix.vocabulary(cut, cut.count()), "vocab")), "numbered")
     store.save_index(
         f"{root}/index", cut, vocab, ix.tfidf_vectors(cut, vocab), ix.index_meta(cut, None, 700, 80, "tfidf")
     )
@@ -291,7 +291,8 @@ def store_roundtrip(spark, sf):
     again = store.read_questions(spark, f"{root}/questions", lines=True).select(
         F.col("id").cast("long").alias("query_id"), F.col("question").alias("query")
     )
-    hits = se.sparse_top_k(index["vectors"], se.query_vectors(again, index["vocab"]), 5)
+    asked = se.query_vectors(again, index["vocab"].select("term", "idf"))
+    hits = se.sparse_top_k(index["vectors"], asked, 5, index["vocab"])
     hits.write.json(f"{root}/results")
     schema = "query_id long, chunk_id string, score double, rank int"
     back = spark.read.schema(schema).json(f"{root}/results")

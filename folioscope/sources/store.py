@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope import lexicon as lx
 from folioscope.functions import text as tx
-from folioscope.session import path_exists, stage
+from folioscope.session import SMALL, path_exists, staged
 
 QUESTION_SCHEMA = (
     "id string, question string, expected_keywords array<string>, expected_topic string, "
@@ -47,17 +47,22 @@ class DocumentStore:
     def save(self, table: str, rows: DataFrame) -> None:
         """Upsert: all rows of the given keys are replaced, others stay."""
         rows = rows.filter(F.length(self.key) > 0).withColumn("bucket", self._bucket(F.col(self.key)))
-        if path_exists(self.spark, self._path(table)):
-            rows = stage(rows, "given")  # may come from this very table
-            touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not path_exists(self.spark, self._path(table)):
+            self._write(table, rows)
+            return
+        with staged(rows, "given") as given:  # may come from this very table
+            touched = [r[0] for r in given.select("bucket").distinct().collect()]  # at most `buckets` numbers
             stored = self.spark.read.parquet(self._path(table)).filter(F.col("bucket").isin(touched))
-            kept = stored.join(rows.select(self.key).distinct(), self.key, "left_anti")
             # staged, since a folder cannot be read while it is overwritten
-            rows = stage(rows.unionByName(kept, allowMissingColumns=True), "upsert")
+            with staged(stored.join(given.select(self.key).distinct(), self.key, "left_anti"), "kept") as kept:
+                self._write(table, given.unionByName(kept, allowMissingColumns=True))
+
+    def _write(self, table: str, rows: DataFrame) -> None:
         (
             rows.repartition("bucket", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket"]), F.lit(4)))
             .sortWithinPartitions("bucket", self.key)
             .write.mode("overwrite")
+            .options(**SMALL)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket")
             .parquet(self._path(table))
@@ -74,9 +79,9 @@ class DocumentStore:
 
 
 def save_index(root: str, chunks: DataFrame, vocab: DataFrame, vectors: DataFrame, meta: DataFrame) -> None:
-    """Index tables as Parquet."""
+    """Index tables as Parquet (S9); vectors as `index.tfidf_vectors` gives them, of either form."""
     for name, rows in (("chunks", chunks), ("vocab", vocab), ("vectors", vectors), ("meta", meta)):
-        rows.write.mode("overwrite").parquet(f"{root}/{name}")
+        rows.write.mode("overwrite").options(**SMALL).parquet(f"{root}/{name}")
 
 
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -364,3 +364,49 @@ def test_recall_is_tuned_on_a_bounded_sample(spark, tmp_path, monkeypatch):
     assert index.tune(asked, 5) >= 0.9
     assert sizes == [20]
     assert ve.recall(index.search(asked, 5), full(rows, asked, 5)) >= 0.85
+
+
+def test_stored_counts_give_the_scores_of_stored_weights(spark, tmp_path):
+    from folioscope.sources import store
+
+    rows = [("a", "alpha beta alpha"), ("b", "beta gamma"), ("c", None), ("d", ""), ("b", "beta gamma"), ("e", "delta " * 400), (None, "alpha")]
+    chunks = spark.createDataFrame([*rows, *[(f"x{i}", f"word{i} {i * 7919} alpha") for i in range(600)]], "chunk_id string, text string")
+    queries = spark.createDataFrame([(1, "alpha gamma"), (2, "delta word17"), (3, "zzz"), (4, None)], "query_id long, query string")
+    plain = ix.vocabulary(chunks, chunks.count())
+    vocab = ix.numbered(plain)
+    packed = ix.tfidf_vectors(chunks, vocab)
+    assert packed.columns == ["chunk_id", "counts"]
+    store.save_index(str(tmp_path), chunks, vocab, packed, ix.index_meta(chunks, None, 700, 80, "tfidf"))
+    index = store.load_index(spark, str(tmp_path))
+    asked = se.query_vectors(queries, index["vocab"].select("term", "idf"))
+    got = se.sparse_top_k(index["vectors"], asked, 5, index["vocab"])
+    want = se.sparse_top_k(ix.tfidf_vectors(chunks, plain), se.query_vectors(queries, plain), 5)
+    plainly = lambda hits: sorted(repr((r.query_id, r.chunk_id, r["rank"], round(r.score, 9))) for r in hits.collect())
+    assert plainly(got) == plainly(want) and got.count() >= 10
+    sizes = packed.agg(F.sum(F.length("counts"))).first()[0], ix.tfidf_vectors(chunks, plain).agg(F.sum(F.size("terms"))).first()[0]
+    assert sizes[0] < 5 * sizes[1]  # a weight alone has eight bytes
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, top, 50)), n) for top, n in ((60, 3), (5000, 300), (1 << 22, 70_000))]
+    rows = [(at, rng.integers(1, n, len(at))) for at, n in rows] + [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    at, tfs, row = ix.unpack([ix.pack(*r) for r in rows])
+    assert np.array_equal(at, np.concatenate([r[0] for r in rows])) and np.array_equal(tfs, np.concatenate([r[1] for r in rows]))
+    assert np.array_equal(row, np.repeat(np.arange(4), [len(r[0]) for r in rows]))
+
+
+def test_an_upsert_leaves_no_copies(spark, tmp_path):
+    import os
+
+    from folioscope.session import staging_root
+    from folioscope.sources import store
+
+    parsed = store.DocumentStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", "1"), ("b", "1")], "textbook_id string, title string")
+    parsed.save("documents", rows)
+    folder = f"{staging_root(spark)}/staged"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    parsed.save("documents", parsed.load("documents"))
+    assert sorted(map(tuple, parsed.load("documents").collect())) == [("a", "1"), ("b", "1")]
+    assert set(os.listdir(folder)) == before
