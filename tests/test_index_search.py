@@ -410,3 +410,37 @@ def test_an_upsert_leaves_no_copies(spark, tmp_path):
     parsed.save("documents", parsed.load("documents"))
     assert sorted(map(tuple, parsed.load("documents").collect())) == [("a", "1"), ("b", "1")]
     assert set(os.listdir(folder)) == before
+
+
+def test_an_append_keeps_no_copies_and_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    import os
+
+    from folioscope.session import staging_root
+
+    rows = [(f"c{i:04d}", " ".join(f"w{(i * k) % 97}" for k in range(1, 30))) for i in range(700)]
+    chunks = spark.createDataFrame([*rows, ("null", None), ("empty", "")], "chunk_id string, text string")
+    folder = f"{staging_root(spark)}/staged"
+    written = []
+    write = po.PostingsIndex._write
+
+    def seen(self, rows):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        written.append("Repartition" in plan.split("MapInArrow")[0])
+        write(self, rows)
+
+    monkeypatch.setattr(po.PostingsIndex, "_write", seen)
+    index = po.PostingsIndex(spark, f"{tmp_path}/index", buckets=4, window=16)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    index.append(chunks)
+    index.append(chunks.limit(5).withColumn("text", F.lit("w1 changed")), replace=True)
+    new = {name.split("-")[0] for name in set(os.listdir(folder)) - before}
+    assert not new & {"given", "windows", "weighed"} and written == [False, False]
+    assert index.postings().filter("term IS NULL").isEmpty()
+    assert index.chunks().count() == 702 == index.chunks().select("chunk_id").distinct().count()
+    # the index is that of one built anew
+    anew = po.PostingsIndex(spark, f"{tmp_path}/anew", window=64)
+    changed = chunks.join(index.chunks().filter("segment = 2").select("chunk_id", F.lit(True).alias("_c")), "chunk_id", "left")
+    anew.append(changed.select("chunk_id", F.when(F.col("_c"), "w1 changed").otherwise(F.col("text")).alias("text")))
+    queries = spark.createDataFrame([(i, f"w{i} w{i * 3} changed") for i in range(40)], "query_id int, query string")
+    found = [sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in i.search(queries, 7).collect()) for i in (index, anew)]
+    assert found[0] == found[1] and len(found[0]) > 100
